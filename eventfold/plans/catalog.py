@@ -46,3 +46,137 @@ for _r in RULES:
 def derive_once_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-46a: every derived event of the seventeen rules in one pass per key."""
     return flatten_events(derive(lifecycle_log(spark, sf_dir)))
+
+
+# --- state, fold, decisions ---------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from eventfold.operators import decisions as dec  # noqa: E402
+from eventfold.operators import outcomes as oc  # noqa: E402
+from eventfold.operators import state as stt  # noqa: E402
+from eventfold.operators.derive import session_mismatch_report  # noqa: E402
+from eventfold.operators.fold import fold_history  # noqa: E402
+from eventfold.plans import oracle_state_sql as ssql  # noqa: E402
+from eventfold.plans.reports import settings_columns, us  # noqa: E402
+from eventfold.schema import Types  # noqa: E402
+from eventfold.sources.fixtures import decision_log, outcome_log  # noqa: E402
+
+TIMEOUT_MS = ssql.TIMEOUT_MS
+
+
+@register("latest_state", ssql.latest_state_sql())
+def latest_state_q(spark, sf_dir):
+    """OP-08: latest event of any type per item."""
+    return flatten_events(stt.latest_state(lifecycle_log(spark, sf_dir)))
+
+
+@register("latest_by_key", ssql.latest_by_key_sql())
+def latest_by_key_q(spark, sf_dir):
+    """OP-39: the snapshot table, latest final event per item."""
+    return flatten_events(stt.snapshot_table(lifecycle_log(spark, sf_dir)))
+
+
+@register("state_get", ssql.state_get_sql())
+def state_get_q(spark, sf_dir):
+    """OP-09: state of every item named as a save/clone source."""
+    log = lifecycle_log(spark, sf_dir)
+    wanted = log.where(F.col("type").isin(Types.PARTIAL_SAVE, Types.CLONE)).select("persistence.settings_id")
+    return flatten_events(stt.state_get(stt.latest_state(log), wanted))
+
+
+@register("sink_snapshot", ssql.filter_sql(["SAVED", "SELECTED", "DESELECTED", "SELECTION_CLEARED"]))
+def sink_snapshot_q(spark, sf_dir):
+    """OP-05: the rows forwarded to the snapshot sink."""
+    return flatten_events(stt.snapshot_events(lifecycle_log(spark, sf_dir)))
+
+
+@register("filter_type", ssql.filter_sql(["PARTIAL_SELECT"]))
+def filter_type_q(spark, sf_dir):
+    """OP-10: one event type."""
+    return flatten_events(stt.filter_type(lifecycle_log(spark, sf_dir), Types.PARTIAL_SELECT))
+
+
+@register("delete_relay", ssql.delete_relay_sql())
+def delete_relay_q(spark, sf_dir):
+    """OP-47: delete checks and confirmations relayed as DELETE / DELETED."""
+    return flatten_events(oc.delete_relay(lifecycle_log(spark, sf_dir)))
+
+
+@register("event_router", ssql.event_router_sql())
+def event_router_q(spark, sf_dir):
+    """OP-51: handler action per event; unrouted types discarded."""
+    return oc.event_router(lifecycle_log(spark, sf_dir))
+
+
+@register("session_mismatch_report", ssql.session_mismatch_sql())
+def session_mismatch_q(spark, sf_dir):
+    """OP-45: confirmations from another session than their request."""
+    r = session_mismatch_report(lifecycle_log(spark, sf_dir))
+    return r.select("seq", "aggregate_id", "kind", "type", "session_id", "request_session_id",
+                    us(F.col("date")).alias("date_us"))
+
+
+def _fold_input(spark, sf_dir):
+    state, _ = decision_log(spark, sf_dir)
+    uid = F.col("aggregate_id").cast("long")
+    return state.where(~(F.col("type").isin(Types.SAVE, Types.SELECT) & (uid % 2 == 0)))
+
+
+@register("fold_history", ssql.fold_history_sql())
+def fold_history_q(spark, sf_dir):
+    """OP-33/19: each item's history folded per aggregate family."""
+    st = _fold_input(spark, sf_dir)
+    f = fold_history(st, "persistence").unionByName(fold_history(st, "selection"))
+    return f.select("aggregate_id", "family", "version", "deleted", "locked", "lock_type", "lock_seq", "applied",
+                    *settings_columns(F.col("settings")))
+
+
+def _decided(spark, sf_dir):
+    state, cmds = decision_log(spark, sf_dir)
+    return dec.decide(cmds, stt.latest_state(state))
+
+
+@register("command_decisions", ssql.decisions_sql())
+def command_decisions_q(spark, sf_dir):
+    """OP-34/44: every command accepted, rejected or ignored against the latest state."""
+    d = _decided(spark, sf_dir)
+    return d.select("cmd_seq", "command", "decision", "out_type", "version", "error_type",
+                    F.array_join("error_args", ",").alias("error_args"))
+
+
+@register("command_events", ssql.command_events_sql())
+def command_events_q(spark, sf_dir):
+    """OP-07: accepted commands as log events (plus a clone's access-date event)."""
+    e = dec.command_events(_decided(spark, sf_dir))
+    return e.select("seq", "hop", "aggregate_id", "type", "version", "user_id", "session_id",
+                    us(F.col("date")).alias("date_us"))
+
+
+@register("stuck_rollback", ssql.stuck_rollback_sql())
+def stuck_rollback_q(spark, sf_dir):
+    """OP-40/20: rollbacks for lock rejections whose blocking event passes the timeout test."""
+    r = dec.stuck_rollback(_decided(spark, sf_dir), TIMEOUT_MS)
+    return r.select("cmd_seq", "aggregate_id", "type", "version", "user_id", "session_id",
+                    us(F.col("date")).alias("date_us"), "fail_event_type")
+
+
+def _outcomes(spark, sf_dir):
+    ev = outcome_log(spark, sf_dir)
+    return oc.command_outcome(ev, F.col("type") == "COMMAND", TIMEOUT_MS)
+
+
+@register("command_outcome", ssql.command_outcome_sql())
+def command_outcome_q(spark, sf_dir):
+    """OP-48: first terminal event of each command's session, or TIMEOUT."""
+    o = _outcomes(spark, sf_dir)
+    return o.select("seq", "session_id", "aggregate_id", "type", us(F.col("date")).alias("date_us"), "status",
+                    "terminal_seq", "error_type")
+
+
+@register("command_timeout", ssql.command_timeout_sql())
+def command_timeout_q(spark, sf_dir):
+    """OP-49: timed-out commands with their compensating rollback."""
+    t = oc.command_timeout(_outcomes(spark, sf_dir))
+    return t.select("seq", "session_id", "aggregate_id", "error_type", "rollback_type", "fail_event_type",
+                    us(F.col("date")).alias("date_us"))

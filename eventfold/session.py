@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     # keep the Python state server of stateful streaming off TCP
     "spark.python.unix.domain.socket.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
