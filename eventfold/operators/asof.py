@@ -10,14 +10,16 @@ A plain ``Window.partitionBy(key)`` would put every row of a key into one
 task, and one key may hold a large share of the log. The scan is therefore
 split into *chunks* of ``order`` (``floor(order / chunk)``):
 
-1. rows are windowed within ``(key, chunk)`` - one hash exchange on both
-   columns, so a hot key is spread over as many tasks as it has chunks;
-2. each ``(key, chunk)`` is reduced to its last (or first) table value with a
-   partial aggregate (map-side combine before the shuffle);
-3. the carry-in of a chunk is the nearest non-null summary of the chunks
+1. each ``(key, chunk)`` is reduced to its last (or first) table value by a
+   partial aggregate (map-side combine, so a hot key is reduced before the
+   shuffle);
+2. the carry-in of a chunk is the nearest non-null summary of the chunks
    before (after) it - a window over the summaries, one row per chunk;
-4. the carry is joined back on ``(key, chunk)`` and used where the chunk
-   itself had no match.
+3. the carry enters the row stream as one sentinel row per chunk, ordered
+   before (after) the chunk's real rows; rows are then windowed within
+   ``(key, chunk)`` - one hash exchange on both columns, so a hot key is
+   spread over as many tasks as it has chunks - and the nearest value is
+   either in the chunk or the sentinel's. No join.
 
 The result is exact for any chunk size; ``chunk=0`` skips steps 2-4 and uses
 a single window, which is cheaper when no key is large.
@@ -75,26 +77,32 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
         w = Window.partitionBy(key).orderBy(*sort_cols).rowsBetween(*frame)
         return df.select("*", *[near(picks[n]).over(w).alias(n) for n in names])
 
-    ck = "_asof_chunk"
+    ck, ordk = "_asof_chunk", "_asof_ord"
     base = df.withColumn(ck, F.floor(F.col(order) / F.lit(chunk)).cast("long"))
 
-    # 1. nearest table row inside the row's own chunk
-    w_in = Window.partitionBy(key, ck).orderBy(*sort_cols).rowsBetween(*frame)
-    inner = base.select("*", *[near(picks[n]).over(w_in).alias(f"_in_{n}") for n in names])
-
-    # 2. one summary per (key, chunk): its last (first) table value
+    # 1. per (key, chunk) the chunk's last (first) table value - a partial
+    #    aggregate, so a hot key is reduced map-side before the shuffle
     rank = F.struct(*sort_cols) if tiebreak else F.col(order)
     pick_by = F.min_by if forward else F.max_by
     summary = (base.where(keyed)
                .groupBy(key, ck)
-               .agg(*[pick_by(picks[n], F.when(picks[n].isNotNull(), rank)).alias(f"_s_{n}")
-                      for n in names]))
+               .agg(*[pick_by(picks[n], F.when(picks[n].isNotNull(), rank)).alias(f"_s_{n}") for n in names]))
 
-    # 3. carry-in from the chunks strictly before (after)
+    # 2. carry-in of each chunk: nearest non-null summary of the chunks before
+    #    (after) it - a window over one row per chunk
     w_c = Window.partitionBy(key).orderBy(ck).rowsBetween(*frame)
-    carry = summary.select(key, ck, *[near(F.col(f"_s_{n}")).over(w_c).alias(f"_c_{n}") for n in names])
-
-    # 4. own chunk first, carry otherwise
-    out = inner.join(carry, [key, ck], "left")
-    keep = [c for c in df.columns]
-    return out.select(*keep, *[F.coalesce(F.col(f"_in_{n}"), F.col(f"_c_{n}")).alias(n) for n in names])
+    carry = (summary.select(key, ck, *[near(F.col(f"_s_{n}")).over(w_c).alias(f"_v_{n}") for n in names])
+             .where(F.greatest(*[F.col(f"_v_{n}").isNotNull() for n in names]) if len(names) > 1
+                    else F.col(f"_v_{names[0]}").isNotNull()))
+
+    # 3. carry rows enter the row stream as sentinels ordered before (after)
+    #    every real row of their (key, chunk); one exchange, one window, no join
+    real = base.select(*df.columns, ck, F.lit(1).alias(ordk), *[picks[n].alias(f"_v_{n}") for n in names])
+    sentinel_rank = 0 if not forward else 2
+    sentinels = carry.select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != key],
+        key, ck, F.lit(sentinel_rank).alias(ordk), *[f"_v_{n}" for n in names])
+    rows = real.unionByName(sentinels)
+    w_in = Window.partitionBy(key, ck).orderBy(F.col(ordk), *sort_cols).rowsBetween(*frame)
+    out = rows.select("*", *[near(F.col(f"_v_{n}")).over(w_in).alias(f"_r_{n}") for n in names])
+    return out.where(F.col(ordk) == 1).select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in names])

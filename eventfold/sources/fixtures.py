@@ -45,7 +45,17 @@ PROFILE_O_TYPES = {"view": "COMMAND", "click": "SELECTED", "error": "SELECT_CANC
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def balanced_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores (one
+    parquet row group gives one task) before per-row work runs on it. A large
+    input has far more splits than cores and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def ntz_to_timestamp(c: Column) -> Column:
@@ -53,8 +63,12 @@ def ntz_to_timestamp(c: Column) -> Column:
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"))
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def _with_k(events: DataFrame, *cols: str) -> DataFrame:
+    """Driver columns plus ``k`` parsed from ``props``. ``json_tuple`` is a
+    generator: filters on columns derived from ``k`` stay above it, so the JSON
+    text is parsed once per row instead of once per reference after pushdown."""
+    return (events.select(*cols, F.json_tuple("props", "k").alias("_k_text"))
+            .withColumn("k", F.col("_k_text").cast("int")).drop("_k_text"))
 
 
 def _settings_id_modulus(events: DataFrame) -> DataFrame:
@@ -80,7 +94,7 @@ def _type_column(event_type: Column, k: Column) -> Column:
 
 def _payload(events: DataFrame, with_modulus: bool) -> DataFrame:
     """Common columns of every fixture: key, k, date and the payload fields."""
-    e = events.select("event_id", "ts", "user_id", "event_type", _k().alias("k"))
+    e = _with_k(events, "event_id", "ts", "user_id", "event_type")
     if with_modulus:
         e = e.crossJoin(F.broadcast(_settings_id_modulus(events)))  # one row
     else:
@@ -195,8 +209,8 @@ def decision_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile O: one row per driver event, ``kind`` = COMMAND, a terminal type
     or NO_TERMINAL; ``session_id = user_id || ':' || (k % 3)``."""
-    events = read_table(spark, sf_dir, "events")
-    k = _k()
+    events = _with_k(read_table(spark, sf_dir, "events"), "event_id", "ts", "user_id", "event_type")
+    k = F.col("k")
     kind = None
     for src, dst in PROFILE_O_TYPES.items():
         kind = F.when(F.col("event_type") == src, dst) if kind is None else kind.when(F.col("event_type") == src, dst)
