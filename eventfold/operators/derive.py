@@ -41,14 +41,20 @@ REQUEST_TABLES = {
 
 @dataclass(frozen=True)
 class Rule:
-    """One derivation: ``trigger`` type, looked-up ``table`` column and the
-    function ``(table, as_of) -> {field: Column}``; a null ``type`` drops the row."""
+    """One derivation: ``trigger`` type, looked-up ``table`` column(s) and the
+    function ``(*tables, as_of) -> {field: Column}``; a null ``type`` drops the
+    row. ``table`` names a snapshot (``_snap``) or request table, or a tuple of
+    them for a rule that reads several."""
     name: str
     trigger: str
-    table: str
-    build: Callable[[Column, Column], dict[str, Column]]
+    table: str | tuple[str, ...]
+    build: Callable[..., dict[str, Column]]
     source_keyed: bool = False
 
+    @property
+    def tables(self) -> tuple[str, ...]:
+        return self.table if isinstance(self.table, tuple) else (self.table,)
+
 
 def _lit(s: str) -> Column:
     return F.lit(s)
@@ -168,18 +174,23 @@ RULES: list[Rule] = [
 RULES_BY_NAME = {r.name: r for r in RULES}
 
 
-def _table_specs(snapshot_types: Sequence[str], needed: Iterable[str]) -> dict[str, tuple[Column, Column]]:
+SETTINGS_REQUESTS = {name: req for name, req in REQUEST_TABLES.values()}
+
+
+def _table_specs(snapshot_types: Sequence[str], needed: Iterable[str],
+                 requests: dict[str, str] | None = None) -> dict[str, tuple[Column, Column]]:
     t = _col("type")
     specs = {SNAP: (t.isin(list(snapshot_types)), F.struct("seq", "user_id", "settings"))}
-    for _, (name, req_type) in REQUEST_TABLES.items():
+    for name, req_type in (requests or SETTINGS_REQUESTS).items():
         specs[name] = (t == req_type, F.struct("session_id", "settings"))
     return {k: v for k, v in specs.items() if k in set(needed)}
 
 
-def _table_types(snapshot_types: Sequence[str], needed: Iterable[str]) -> list[str]:
+def _table_types(snapshot_types: Sequence[str], needed: Iterable[str],
+                 requests: dict[str, str] | None = None) -> list[str]:
     needed = set(needed)
     out = list(snapshot_types) if SNAP in needed else []
-    out += [req for _, (name, req) in REQUEST_TABLES.items() if name in needed]
+    out += [req for name, req in (requests or SETTINGS_REQUESTS).items() if name in needed]
     return out
 
 
@@ -187,7 +198,7 @@ def _assemble(rows: DataFrame, rules: Sequence[Rule], as_of: Column | None) -> D
     """Apply the rules' ``when`` chain to trigger rows carrying their table columns."""
     t = _col("type")
     at = as_of if as_of is not None else _col("date")
-    built = [(r.trigger, r.build(_col(r.table), at)) for r in rules]
+    built = [(r.trigger, r.build(*[_col(n) for n in r.tables], at)) for r in rules]
 
     def chain(field: str, default: Column) -> Column:
         expr = None
@@ -223,18 +234,21 @@ def _assemble(rows: DataFrame, rules: Sequence[Rule], as_of: Column | None) -> D
             .select(*[_col(f"_o_{n}").alias(n) for n in ("hop", *EVENT_COLUMNS)]))
 
 
-def derive(log: DataFrame, ops: Iterable[str] | None = None, snapshot_types: Sequence[str] = SNAPSHOT_TYPES,
-           as_of: Column | None = None, chunk: int | None = None) -> DataFrame:
+def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
+           snapshot_types: Sequence[str] = SNAPSHOT_TYPES, as_of: Column | None = None, chunk: int | None = None,
+           requests: dict[str, str] | None = None) -> DataFrame:
     """Derived events (``hop`` + event-log columns) of the chosen rules over a
     log that already holds its earlier derived events (OP-46a when ``ops`` is
-    None). ``as_of`` stamps clone and access dates; default: the trigger's date.
+    None). ``ops`` holds rule names or :class:`Rule` objects; ``requests`` maps
+    request-table names to their request type (default: the settings ones).
+    ``as_of`` stamps clone and access dates; default: the trigger's date.
     """
-    rules = [RULES_BY_NAME[o] for o in ops] if ops is not None else list(RULES)
+    rules = ([RULES_BY_NAME[o] if isinstance(o, str) else o for o in ops] if ops is not None else list(RULES))
     own = [r for r in rules if not r.source_keyed]
     src = [r for r in rules if r.source_keyed]
     parts = []
     if own:
-        parts.append(_own_key_pass(log, own, snapshot_types, as_of, chunk))
+        parts.append(_own_key_pass(log, own, snapshot_types, as_of, chunk, requests))
     if src:
         parts.append(_source_key_pass(log, src, snapshot_types, as_of, chunk))
     out = parts[0]
@@ -244,12 +258,12 @@ def derive(log: DataFrame, ops: Iterable[str] | None = None, snapshot_types: Seq
 
 
 def _own_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
-                  as_of: Column | None, chunk: int | None) -> DataFrame:
-    needed = {r.table for r in rules}
+                  as_of: Column | None, chunk: int | None, requests: dict[str, str] | None = None) -> DataFrame:
+    needed = {n for r in rules for n in r.tables}
     triggers = [r.trigger for r in rules]
-    x = log.where(_col("type").isin(triggers + _table_types(snapshot_types, needed))
+    x = log.where(_col("type").isin(triggers + _table_types(snapshot_types, needed, requests))
                   & _col("aggregate_id").isNotNull())
-    x = attach_last_before(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed), chunk=chunk)
+    x = attach_last_before(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests), chunk=chunk)
     return _assemble(x.where(_col("type").isin(triggers)), rules, as_of)
 
 

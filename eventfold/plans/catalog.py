@@ -180,3 +180,63 @@ def command_timeout_q(spark, sf_dir):
     t = oc.command_timeout(_outcomes(spark, sf_dir))
     return t.select("seq", "session_id", "aggregate_id", "error_type", "rollback_type", "fail_event_type",
                     us(F.col("date")).alias("date_us"))
+
+
+# --- generic lifecycle, references, sources ----------------------------------
+
+from pyspark.sql import types as T  # noqa: E402
+
+from eventfold.operators.references import Lookup, delete_reference_check, enrich_reference  # noqa: E402
+from eventfold.plans.lifecycle import LifecycleSpec, build_lifecycle, partial_update  # noqa: E402
+from eventfold.sources.fixtures import generic_log, read_table  # noqa: E402
+from eventfold.sources.log import split_malformed  # noqa: E402
+
+
+@register("generic_lifecycle", osql.generic_sql())
+def generic_lifecycle_q(spark, sf_dir):
+    """OP-52: the generic lifecycle spec (create/update confirm, update/delete cancel, rollback)."""
+    return flatten_events(build_lifecycle(generic_log(spark, sf_dir), LifecycleSpec()))
+
+
+def _generic_rule_query(rule: str):
+    def q(spark, sf_dir):
+        return flatten_events(build_lifecycle(generic_log(spark, sf_dir), LifecycleSpec(), only=[rule]))
+    q.__doc__ = f"Generic lifecycle rule {rule}."
+    return q
+
+
+for _g in ("create_confirm", "update_confirm", "update_cancel"):
+    register(_g, osql.generic_sql([_g]))(_generic_rule_query(_g))
+
+
+@register("partial_update", osql.generic_sql(["partial_update"]))
+def partial_update_q(spark, sf_dir):
+    """OP-53: confirmed partial edits merged over the last good snapshot."""
+    return flatten_events(partial_update(generic_log(spark, sf_dir)))
+
+
+@register("enrich_reference", osql.enrich_reference_sql())
+def enrich_reference_q(spark, sf_dir):
+    """OP-35: orders enriched with their customer and the customer's nation."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    out = enrich_reference(orders, [
+        Lookup(read_table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", ["c_name", "c_nationkey"]),
+        Lookup(read_table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", ["n_name"], fixed_size=True),
+    ])
+    return out
+
+
+@register("delete_reference_check", osql.delete_reference_check_sql())
+def delete_reference_check_q(spark, sf_dir):
+    """OP-38: every part as a delete request, refused while large returned line items reference it."""
+    parts = read_table(spark, sf_dir, "part").select("p_partkey")
+    refs = read_table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
+    return delete_reference_check(parts, "p_partkey", refs, "l_partkey")
+
+
+@register("src_malformed_skip", osql.malformed_sql())
+def src_malformed_skip_q(spark, sf_dir):
+    """OP-04: decode each event's JSON properties; undecodable rows are quarantined."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "props")
+    good, _bad = split_malformed(ev, "props", T.StructType([T.StructField("k", T.IntegerType())]))
+    return good.select("event_id", "k")

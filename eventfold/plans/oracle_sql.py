@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from eventfold.schema import SNAPSHOT_TYPES, Errors, Types
 from eventfold.sources.fixtures import (
-    GENERIC_TYPES, PROFILE_D_COMMANDS, PROFILE_D_TYPES, PROFILE_O_TYPES, REQUEST_BY_K, TYPE_BY_K5,
+    GENERIC_BY_PARITY, REQUEST_BY_K, TYPE_BY_K5,
 )
 
 
@@ -220,3 +220,88 @@ def derive_sql(rules: list[str] | None = None) -> str:
     rules = rules or ALL_RULES
     body = "\nUNION ALL\n".join(_rule_sql(r) for r in rules)
     return f"WITH {fixture_ctes()},{_asof_ctes()}\n{body}"
+
+
+# --- generic lifecycle --------------------------------------------------------
+
+def generic_ctes() -> str:
+    """``log`` for the generic lifecycle profile."""
+    parts = []
+    for (src, parity), dst in GENERIC_BY_PARITY.items():
+        par = f" AND k % 2 = {parity}" if parity is not None else ""
+        parts.append(f"WHEN event_type = {_q(src)}{par} THEN {_q(dst)}")
+    case = "CASE " + " ".join(parts) + " END"
+    return f"""
+ev AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+       FROM events),
+p0 AS (SELECT {_payload_cols()}, CAST(NULL AS VARCHAR) AS settings_id FROM ev),
+p AS (SELECT * REPLACE (CASE WHEN event_type = 'view' AND k % 4 = 3 THEN CAST(NULL AS VARCHAR[]) ELSE sel END
+                        AS sel) FROM p0),
+log0 AS (SELECT *, {case} AS type FROM p),
+log AS (SELECT *, CASE WHEN type = 'PREPARE_ROLLBACK' THEN 'UPDATE' END AS fail_event_type FROM log0)"""
+
+
+GENERIC_SNAPSHOTS = ("SAVED", "CREATED", "UPDATED")
+_GENERIC_REQ = {"create_confirm": ("r_create", "CREATE", "CREATE_CONFIRMED", "CREATED"),
+                "update_confirm": ("r_update", "UPDATE", "UPDATE_CONFIRMED", "UPDATED")}
+
+
+def _generic_rule_sql(name: str) -> str:
+    S = row_settings("s")
+    own = "FROM own o LEFT JOIN log s ON s.seq = o.snap_seq"
+    if name in _GENERIC_REQ:
+        col, _, trig, out = _GENERIC_REQ[name]
+        return f"""SELECT {_event_select(_q(out), [("true", row_settings("r"))])}
+FROM own o JOIN log r ON r.seq = o.{col}_seq
+WHERE o.type = {_q(trig)} AND r.session_id = o.session_id"""
+    if name in ("update_cancel", "delete_cancel"):
+        trig, out = (("UPDATE_FAILED", "UPDATE_CANCELLED") if name == "update_cancel"
+                     else ("DELETE_FAILED", "DELETE_CANCELLED"))
+        return f"""SELECT {_event_select(_q(out), [("true", S)], exc="o.exception_type")}
+{own} WHERE o.type = {_q(trig)} AND s.seq IS NOT NULL"""
+    if name == "rollback":
+        return f"""SELECT {_event_select("'ROLLBACK'", [("s.seq IS NOT NULL", S)], fail="o.fail_event_type")}
+{own} WHERE o.type = 'PREPARE_ROLLBACK'"""
+    if name == "partial_update":
+        R = row_settings("r")
+        merged = {f: f"coalesce({R[f]}, {S[f]})" for f in R}
+        return f"""SELECT {_event_select("'UPDATED'", [("true", merged)])}
+FROM own o JOIN log r ON r.seq = o.r_update_seq LEFT JOIN log s ON s.seq = o.snap_seq
+WHERE o.type = 'UPDATE_CONFIRMED' AND r.session_id = o.session_id"""
+    raise KeyError(name)
+
+
+GENERIC_RULES = ["create_confirm", "update_confirm", "update_cancel", "delete_cancel", "rollback"]
+
+
+def generic_sql(rules: list[str] | None = None) -> str:
+    w = "(PARTITION BY aggregate_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    reqs = ",\n  ".join(
+        f"last_value(CASE WHEN type = {_q(req)} THEN seq END IGNORE NULLS) OVER {w} AS {col}_seq"
+        for col, req, _, _ in _GENERIC_REQ.values())
+    body = "\nUNION ALL\n".join(_generic_rule_sql(r) for r in (rules or GENERIC_RULES))
+    return f"""WITH {generic_ctes()},
+own AS (SELECT l.*, last_value(CASE WHEN type IN {_in(GENERIC_SNAPSHOTS)} THEN seq END IGNORE NULLS) OVER {w}
+               AS snap_seq, {reqs}
+        FROM log l WHERE aggregate_id IS NOT NULL)
+{body}"""
+
+
+def enrich_reference_sql() -> str:
+    return """SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, c.c_name, c.c_nationkey, n.n_name
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""
+
+
+def delete_reference_check_sql() -> str:
+    return """WITH r AS (SELECT DISTINCT l_partkey FROM lineitem
+           WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_partkey IS NOT NULL)
+SELECT p.p_partkey, CASE WHEN r.l_partkey IS NOT NULL THEN 'REFUSED' ELSE 'ALLOWED' END AS decision,
+       CASE WHEN r.l_partkey IS NOT NULL THEN 'ItemReferenced' END AS error_type,
+       CASE WHEN r.l_partkey IS NOT NULL THEN 'l_partkey' END AS ref_field,
+       CASE WHEN r.l_partkey IS NOT NULL THEN CAST(p.p_partkey AS VARCHAR) END AS ref_value
+FROM part p LEFT JOIN r ON r.l_partkey = p.p_partkey"""
+
+
+def malformed_sql() -> str:
+    return """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+WHERE props IS NOT NULL AND json_valid(props)"""

@@ -29,9 +29,13 @@ TYPE_BY_K5 = {
 # k % 5 == 4 and view: request type by k range
 REQUEST_BY_K = [(25, "SELECT"), (50, "DESELECT"), (75, "CLEAR_SELECTION"), (None, "SAVE")]
 
-# generic (create/update) profile, by event_type
-GENERIC_TYPES = {"view": None, "click": None, "error": "UPDATE_FAILED", "purchase": "SAVED",
-                 "signup": "PREPARE_ROLLBACK"}
+# generic (create/update) profile, by (event_type, k % 2); None = either parity
+GENERIC_BY_PARITY = {
+    ("view", 0): "CREATE", ("view", 1): "UPDATE",
+    ("click", 0): "CREATE_CONFIRMED", ("click", 1): "UPDATE_CONFIRMED",
+    ("error", 0): "DELETE_FAILED", ("error", 1): "UPDATE_FAILED",
+    ("purchase", None): "SAVED", ("signup", None): "PREPARE_ROLLBACK",
+}
 
 # profile D (decisions): state type by k % 10
 PROFILE_D_TYPES = ["SAVED", "SAVED", "DELETED", "SAVE", "SAVE_CANCELLED", "SELECTED", "DESELECTED", "SELECT",
@@ -159,17 +163,19 @@ def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generic_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Create/update log for the generic lifecycle: view = CREATE or UPDATE,
-    click = the matching confirmation, error = UPDATE_FAILED, purchase = SAVED
-    (snapshot), signup = PREPARE_ROLLBACK."""
+    """Create/update log for the generic lifecycle (``GENERIC_BY_PARITY``): even
+    ``k`` drives create/delete, odd ``k`` update; purchase rows are SAVED
+    snapshots, signup rows PREPARE_ROLLBACK. Update requests with ``k % 4 == 3``
+    carry no selection (a partial edit)."""
     events = read_table(spark, sf_dir, "events")
     p = _payload(events, with_modulus=False)
     k, et = F.col("k"), F.col("event_type")
-    t = (F.when((et == "view") & (k % 2 == 0), "CREATE").when(et == "view", "UPDATE")
-         .when((et == "click") & (k % 2 == 0), "CREATE_CONFIRMED").when(et == "click", "UPDATE_CONFIRMED"))
-    for src, dst in GENERIC_TYPES.items():
-        if dst is not None:
-            t = t.when(et == src, dst)
+    partial = (et == "view") & (k % 4 == 3)
+    p = p.withColumn("_sel", F.when(partial, F.lit(None).cast("array<string>")).otherwise(F.col("_sel")))
+    t = None
+    for (src, parity), dst in GENERIC_BY_PARITY.items():
+        cond = (et == src) & ((k % 2 == parity) if parity is not None else F.lit(True))
+        t = F.when(cond, F.lit(dst)) if t is None else t.when(cond, F.lit(dst))
     fail = F.when(t == "PREPARE_ROLLBACK", "UPDATE")
     return _finish(p, t, fail)
 
