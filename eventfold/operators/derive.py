@@ -217,10 +217,11 @@ def _assemble(rows: DataFrame, rules: Sequence[Rule], as_of: Column | None) -> D
         "last_snapshot_item": F.lit(None).cast(SETTINGS),
     })
     out_type = chain("type", F.lit(None).cast("string"))
+    hop = (_col("hop") + 1).cast("int") if "hop" in rows.columns else F.lit(1)
     cols = {
-        "hop": F.lit(1),
+        "hop": hop,
         "seq": _col("seq"),
-        "event_id": F.concat(_col("event_id"), F.lit("#1")),
+        "event_id": F.concat(_col("event_id"), F.lit("#"), hop.cast("string")),
         "type": out_type,
         "selection_req": F.lit(None).cast(rows.schema["selection_req"].dataType),
         "persistence": F.lit(None).cast(rows.schema["persistence"].dataType),
@@ -263,7 +264,9 @@ def _own_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequenc
     triggers = [r.trigger for r in rules]
     x = log.where(_col("type").isin(triggers + _table_types(snapshot_types, needed, requests))
                   & _col("aggregate_id").isNotNull())
-    x = attach_last_before(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests), chunk=chunk)
+    tiebreak = ("hop",) if "hop" in log.columns else ()
+    x = attach_last_before(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests),
+                           tiebreak=tiebreak, chunk=chunk)
     return _assemble(x.where(_col("type").isin(triggers)), rules, as_of)
 
 
@@ -274,17 +277,19 @@ def _source_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequ
     as-of pass on that key; a null source id never matches and is dropped."""
     triggers = [r.trigger for r in rules]
     t = _col("type")
+    cols = (["hop"] if "hop" in log.columns else []) + EVENT_COLUMNS
+    hop = [_col("hop")] if "hop" in log.columns else []
     snaps = (log.where(t.isin(list(snapshot_types)) & _col("aggregate_id").isNotNull())
-             .select(_col("aggregate_id").alias("_key"), "seq", F.lit(True).alias("_is_table"),
+             .select(_col("aggregate_id").alias("_key"), "seq", *hop, F.lit(True).alias("_is_table"),
                      F.struct("seq", "user_id", "settings").alias("_val"),
-                     F.lit(None).cast(log.select(F.struct(*EVENT_COLUMNS).alias("r")).schema["r"].dataType)
+                     F.lit(None).cast(log.select(F.struct(*cols).alias("r")).schema["r"].dataType)
                      .alias("_row")))
     trig = (log.where(t.isin(triggers) & _col("persistence.settings_id").isNotNull())
-            .select(_col("persistence.settings_id").alias("_key"), "seq", F.lit(False).alias("_is_table"),
+            .select(_col("persistence.settings_id").alias("_key"), "seq", *hop, F.lit(False).alias("_is_table"),
                     F.lit(None).cast(snaps.schema["_val"].dataType).alias("_val"),
-                    F.struct(*EVENT_COLUMNS).alias("_row")))
+                    F.struct(*cols).alias("_row")))
     x = attach_last_before(snaps.unionByName(trig), "_key", "seq", {SNAP: (_col("_is_table"), _col("_val"))},
-                           chunk=chunk)
+                           tiebreak=tuple(c for c in ("hop",) if c in log.columns), chunk=chunk)
     rows = x.where(~_col("_is_table")).select("_row.*", SNAP)
     return _assemble(rows, rules, as_of)
 

@@ -240,3 +240,14 @@ def src_malformed_skip_q(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "props")
     good, _bad = split_malformed(ev, "props", T.StructType([T.StructField("k", T.IntegerType())]))
     return good.select("event_id", "k")
+
+
+# --- closure (no SQL oracle: a fixpoint over derived rows) -------------------
+
+from eventfold.operators.closure import lifecycle_closure  # noqa: E402
+
+
+@register("lifecycle_closure")
+def lifecycle_closure_q(spark, sf_dir):
+    """OP-46b: the fixture log closed under every rule (derived events re-enter the log)."""
+    return flatten_events(lifecycle_closure(lifecycle_log(spark, sf_dir)))
