@@ -237,21 +237,26 @@ def _assemble(rows: DataFrame, rules: Sequence[Rule], as_of: Column | None) -> D
 
 def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
            snapshot_types: Sequence[str] = SNAPSHOT_TYPES, as_of: Column | None = None, chunk: int | None = None,
-           requests: dict[str, str] | None = None) -> DataFrame:
+           requests: dict[str, str] | None = None, attach: Callable | None = None) -> DataFrame:
     """Derived events (``hop`` + event-log columns) of the chosen rules over a
     log that already holds its earlier derived events (OP-46a when ``ops`` is
     None). ``ops`` holds rule names or :class:`Rule` objects; ``requests`` maps
     request-table names to their request type (default: the settings ones).
     ``as_of`` stamps clone and access dates; default: the trigger's date.
+    ``attach`` replaces the batch as-of scan (the streaming form passes its
+    keyed-state version); the rules are the same Column expressions.
     """
+    if attach is None:
+        def attach(df, key, order, tables, tiebreak=()):
+            return attach_last_before(df, key, order, tables, tiebreak=tiebreak, chunk=chunk)
     rules = ([RULES_BY_NAME[o] if isinstance(o, str) else o for o in ops] if ops is not None else list(RULES))
     own = [r for r in rules if not r.source_keyed]
     src = [r for r in rules if r.source_keyed]
     parts = []
     if own:
-        parts.append(_own_key_pass(log, own, snapshot_types, as_of, chunk, requests))
+        parts.append(_own_key_pass(log, own, snapshot_types, as_of, attach, requests))
     if src:
-        parts.append(_source_key_pass(log, src, snapshot_types, as_of, chunk))
+        parts.append(_source_key_pass(log, src, snapshot_types, as_of, attach))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -259,19 +264,18 @@ def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
 
 
 def _own_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
-                  as_of: Column | None, chunk: int | None, requests: dict[str, str] | None = None) -> DataFrame:
+                  as_of: Column | None, attach: Callable, requests: dict[str, str] | None = None) -> DataFrame:
     needed = {n for r in rules for n in r.tables}
     triggers = [r.trigger for r in rules]
     x = log.where(_col("type").isin(triggers + _table_types(snapshot_types, needed, requests))
                   & _col("aggregate_id").isNotNull())
     tiebreak = ("hop",) if "hop" in log.columns else ()
-    x = attach_last_before(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests),
-                           tiebreak=tiebreak, chunk=chunk)
+    x = attach(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak)
     return _assemble(x.where(_col("type").isin(triggers)), rules, as_of)
 
 
 def _source_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
-                     as_of: Column | None, chunk: int | None) -> DataFrame:
+                     as_of: Column | None, attach: Callable) -> DataFrame:
     """Save and clone read the snapshot of ``persistence.settings_id``: snapshot
     rows keyed by their own id and trigger rows keyed by the source id share one
     as-of pass on that key; a null source id never matches and is dropped."""
@@ -288,8 +292,8 @@ def _source_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequ
             .select(_col("persistence.settings_id").alias("_key"), "seq", *hop, F.lit(False).alias("_is_table"),
                     F.lit(None).cast(snaps.schema["_val"].dataType).alias("_val"),
                     F.struct(*cols).alias("_row")))
-    x = attach_last_before(snaps.unionByName(trig), "_key", "seq", {SNAP: (_col("_is_table"), _col("_val"))},
-                           tiebreak=tuple(c for c in ("hop",) if c in log.columns), chunk=chunk)
+    x = attach(snaps.unionByName(trig), "_key", "seq", {SNAP: (_col("_is_table"), _col("_val"))},
+               tiebreak=tuple(c for c in ("hop",) if c in log.columns))
     rows = x.where(~_col("_is_table")).select("_row.*", SNAP)
     return _assemble(rows, rules, as_of)
 

@@ -1,0 +1,58 @@
+"""Streaming pipelines over the event log (OP-01..03, 05..07, 46a).
+
+The same rules as the batch jobs, on streaming frames: the as-of step is the
+keyed-state processor, everything else is the unchanged Column logic. Sinks
+are append-only and checkpointed (exactly-once for file sinks); on a cluster
+the checkpoint must be in the shared folder named by ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from eventfold.operators.decisions import command_events, decide
+from eventfold.operators.derive import Rule, derive
+from eventfold.operators.state import snapshot_events
+from eventfold.schema import SNAPSHOT_TYPES
+from eventfold.session import checkpoint_dir
+from eventfold.sources.log import StreamPolicy
+from eventfold.streaming.asof_state import stream_attach_last_before
+
+
+def stream_derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
+                  snapshot_types: Sequence[str] = SNAPSHOT_TYPES, as_of: Column | None = None) -> DataFrame:
+    """OP-46a on a stream: derived events of each arriving row."""
+    return derive(log, ops, snapshot_types, as_of, attach=stream_attach_last_before)
+
+
+def _start(df: DataFrame, name: str, fmt: str, path: str | None, policy: StreamPolicy) -> StreamingQuery:
+    ckpt = policy.checkpoint or os.path.join(checkpoint_dir(df.sparkSession), "streams", name)
+    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", ckpt).queryName(name)
+    if policy.trigger_ms:
+        w = w.trigger(processingTime=f"{policy.trigger_ms} milliseconds")
+    return w.start(path) if path else w.start()
+
+
+def start_snapshot_sink(log: DataFrame, path: str | None, fmt: str = "parquet",
+                        policy: StreamPolicy = StreamPolicy(), name: str = "snapshot_sink",
+                        snapshot_types: Sequence[str] = SNAPSHOT_TYPES) -> StreamingQuery:
+    """OP-05: final events appended to the snapshot table."""
+    return _start(snapshot_events(log, snapshot_types), name, fmt, path, policy)
+
+
+def start_derived_sink(log: DataFrame, path: str | None, fmt: str = "parquet",
+                       policy: StreamPolicy = StreamPolicy(), name: str = "derived_sink") -> StreamingQuery:
+    """OP-06: every derived event appended back to the log (one sink keyed by item)."""
+    return _start(stream_derive(log), name, fmt, path, policy)
+
+
+def start_command_events_sink(commands: DataFrame, state: DataFrame, path: str | None, fmt: str = "parquet",
+                              policy: StreamPolicy = StreamPolicy(), name: str = "command_events_sink"
+                              ) -> StreamingQuery:
+    """OP-07: accepted commands of a command stream, decided against a state
+    table (stream-static join), appended to the log."""
+    return _start(command_events(decide(commands, state)), name, fmt, path, policy)
