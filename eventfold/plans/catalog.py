@@ -251,3 +251,11 @@ from eventfold.operators.closure import lifecycle_closure  # noqa: E402
 def lifecycle_closure_q(spark, sf_dir):
     """OP-46b: the fixture log closed under every rule (derived events re-enter the log)."""
     return flatten_events(lifecycle_closure(lifecycle_log(spark, sf_dir)))
+
+
+@register("alerts", ssql.alerts_sql())
+def alerts_q(spark, sf_dir):
+    """OP-45 + OP-50: the alert frame of the fixture log."""
+    log = lifecycle_log(spark, sf_dir)
+    a = oc.alerts(session_mismatch_report(log), log)
+    return a.select("seq", "aggregate_id", "kind", "type", "session_id", us(F.col("date")).alias("date_us"))

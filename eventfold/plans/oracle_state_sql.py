@@ -253,3 +253,13 @@ def command_timeout_sql(timeout_ms: int = TIMEOUT_MS) -> str:
 SELECT seq, session_id, aggregate_id, {_q(Errors.CONFIRMATION_TIMEOUT)} AS error_type,
        'PREPARE_ROLLBACK' AS rollback_type, type AS fail_event_type, epoch_us(date) AS date_us
 FROM oc WHERE status = 'TIMEOUT'"""
+
+
+def alerts_sql() -> str:
+    inner = session_mismatch_sql().split("\nSELECT x.seq", 1)
+    return f"""{inner[0]},
+mism AS (SELECT x.seq{inner[1]})
+SELECT seq, aggregate_id, kind, type, session_id, date_us FROM mism
+UNION ALL
+SELECT seq, aggregate_id, 'ROLLBACK_FAILED' AS kind, fail_event_type AS type, session_id, epoch_us(date) AS date_us
+FROM log WHERE type = 'ROLLBACK_FAILED'"""
