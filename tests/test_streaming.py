@@ -53,3 +53,37 @@ def test_snapshot_sink(spark, batch_log):
     q.stop()
     assert spark.table("snaps").count() == batch_log.where(
         F.col("type").isin("SAVED", "SELECTED", "DESELECTED", "SELECTION_CLEARED")).count()
+
+
+def test_stream_outcome_equals_batch(spark):
+    from eventfold.operators.outcomes import command_outcome
+    from eventfold.sources.fixtures import outcome_log
+    from eventfold.streaming.outcomes_state import stream_command_outcome
+
+    timeout = 12 * 3600 * 1000
+    ev = outcome_log(spark, SF).cache()
+    src = tempfile.mkdtemp(prefix="run-src-", dir="/tmp")
+    ckpt = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
+    lo, hi = ev.agg(F.min("seq"), F.max("seq")).first()
+    step = (hi - lo) // 4 + 1
+    for i in range(4):
+        ev.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step)) \
+          .coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = stream_command_outcome(stream, F.col("type") == "COMMAND", timeout)
+    q = (out.writeStream.format("memory").queryName("outcomes").outputMode("append")
+         .option("checkpointLocation", ckpt).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r["seq"]: (r["status"], r["terminal_seq"], r["error_type"]) for r in spark.table("outcomes").collect()}
+    want = {r["seq"]: (r["status"], r["terminal_seq"], r["error_type"])
+            for r in command_outcome(ev, F.col("type") == "COMMAND", timeout).collect()}
+    # a stream settles a command once its terminal arrives or its deadline passes the watermark;
+    # commands still open at the end of the input are the only ones not reported
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+    assert set(got) <= set(want)
+    assert {k: want[k] for k in got} == got
+    last_ms = ev.agg(F.max(F.unix_millis("date"))).first()[0]
+    open_cmds = {r["seq"] for r in ev.where((F.col("type") == "COMMAND")
+                                            & (F.unix_millis("date") + timeout >= last_ms)).collect()}
+    assert set(want) - set(got) <= open_cmds
