@@ -90,7 +90,36 @@ def build_lifecycle(log: DataFrame, spec: LifecycleSpec | None = None, only: Seq
     if spec.enrich_update is not None:
         log = spec.enrich_update(log)
     rules = [r for r in spec.rules() if only is None or r.name in only]
-    return derive(log, rules, spec.snapshot_types, as_of, chunk, requests=LifecycleSpec.REQUESTS)
+    out = derive(log, rules, spec.snapshot_types, as_of, chunk, requests=LifecycleSpec.REQUESTS)
+    if spec.delete_check is not None and (only is None or "delete_check" in only):
+        out = out.unionByName(spec.delete_check(log))
+    return out
+
+
+def referenced_delete_hook(references: DataFrame, ref_key: str, ref_field: str | None = None):
+    """OP-38 as the spec's delete hook: a DELETE request whose item is still
+    referenced yields DELETE_FAILED with ``ItemReferenced`` and the referencing
+    field and value as arguments (the failed-delete rule then cancels it)."""
+    from eventfold.operators.references import delete_reference_check
+    from eventfold.schema import EVENT_COLUMNS, Errors
+
+    field_name = ref_field or ref_key
+
+    def hook(log: DataFrame) -> DataFrame:
+        deletes = log.where(F.col("type") == Types.DELETE)
+        checked = delete_reference_check(deletes, "aggregate_id", references, ref_key)
+        failed = checked.where(F.col("decision") == "REFUSED")
+        cols = {c: F.col(c) for c in EVENT_COLUMNS}
+        cols.update({
+            "event_id": F.concat(F.col("event_id"), F.lit("#1")),
+            "type": F.lit(Types.DELETE_FAILED),
+            "exception_type": F.lit(Errors.ITEM_REFERENCED),
+            "arguments": F.create_map(F.lit(field_name), F.col("aggregate_id")),
+        })
+        for c in ("settings", "selection_req", "persistence", "fail_event_type", "last_snapshot_item"):
+            cols[c] = F.lit(None).cast(log.schema[c].dataType)
+        return failed.select(F.lit(1).alias("hop"), *[v.alias(k) for k, v in cols.items()])
+    return hook
 
 
 def partial_update(log: DataFrame, snapshot_types: Sequence[str] = (Types.SAVED, Types.CREATED, Types.UPDATED),

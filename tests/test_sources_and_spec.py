@@ -69,3 +69,13 @@ def test_enrich_and_reference_check(spark):
     chk = {r["item"]: (r["decision"], r["error_type"]) for r in
            delete_reference_check(req, "item", refs, "ref").collect()}
     assert chk == {1: ("REFUSED", "ItemReferenced"), 2: ("ALLOWED", None)}
+
+
+def test_spec_delete_hook(spark):
+    from eventfold.plans.lifecycle import referenced_delete_hook
+    rows = [event(1, "DELETE", key="a"), event(2, "DELETE", key="b")]
+    refs = spark.createDataFrame([("a",), ("a",)], "item_ref string")
+    spec = LifecycleSpec(delete_check=referenced_delete_hook(refs, "item_ref", "vessel"))
+    out = build_lifecycle(log_df(spark, rows), spec, chunk=0).collect()
+    assert [(r["aggregate_id"], r["type"], r["exception_type"], r["arguments"]) for r in out] == \
+        [("a", "DELETE_FAILED", "ItemReferenced", {"vessel": "a"})]
