@@ -22,13 +22,18 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, app: str = "eventfold", shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
+    """A session with the settings above. ``driver_memory`` matters in local
+    mode only, where the driver JVM runs every task; it takes effect when this
+    call starts the JVM."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

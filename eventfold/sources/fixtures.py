@@ -75,9 +75,9 @@ def _with_k(events: DataFrame, *cols: str) -> DataFrame:
             .withColumn("k", F.col("_k_text").cast("int")).drop("_k_text"))
 
 
-def _settings_id_modulus(events: DataFrame) -> DataFrame:
-    """One row: ``m`` about 10% above the number of users (max id + 1)."""
-    return events.agg(((F.max("user_id") + 1) * 11 + 9).alias("_n")).select((F.col("_n") / 10).cast("long").alias("_m"))
+def _settings_id_modulus(events: DataFrame) -> Column:
+    """Scalar subquery: ``m`` about 10% above the number of users (max id + 1)."""
+    return events.agg((((F.max("user_id") + 1) * 11 + 9) / 10).cast("long")).scalar()
 
 
 def _type_column(event_type: Column, k: Column) -> Column:
@@ -99,10 +99,8 @@ def _type_column(event_type: Column, k: Column) -> Column:
 def _payload(events: DataFrame, with_modulus: bool) -> DataFrame:
     """Common columns of every fixture: key, k, date and the payload fields."""
     e = _with_k(events, "event_id", "ts", "user_id", "event_type")
-    if with_modulus:
-        e = e.crossJoin(F.broadcast(_settings_id_modulus(events)))  # one row
-    else:
-        e = e.withColumn("_m", F.lit(None).cast("long"))
+    m = _settings_id_modulus(events) if with_modulus else F.lit(None).cast("long")
+    e = e.withColumn("_m", m)
     date = ntz_to_timestamp("ts")
     k = F.col("k")
     return e.select(
@@ -186,9 +184,9 @@ def decision_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     last third, targeting ``(user_id * 7 + k) % m`` so some targets have no state."""
     events = read_table(spark, sf_dir, "events")
     p = _payload(events, with_modulus=True)
-    bounds = events.agg(F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi"))
-    p = p.crossJoin(F.broadcast(bounds))  # one row
-    cut = F.col("_lo") + (F.col("_hi") - F.col("_lo") + 1) * 2 / 3
+    lo = events.agg(F.min("event_id")).scalar()
+    hi = events.agg(F.max("event_id")).scalar()
+    cut = lo + (hi - lo + 1) * 2 / 3
     k = F.col("k")
     state_type = F.element_at(F.array(*[F.lit(x) for x in PROFILE_D_TYPES]), (k % 10 + 1).cast("int"))
     state = _finish(p.where(F.col("seq") < cut), state_type, F.lit(None).cast("string"))
