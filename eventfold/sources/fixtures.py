@@ -48,8 +48,9 @@ PROFILE_O_TYPES = {"view": "COMMAND", "click": "SELECTED", "error": "SELECT_CANC
                    "signup": "NO_TERMINAL"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced_scan(df) if balanced else df
 
 
 def balanced_scan(df: DataFrame) -> DataFrame:
@@ -96,10 +97,12 @@ def _type_column(event_type: Column, k: Column) -> Column:
     return F.coalesce(out, req)
 
 
-def _payload(events: DataFrame, with_modulus: bool) -> DataFrame:
-    """Common columns of every fixture: key, k, date and the payload fields."""
+def _payload(events: DataFrame, with_modulus: bool, raw: DataFrame | None = None) -> DataFrame:
+    """Common columns of every fixture: key, k, date and the payload fields.
+    Scalars are aggregated over ``raw`` (the plain scan: a partial aggregate
+    needs no rebalancing)."""
     e = _with_k(events, "event_id", "ts", "user_id", "event_type")
-    m = _settings_id_modulus(events) if with_modulus else F.lit(None).cast("long")
+    m = _settings_id_modulus(raw if raw is not None else events) if with_modulus else F.lit(None).cast("long")
     e = e.withColumn("_m", m)
     date = ntz_to_timestamp("ts")
     k = F.col("k")
@@ -154,7 +157,7 @@ def _finish(p: DataFrame, type_col: Column, fail_type: Column) -> DataFrame:
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settings event log (``EVENT_LOG`` schema) over the driver's events."""
     events = read_table(spark, sf_dir, "events")
-    p = _payload(events, with_modulus=True)
+    p = _payload(events, with_modulus=True, raw=read_table(spark, sf_dir, "events", balanced=False))
     t = _type_column(F.col("event_type"), F.col("k"))
     fail = F.when(t == "PREPARE_ROLLBACK", F.when(F.col("k") % 2 == 0, "SAVE").otherwise("PARTIAL_SELECT"))
     return _finish(p, t, fail)
@@ -183,10 +186,10 @@ def decision_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     thirds of ``seq`` with types from ``PROFILE_D_TYPES``; the commands are the
     last third, targeting ``(user_id * 7 + k) % m`` so some targets have no state."""
     events = read_table(spark, sf_dir, "events")
-    p = _payload(events, with_modulus=True)
-    lo = events.agg(F.min("event_id")).scalar()
-    hi = events.agg(F.max("event_id")).scalar()
-    cut = lo + (hi - lo + 1) * 2 / 3
+    raw = read_table(spark, sf_dir, "events", balanced=False)
+    p = _payload(events, with_modulus=True, raw=raw)
+    bounds = raw.agg(F.struct(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))).scalar()
+    cut = bounds["lo"] + (bounds["hi"] - bounds["lo"] + 1) * 2 / 3
     k = F.col("k")
     state_type = F.element_at(F.array(*[F.lit(x) for x in PROFILE_D_TYPES]), (k % 10 + 1).cast("int"))
     state = _finish(p.where(F.col("seq") < cut), state_type, F.lit(None).cast("string"))
