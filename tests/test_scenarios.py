@@ -1,7 +1,6 @@
 """End-to-end compensation scenarios: a command without confirmation times
 out and is rolled back; a command on a locked item rolls the lock back."""
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from eventfold.operators.state import latest_state
 from eventfold.streaming.pipeline import start_command_events_sink
 from eventfold.sources.log import StreamPolicy
 from eventfold.schema import COMMANDS
-from helpers import T0, command, commands_df, event, log_df, selection_req, settings
+from helpers import command, commands_df, event, log_df, selection_req, settings
 
 HOUR = 3600 * 1000
 
