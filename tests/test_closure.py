@@ -53,3 +53,20 @@ def test_closure_is_a_fixpoint_of_derive_once(spark):
     # every event derived from a closed log is already in it
     assert again.exceptAll(have).count() == 0
     assert full.where(F.col("hop") > 0).count() > 0
+
+
+def test_closure_matches_sequential_model(spark):
+    from brute_closure import closure as brute
+    from eventfold.sources.fixtures import lifecycle_log
+
+    log = lifecycle_log(spark, "/root/testdata/sf0.001")
+    rows = [r.asDict(recursive=True) for r in log.collect()]
+    want = sorted((r["seq"], r["hop"], r["aggregate_id"], r["type"], r["exception_type"],
+                   tuple((r["settings"] or {}).get("selection") or ()) if r["hop"] else ())
+                  for r in brute(rows))
+    got_df = lifecycle_closure(log, chunk=64)
+    got = sorted((r["seq"], r["hop"], r["aggregate_id"], r["type"], r["exception_type"],
+                  tuple((r["settings"] or {}).get("selection") or ()) if r["hop"] else ())
+                 for r in (x.asDict(recursive=True) for x in got_df.collect()))
+    assert len(want) > len(rows)
+    assert got == want
