@@ -14,7 +14,10 @@ split into *chunks* of ``order`` (``floor(order / chunk)``):
    partial aggregate (map-side combine, so a hot key is reduced before the
    shuffle);
 2. the carry-in of a chunk is the nearest non-null summary of the chunks
-   before (after) it - a window over the summaries, one row per chunk;
+   before (after) it - a window over the summaries, one row per chunk. When
+   the caller needs lookups only for some rows (``want``, e.g. triggers), it
+   is kept only where such a row precedes (follows) the chunk's own table
+   rows, so a sparse key spread over many chunks adds few sentinels;
 3. the carry enters the row stream as one sentinel row per chunk, ordered
    before (after) the chunk's real rows; rows are then windowed within
    ``(key, chunk)`` - one hash exchange on both columns, so a hot key is
@@ -44,22 +47,26 @@ def default_chunk(spark: SparkSession) -> int:
 
 
 def attach_last_before(df: DataFrame, key: str, order: str, tables: Tables,
-                       tiebreak: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
+                       tiebreak: Sequence[str] = (), chunk: int | None = None,
+                       want: Column | None = None) -> DataFrame:
     """Add one column per table: the ``value`` of the last row with the same
     ``key``, strictly before this row in ``(order, *tiebreak)``, where the table's
     condition holds. ``value`` must be non-null on table rows (use a struct).
-    Rows with a null key see nothing."""
-    return _scan(df, key, order, tables, tiebreak, chunk, forward=False)
+    Rows with a null key see nothing. With ``want``, only rows where it holds
+    get their lookups (others get null), which lets the scan skip carry-ins no
+    wanted row needs."""
+    return _scan(df, key, order, tables, tiebreak, chunk, forward=False, want=want)
 
 
 def attach_first_after(df: DataFrame, key: str, order: str, tables: Tables,
-                       tiebreak: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
+                       tiebreak: Sequence[str] = (), chunk: int | None = None,
+                       want: Column | None = None) -> DataFrame:
     """Mirror of :func:`attach_last_before`: the first table row strictly after."""
-    return _scan(df, key, order, tables, tiebreak, chunk, forward=True)
+    return _scan(df, key, order, tables, tiebreak, chunk, forward=True, want=want)
 
 
 def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequence[str],
-          chunk: int | None, forward: bool) -> DataFrame:
+          chunk: int | None, forward: bool, want: Column | None = None) -> DataFrame:
     if chunk is None:
         chunk = default_chunk(df.sparkSession)
     names = list(tables)
@@ -73,27 +80,48 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
         frame = (Window.unboundedPreceding, -1)
         near = lambda c: F.last(c, ignorenulls=True)
 
+    wanted = F.coalesce(want, F.lit(False)) if want is not None else F.lit(True)
     if not chunk:
         w = Window.partitionBy(key).orderBy(*sort_cols).rowsBetween(*frame)
-        return df.select("*", *[near(picks[n]).over(w).alias(n) for n in names])
+        return df.select("*", *[F.when(wanted, near(picks[n]).over(w)).alias(n) for n in names])
 
     ck, ordk = "_asof_chunk", "_asof_ord"
     base = df.withColumn(ck, F.floor(F.col(order) / F.lit(chunk)).cast("long"))
 
     # 1. per (key, chunk) the chunk's last (first) table value - a partial
-    #    aggregate, so a hot key is reduced map-side before the shuffle
+    #    aggregate, so a hot key is reduced map-side before the shuffle. With
+    #    ``want``, also where the chunk's wanted rows and its table rows start
+    #    (end), to tell which chunks need a carry-in at all.
     rank = F.struct(*sort_cols) if tiebreak else F.col(order)
     pick_by = F.min_by if forward else F.max_by
+    edge_of = F.max if forward else F.min
+    extra = []
+    if want is not None:
+        extra = [edge_of(F.when(wanted, rank)).alias("_edge"),
+                 *[edge_of(F.when(picks[n].isNotNull(), rank)).alias(f"_e_{n}") for n in names]]
     summary = (base.where(keyed)
                .groupBy(key, ck)
-               .agg(*[pick_by(picks[n], F.when(picks[n].isNotNull(), rank)).alias(f"_s_{n}") for n in names]))
+               .agg(*[pick_by(picks[n], F.when(picks[n].isNotNull(), rank)).alias(f"_s_{n}") for n in names],
+                    *extra))
 
     # 2. carry-in of each chunk: nearest non-null summary of the chunks before
-    #    (after) it - a window over one row per chunk
+    #    (after) it - a window over one row per chunk. With ``want`` a chunk
+    #    gets it for a table only if a wanted row of it comes before (after)
+    #    the chunk's own rows of that table.
     w_c = Window.partitionBy(key).orderBy(ck).rowsBetween(*frame)
-    carry = (summary.select(key, ck, *[near(F.col(f"_s_{n}")).over(w_c).alias(f"_v_{n}") for n in names])
-             .where(F.greatest(*[F.col(f"_v_{n}").isNotNull() for n in names]) if len(names) > 1
-                    else F.col(f"_v_{names[0]}").isNotNull()))
+
+    def needed(n: str) -> Column:
+        if want is None:
+            return F.lit(True)
+        own, edge = F.col(f"_e_{n}"), F.col("_edge")
+        # a wanted row that is itself the first (last) table row still looks
+        # strictly before (after) itself, hence <= (>=)
+        return edge.isNotNull() & (own.isNull() | ((edge >= own) if forward else (edge <= own)))
+
+    carry = summary.select(key, ck, *[F.when(needed(n), near(F.col(f"_s_{n}")).over(w_c)).alias(f"_v_{n}")
+                                      for n in names])
+    carry = carry.where(F.greatest(*[F.col(f"_v_{n}").isNotNull() for n in names]) if len(names) > 1
+                        else F.col(f"_v_{names[0]}").isNotNull())
 
     # 3. carry rows enter the row stream as sentinels ordered before (after)
     #    every real row of their (key, chunk); one exchange, one window, no join
@@ -105,4 +133,5 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
     rows = real.unionByName(sentinels)
     w_in = Window.partitionBy(key, ck).orderBy(F.col(ordk), *sort_cols).rowsBetween(*frame)
     out = rows.select("*", *[near(F.col(f"_v_{n}")).over(w_in).alias(f"_r_{n}") for n in names])
-    return out.where(F.col(ordk) == 1).select(*df.columns, *[F.col(f"_r_{n}").alias(n) for n in names])
+    return out.where(F.col(ordk) == 1).select(
+        *df.columns, *[F.when(wanted, F.col(f"_r_{n}")).alias(n) for n in names])

@@ -247,8 +247,8 @@ def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
     keyed-state version); the rules are the same Column expressions.
     """
     if attach is None:
-        def attach(df, key, order, tables, tiebreak=()):
-            return attach_last_before(df, key, order, tables, tiebreak=tiebreak, chunk=chunk)
+        def attach(df, key, order, tables, tiebreak=(), want=None):
+            return attach_last_before(df, key, order, tables, tiebreak=tiebreak, chunk=chunk, want=want)
     rules = ([RULES_BY_NAME[o] if isinstance(o, str) else o for o in ops] if ops is not None else list(RULES))
     own = [r for r in rules if not r.source_keyed]
     src = [r for r in rules if r.source_keyed]
@@ -270,7 +270,8 @@ def _own_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequenc
     x = log.where(_col("type").isin(triggers + _table_types(snapshot_types, needed, requests))
                   & _col("aggregate_id").isNotNull())
     tiebreak = ("hop",) if "hop" in log.columns else ()
-    x = attach(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak)
+    x = attach(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak,
+               want=_col("type").isin(triggers))
     return _assemble(x.where(_col("type").isin(triggers)), rules, as_of)
 
 
@@ -293,7 +294,7 @@ def _source_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequ
                     F.lit(None).cast(snaps.schema["_val"].dataType).alias("_val"),
                     F.struct(*cols).alias("_row")))
     x = attach(snaps.unionByName(trig), "_key", "seq", {SNAP: (_col("_is_table"), _col("_val"))},
-               tiebreak=tuple(c for c in ("hop",) if c in log.columns))
+               tiebreak=tuple(c for c in ("hop",) if c in log.columns), want=~_col("_is_table"))
     rows = x.where(~_col("_is_table")).select("_row.*", SNAP)
     return _assemble(rows, rules, as_of)
 
@@ -311,7 +312,8 @@ def session_mismatch_report(log: DataFrame, chunk: int | None = None) -> DataFra
     needed = [name for name, _ in REQUEST_TABLES.values()]
     x = log.where(_col("type").isin(triggers + [req for _, req in REQUEST_TABLES.values()])
                   & _col("aggregate_id").isNotNull())
-    x = attach_last_before(x, "aggregate_id", "seq", _table_specs((), needed), chunk=chunk)
+    x = attach_last_before(x, "aggregate_id", "seq", _table_specs((), needed), chunk=chunk,
+                           want=_col("type").isin(triggers))
     req = None
     for trig, (name, _) in REQUEST_TABLES.items():
         req = F.when(_col("type") == trig, _col(name)) if req is None else req.when(_col("type") == trig, _col(name))

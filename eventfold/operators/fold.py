@@ -36,7 +36,7 @@ def fold_history(log: DataFrame, family: str = "persistence", accepts: Sequence[
     accepted = t.isin(acc)
     rows = log.where(F.col("aggregate_id").isNotNull()).select("aggregate_id", "seq", "type", "version", "settings")
     marked = attach_last_before(rows, "aggregate_id", "seq", {"_lock_before": (~accepted, F.lit(True))},
-                                chunk=chunk)
+                                chunk=chunk, want=accepted)
     live = accepted & F.col("_lock_before").isNull()
     return (marked.groupBy("aggregate_id").agg(
         F.max_by(F.col("version"), F.when(live, F.col("seq"))).alias("version"),

@@ -60,9 +60,10 @@ class AsOfProcessor(StatefulProcessor):
 
 
 def stream_attach_last_before(df: DataFrame, key: str, order: str, tables: Mapping[str, tuple[Column, Column]],
-                              tiebreak: Sequence[str] = ()) -> DataFrame:
+                              tiebreak: Sequence[str] = (), want: Column | None = None) -> DataFrame:
     """Streaming counterpart of :func:`eventfold.operators.asof.attach_last_before`
-    (same arguments and result columns)."""
+    (same arguments and result columns; every row gets its lookups, ``want`` is
+    accepted for the same call shape)."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     names = list(tables)

@@ -45,3 +45,20 @@ def test_several_tables_one_pass(spark):
         "y": (F.col("type") == "Y", F.struct("val"))}, chunk=2)
     res = {r["seq"]: (r["x"] and r["x"]["val"], r["y"] and r["y"]["val"]) for r in got.collect()}
     assert res == {1: (None, None), 2: (10, None), 3: (10, 20), 4: (10, 20), 5: (40, 20)}
+
+
+@pytest.mark.parametrize("chunk", [0, 1, 5, 64])
+@pytest.mark.parametrize("forward", [False, True])
+def test_wanted_rows_only(spark, chunk, forward):
+    rnd = random.Random(100 + chunk + forward)
+    rows = []
+    for seq in range(300):
+        key = "hot" if rnd.random() < 0.4 else f"k{rnd.randrange(8)}"
+        rows.append((seq * 5 + rnd.randrange(5), key, rnd.random() < 0.3, rnd.randrange(1000)))
+    df = spark.createDataFrame(rows, "seq long, key string, is_table boolean, val int")
+    fn = attach_first_after if forward else attach_last_before
+    got = fn(df, "key", "seq", {"t": (F.col("is_table"), F.struct("val"))}, chunk=chunk,
+             want=F.col("seq") % 2 == 0)
+    brute = _brute(rows, forward)
+    res = {r["seq"]: (r["t"]["val"] if r["t"] is not None else None) for r in got.collect()}
+    assert res == {s: (v if s % 2 == 0 else None) for s, v in brute.items()}
