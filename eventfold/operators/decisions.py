@@ -39,10 +39,18 @@ def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
     """Commands plus ``decision`` (ACCEPTED / REJECTED / IGNORED), ``out_type``,
     ``version``, ``error_type``, ``error_args`` and the looked-up states
     ``_st`` (target) and ``_src`` (clone source)."""
-    x = (commands
+    # Only clones have a source; the other commands get a key that can match
+    # nothing - (false, their own cmd_seq) - instead of null, so they spread
+    # over the shuffle instead of all hashing into the one null-key partition.
+    src_state = _state_view(state, "_src").withColumn("_src_has", F.lit(True))
+    cmds = commands.select(
+        "*", F.col("source_id").isNotNull().alias("_has_src"),
+        F.coalesce(F.col("source_id"), F.col("cmd_seq").cast("string")).alias("_src_probe"))
+    x = (cmds
          .join(_state_view(state, "_st"), F.col("target_id") == F.col("_st_key"), "left")
-         .join(_state_view(state, "_src"), F.col("source_id") == F.col("_src_key"), "left")
-         .drop("_st_key", "_src_key"))
+         .join(src_state, (F.col("_has_src") == F.col("_src_has")) & (F.col("_src_probe") == F.col("_src_key")),
+               "left")
+         .drop("_st_key", "_src_key", "_src_has", "_has_src", "_src_probe"))
     cmd, st, src = F.col("command"), F.col("_st"), F.col("_src")
     sel_family = cmd.isin(*SELECTION_COMMANDS)
 

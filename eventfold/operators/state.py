@@ -41,7 +41,7 @@ def state_get(state: DataFrame, ids: DataFrame | Column | Sequence[str], id_col:
     """OP-09 ``get``: state rows of the wanted ids (a semi-join, so repeated
     wanted ids never duplicate a state row)."""
     if isinstance(ids, DataFrame):
-        wanted = ids.select(F.col(ids.columns[0]).alias(id_col))
+        wanted = ids.select(F.col(ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull())
         return state.join(wanted, id_col, "left_semi")
     if isinstance(ids, Column):
         return state.where(ids)
