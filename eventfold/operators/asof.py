@@ -14,7 +14,11 @@ split into *chunks* of ``order`` (``floor(order / chunk)``):
    partial aggregate (map-side combine, so a hot key is reduced before the
    shuffle);
 2. the carry-in of a chunk is the nearest non-null summary of the chunks
-   before (after) it - a window over the summaries, one row per chunk. When
+   before (after) it: a window per key over one row per chunk, i.e. a key's
+   order range / chunk width rows (2^20 for a range of 2^40 at the default
+   width, the same bound as a chunk's rows). For longer ranges the summaries
+   can be scanned the same way one level up, in groups of 1024 chunks
+   (``eventfold.asof.summaryLevels``; each level costs two small exchanges). When
    the caller needs lookups only for some rows (``want``, e.g. triggers), it
    is kept only where such a row precedes (follows) the chunk's own table
    rows, so a sparse key spread over many chunks adds few sentinels;
@@ -37,6 +41,11 @@ from pyspark.sql import functions as F
 
 CHUNK_CONF = "eventfold.asof.chunk"
 DEFAULT_CHUNK = 1 << 20
+# With summary levels > 0 the chunk summaries are scanned the same way, in
+# groups of SUMMARY_FANOUT chunks (session conf ``eventfold.asof.summaryLevels``).
+SUMMARY_FANOUT = 1 << 10
+LEVELS_CONF = "eventfold.asof.summaryLevels"
+SUMMARY_LEVELS = 0
 
 Tables = Mapping[str, tuple[Column, Column]]
 
@@ -46,6 +55,10 @@ def default_chunk(spark: SparkSession) -> int:
     return int(spark.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK)))
 
 
+def summary_levels(spark: SparkSession) -> int:
+    return int(spark.conf.get(LEVELS_CONF, str(SUMMARY_LEVELS)))
+
+
 def attach_last_before(df: DataFrame, key: str, order: str, tables: Tables,
                        tiebreak: Sequence[str] = (), chunk: int | None = None,
                        want: Column | None = None) -> DataFrame:
@@ -66,9 +79,12 @@ def attach_first_after(df: DataFrame, key: str, order: str, tables: Tables,
 
 
 def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequence[str],
-          chunk: int | None, forward: bool, want: Column | None = None) -> DataFrame:
+          chunk: int | None, forward: bool, want: Column | None = None, level: int = 0,
+          levels: int | None = None) -> DataFrame:
     if chunk is None:
         chunk = default_chunk(df.sparkSession)
+    if levels is None:
+        levels = summary_levels(df.sparkSession)
     names = list(tables)
     keyed = F.col(key).isNotNull()
     picks = {n: F.when(keyed & F.coalesce(cond, F.lit(False)), value) for n, (cond, value) in tables.items()}
@@ -85,7 +101,7 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
         w = Window.partitionBy(key).orderBy(*sort_cols).rowsBetween(*frame)
         return df.select("*", *[F.when(wanted, near(picks[n]).over(w)).alias(n) for n in names])
 
-    ck, ordk = "_asof_chunk", "_asof_ord"
+    ck, ordk = f"_asof_chunk{level}", f"_asof_ord{level}"
     base = df.withColumn(ck, F.floor(F.col(order) / F.lit(chunk)).cast("long"))
 
     # 1. per (key, chunk) the chunk's last (first) table value - a partial
@@ -105,11 +121,9 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
                     *extra))
 
     # 2. carry-in of each chunk: nearest non-null summary of the chunks before
-    #    (after) it - a window over one row per chunk. With ``want`` a chunk
-    #    gets it for a table only if a wanted row of it comes before (after)
-    #    the chunk's own rows of that table.
-    w_c = Window.partitionBy(key).orderBy(ck).rowsBetween(*frame)
-
+    #    (after) it - the same scan one level up, over one row per chunk. With
+    #    ``want`` a chunk gets it for a table only if a wanted row of it comes
+    #    before (after) the chunk's own rows of that table.
     def needed(n: str) -> Column:
         if want is None:
             return F.lit(True)
@@ -118,8 +132,17 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
         # strictly before (after) itself, hence <= (>=)
         return edge.isNotNull() & (own.isNull() | ((edge >= own) if forward else (edge <= own)))
 
-    carry = summary.select(key, ck, *[F.when(needed(n), near(F.col(f"_s_{n}")).over(w_c)).alias(f"_v_{n}")
-                                      for n in names])
+    if level < levels:
+        # the summaries of a hot key grow with its order range: scan them the
+        # same way, in groups of SUMMARY_FANOUT chunks, instead of one window
+        # per key
+        near_s = _scan(summary, key, ck, {n: (F.col(f"_s_{n}").isNotNull(), F.col(f"_s_{n}")) for n in names},
+                       (), SUMMARY_FANOUT, forward, None, level + 1, levels)
+        carry = near_s.select(key, ck, *[F.when(needed(n), F.col(n)).alias(f"_v_{n}") for n in names])
+    else:
+        w_c = Window.partitionBy(key).orderBy(ck).rowsBetween(*frame)
+        carry = summary.select(key, ck, *[F.when(needed(n), near(F.col(f"_s_{n}")).over(w_c)).alias(f"_v_{n}")
+                                          for n in names])
     carry = carry.where(F.greatest(*[F.col(f"_v_{n}").isNotNull() for n in names]) if len(names) > 1
                         else F.col(f"_v_{names[0]}").isNotNull())
 

@@ -62,3 +62,21 @@ def test_wanted_rows_only(spark, chunk, forward):
     brute = _brute(rows, forward)
     res = {r["seq"]: (r["t"]["val"] if r["t"] is not None else None) for r in got.collect()}
     assert res == {s: (v if s % 2 == 0 else None) for s, v in brute.items()}
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_multi_level_summaries(spark, monkeypatch, forward):
+    from eventfold.operators import asof
+    monkeypatch.setattr(asof, "SUMMARY_FANOUT", 4)
+    spark.conf.set(asof.LEVELS_CONF, "3")
+    rnd = random.Random(11 + forward)
+    rows = [(seq * 2 + rnd.randrange(2), "hot" if rnd.random() < 0.5 else f"k{rnd.randrange(4)}",
+             rnd.random() < 0.08, rnd.randrange(1000)) for seq in range(500)]
+    df = spark.createDataFrame(rows, "seq long, key string, is_table boolean, val int")
+    fn = attach_first_after if forward else attach_last_before
+    try:
+        got = fn(df, "key", "seq", {"t": (F.col("is_table"), F.struct("val"))}, chunk=2)
+        res = {r["seq"]: (r["t"]["val"] if r["t"] is not None else None) for r in got.collect()}
+    finally:
+        spark.conf.unset(asof.LEVELS_CONF)
+    assert res == _brute(rows, forward)
