@@ -43,12 +43,16 @@ def get_session(master: str | None = None, app: str = "eventfold", shuffle_parti
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local fallback is
-    set only when the session has none (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only when the
+    session names none and runs in local mode (one machine, no cluster) is a
+    folder of this machine used; on a cluster an unset setting is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if fallback is None and spark.sparkContext.master.startswith("local"):
+            import tempfile
+            fallback = tempfile.mkdtemp(prefix="eventfold-ckpt-")
         if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set")
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder all executors share")
         d = fallback
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

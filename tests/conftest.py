@@ -9,7 +9,11 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from eventfold.session import get_session
     s = get_session("local[4]", app="eventfold-tests", shuffle_partitions=4)
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp"))
     yield s
     s.stop()
