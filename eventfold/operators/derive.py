@@ -2,11 +2,11 @@
 
 Every rule is a stream-table join in the original: a trigger row of one type
 meets the latest snapshot, or the latest request of one type, of its key, and
-a payload transform decides the derived event (or none). Here all rules that
-join on the item's own key share **one** as-of pass (one exchange), and the
-two rules keyed by a foreign key (save and clone read the *source* item's
-snapshot) share a second pass on that key. The derived event is then chosen
-by a ``when`` chain on the trigger's type - no per-rule scan of the log.
+a payload transform decides the derived event (or none). Here all rules share
+**one** as-of pass (one exchange of the log): triggers are keyed by the item
+whose tables they read - their own id, or for save and clone the *source*
+item's id - and the derived event is chosen by a ``when`` chain on the
+trigger's type - no per-rule scan of the log.
 """
 
 from __future__ import annotations
@@ -250,53 +250,38 @@ def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
         def attach(df, key, order, tables, tiebreak=(), want=None):
             return attach_last_before(df, key, order, tables, tiebreak=tiebreak, chunk=chunk, want=want)
     rules = ([RULES_BY_NAME[o] if isinstance(o, str) else o for o in ops] if ops is not None else list(RULES))
-    own = [r for r in rules if not r.source_keyed]
-    src = [r for r in rules if r.source_keyed]
-    parts = []
-    if own:
-        parts.append(_own_key_pass(log, own, snapshot_types, as_of, attach, requests))
-    if src:
-        parts.append(_source_key_pass(log, src, snapshot_types, as_of, attach))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _keyed_pass(log, rules, snapshot_types, as_of, attach, requests)
 
 
-def _own_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
-                  as_of: Column | None, attach: Callable, requests: dict[str, str] | None = None) -> DataFrame:
-    needed = {n for r in rules for n in r.tables}
-    triggers = [r.trigger for r in rules]
-    x = log.where(_col("type").isin(triggers + _table_types(snapshot_types, needed, requests))
-                  & _col("aggregate_id").isNotNull())
-    tiebreak = ("hop",) if "hop" in log.columns else ()
-    x = attach(x, "aggregate_id", "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak,
-               want=_col("type").isin(triggers))
-    return _assemble(x.where(_col("type").isin(triggers)), rules, as_of)
+KEY = "_k"
 
 
-def _source_key_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
-                     as_of: Column | None, attach: Callable) -> DataFrame:
-    """Save and clone read the snapshot of ``persistence.settings_id``: snapshot
-    rows keyed by their own id and trigger rows keyed by the source id share one
-    as-of pass on that key; a null source id never matches and is dropped."""
-    triggers = [r.trigger for r in rules]
+def _keyed_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
+                as_of: Column | None, attach: Callable, requests: dict[str, str] | None = None) -> DataFrame:
+    """One as-of pass for every rule. Rows are keyed by the item they look up:
+    table rows and own-key triggers by their own ``aggregate_id``; save/clone
+    triggers by ``persistence.settings_id`` (the item whose snapshot they read,
+    a null source never matches and is dropped). The two trigger sets have
+    distinct types, so one exchange of the log and one ``when`` chain serve all
+    rules."""
+    own = [r for r in rules if not r.source_keyed]
+    src = [r for r in rules if r.source_keyed]
+    needed = {n for r in rules for n in r.tables}
+    own_triggers = [r.trigger for r in own]
+    src_triggers = [r.trigger for r in src]
     t = _col("type")
-    cols = (["hop"] if "hop" in log.columns else []) + EVENT_COLUMNS
-    hop = [_col("hop")] if "hop" in log.columns else []
-    snaps = (log.where(t.isin(list(snapshot_types)) & _col("aggregate_id").isNotNull())
-             .select(_col("aggregate_id").alias("_key"), "seq", *hop, F.lit(True).alias("_is_table"),
-                     F.struct("seq", "user_id", "settings").alias("_val"),
-                     F.lit(None).cast(log.select(F.struct(*cols).alias("r")).schema["r"].dataType)
-                     .alias("_row")))
-    trig = (log.where(t.isin(triggers) & _col("persistence.settings_id").isNotNull())
-            .select(_col("persistence.settings_id").alias("_key"), "seq", *hop, F.lit(False).alias("_is_table"),
-                    F.lit(None).cast(snaps.schema["_val"].dataType).alias("_val"),
-                    F.struct(*cols).alias("_row")))
-    x = attach(snaps.unionByName(trig), "_key", "seq", {SNAP: (_col("_is_table"), _col("_val"))},
-               tiebreak=tuple(c for c in ("hop",) if c in log.columns), want=~_col("_is_table"))
-    rows = x.where(~_col("_is_table")).select("_row.*", SNAP)
-    return _assemble(rows, rules, as_of)
+    table_types = _table_types(snapshot_types, needed, requests)
+    keyed = (log.where(t.isin(own_triggers + table_types) & _col("aggregate_id").isNotNull())
+             .withColumn(KEY, _col("aggregate_id")))
+    if src:
+        by_source = (log.where(t.isin(src_triggers) & _col("persistence.settings_id").isNotNull())
+                     .withColumn(KEY, _col("persistence.settings_id")))
+        keyed = keyed.unionByName(by_source)
+    triggers = own_triggers + src_triggers
+    tiebreak = ("hop",) if "hop" in log.columns else ()
+    x = attach(keyed, KEY, "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak,
+               want=t.isin(triggers))
+    return _assemble(x.where(t.isin(triggers)), rules, as_of)
 
 
 def derive_once(log: DataFrame, snapshot_types: Sequence[str] = SNAPSHOT_TYPES, as_of: Column | None = None,

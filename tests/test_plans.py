@@ -50,9 +50,9 @@ def test_fold_reads_only_the_columns_it_needs(spark, stored):
 def test_derive_once_has_no_cartesian_or_nested_loop_join(spark, stored):
     p = plan(derive_once(stored))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    # the log is shuffled by (aggregate_id, chunk) once and by (source key, chunk) once
+    # one keyed pass: the log is shuffled by (lookup key, chunk) for all rules
     big = re.findall(r"hashpartitioning\((\w+)#\d+L?, _asof_chunk", p)
-    assert sorted(set(big)) == ["_key", "aggregate_id"], big
+    assert sorted(set(big)) == ["_k"], big
 
 
 def test_latest_state_uses_a_partial_aggregate(spark, stored):
