@@ -15,7 +15,7 @@ Streaming counterparts live in :mod:`eventfold.streaming`.
 
 from eventfold.operators.asof import attach_first_after, attach_last_before  # noqa: F401
 from eventfold.operators.closure import lifecycle_closure  # noqa: F401
-from eventfold.operators.decisions import command_events, decide, stuck_rollback  # noqa: F401
+from eventfold.operators.decisions import command_events, decide, decide_as_of, stuck_rollback  # noqa: F401
 from eventfold.operators.derive import derive, derive_once, session_mismatch_report  # noqa: F401
 from eventfold.operators.fold import fold_history  # noqa: F401
 from eventfold.operators.outcomes import (  # noqa: F401

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from eventfold.functions.predicates import author_differs, clone_visible, is_locked, within_timeout
 from eventfold.functions.settings import version_next
+from eventfold.operators.asof import attach_last_before
 from eventfold.operators.state import latest_state
 from eventfold.schema import (
     HISTORY_NOT_FOUND_ARG, PERSISTENCE_ACCEPTS, SELECTION_ACCEPTS, Errors, Types,
@@ -38,7 +39,8 @@ def _state_view(state: DataFrame, alias: str) -> DataFrame:
 def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
     """Commands plus ``decision`` (ACCEPTED / REJECTED / IGNORED), ``out_type``,
     ``version``, ``error_type``, ``error_args`` and the looked-up states
-    ``_st`` (target) and ``_src`` (clone source)."""
+    ``_st`` (target) and ``_src`` (clone source), every command against the
+    same state table."""
     # Only clones have a source; the other commands get a key that can match
     # nothing - (false, their own cmd_seq) - instead of null, so they spread
     # over the shuffle instead of all hashing into the one null-key partition.
@@ -51,6 +53,50 @@ def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
          .join(src_state, (F.col("_has_src") == F.col("_src_has")) & (F.col("_src_probe") == F.col("_src_key")),
                "left")
          .drop("_st_key", "_src_key", "_src_has", "_has_src", "_src_probe"))
+    return _decide_looked_up(x)
+
+
+def decide_as_of(commands: DataFrame, log: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Point-in-time decisions: each command (ordered by ``cmd_seq`` on the
+    log's ``seq`` axis) against the latest event of its target - and of its
+    clone source - strictly before it. Commands enter the log's as-of scan as
+    rows keyed by the item they read (a clone twice), so there is no state
+    table and no join; a hot item is split like any other key."""
+    state_val = F.struct("aggregate_id", "type", "version", "user_id", "session_id", "date",
+                         F.col("settings.shared").alias("shared"), "fail_event_type")
+    cols = commands.columns
+    events = log.where(F.col("aggregate_id").isNotNull()).select(
+        F.col("aggregate_id").alias("_k"), F.col("seq").alias("_ord"), F.lit(0).alias("_role"),
+        state_val.alias("_state"), F.lit(None).cast(commands.select(F.struct(*cols).alias("c")).schema["c"].dataType)
+        .alias("_cmd"))
+    as_target = commands.where(F.col("target_id").isNotNull()).select(
+        F.col("target_id").alias("_k"), F.col("cmd_seq").alias("_ord"), F.lit(1).alias("_role"),
+        F.lit(None).cast(events.schema["_state"].dataType).alias("_state"), F.struct(*cols).alias("_cmd"))
+    as_source = commands.where(F.col("source_id").isNotNull()).select(
+        F.col("source_id").alias("_k"), F.col("cmd_seq").alias("_ord"), F.lit(2).alias("_role"),
+        F.lit(None).cast(events.schema["_state"].dataType).alias("_state"), F.struct(*cols).alias("_cmd"))
+    rows = events.unionByName(as_target).unionByName(as_source)
+    seen = attach_last_before(rows, "_k", "_ord", {"_seen": (F.col("_role") == 0, F.col("_state"))},
+                              tiebreak=("_role",), chunk=chunk, want=F.col("_role") > 0)
+    # a command sees its target state on one row and its source state on
+    # another: put them together per command (at most two rows per command)
+    per_cmd = (seen.where(F.col("_role") > 0)
+               .groupBy(F.col("_cmd.cmd_seq").alias("_cs"))
+               .agg(F.first("_cmd").alias("_cmd"),
+                    F.max_by("_seen", F.when(F.col("_role") == 1, F.lit(1))).alias("_st"),
+                    F.max_by("_seen", F.when(F.col("_role") == 2, F.lit(1))).alias("_src")))
+    # commands without a target still get a decision (no state)
+    no_target = commands.where(F.col("target_id").isNull()).select(
+        F.col("cmd_seq").alias("_cs"), F.struct(*cols).alias("_cmd"),
+        F.lit(None).cast(events.schema["_state"].dataType).alias("_st"),
+        F.lit(None).cast(events.schema["_state"].dataType).alias("_src"))
+    x = per_cmd.unionByName(no_target).select("_cmd.*", "_st", "_src")
+    return _decide_looked_up(x)
+
+
+def _decide_looked_up(x: DataFrame) -> DataFrame:
+    """The decision rules of the original aggregates, on commands that carry
+    their looked-up target (``_st``) and clone-source (``_src``) states."""
     cmd, st, src = F.col("command"), F.col("_st"), F.col("_src")
     sel_family = cmd.isin(*SELECTION_COMMANDS)
 

@@ -259,3 +259,13 @@ def alerts_q(spark, sf_dir):
     log = lifecycle_log(spark, sf_dir)
     a = oc.alerts(session_mismatch_report(log), log)
     return a.select("seq", "aggregate_id", "kind", "type", "session_id", us(F.col("date")).alias("date_us"))
+
+
+@register("command_decisions_as_of", ssql.decisions_sql())
+def command_decisions_as_of_q(spark, sf_dir):
+    """OP-34 point-in-time: each command against its items' latest events before it, in the log's as-of
+    scan (the fixture's commands all follow its state rows, so the oracle is the state-table one)."""
+    state, cmds = decision_log(spark, sf_dir)
+    d = dec.decide_as_of(cmds, state)
+    return d.select("cmd_seq", "command", "decision", "out_type", "version", "error_type",
+                    F.array_join("error_args", ",").alias("error_args"))
