@@ -87,3 +87,17 @@ def test_stream_outcome_equals_batch(spark):
     open_cmds = {r["seq"] for r in ev.where((F.col("type") == "COMMAND")
                                             & (F.unix_millis("date") + timeout >= last_ms)).collect()}
     assert set(want) - set(got) <= open_cmds
+
+
+def test_snapshot_sink_feeds_snapshot_source(spark, batch_log):
+    from eventfold.sources.log import read_snapshot_log, stream_snapshot_log
+    base = tempfile.mkdtemp(prefix="run-topic-", dir="/tmp") + "/settings"
+    ckpt = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
+    batch_log.coalesce(1).write.parquet(base)
+    q = start_snapshot_sink(stream_event_log(spark, base), base + "-snapshot", policy=StreamPolicy(checkpoint=ckpt),
+                            name="snap_to_file")
+    q.processAllAvailable()
+    q.stop()
+    n = read_snapshot_log(spark, base).count()
+    assert n == batch_log.where(F.col("type").isin("SAVED", "SELECTED", "DESELECTED", "SELECTION_CLEARED")).count()
+    assert stream_snapshot_log(spark, base).isStreaming
