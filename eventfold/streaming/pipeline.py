@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from eventfold.operators.decisions import command_events, decide
@@ -19,7 +19,7 @@ from eventfold.operators.derive import Rule, derive
 from eventfold.operators.state import snapshot_events
 from eventfold.schema import SNAPSHOT_TYPES
 from eventfold.session import checkpoint_dir
-from eventfold.sources.log import StreamPolicy
+from eventfold.sources.log import StreamPolicy, stream_event_log
 from eventfold.streaming.asof_state import stream_attach_last_before
 
 
@@ -56,3 +56,38 @@ def start_command_events_sink(commands: DataFrame, state: DataFrame, path: str |
     """OP-07: accepted commands of a command stream, decided against a state
     table (stream-static join), appended to the log."""
     return _start(command_events(decide(commands, state)), name, fmt, path, policy)
+
+
+def start_lifecycle_loop(spark: SparkSession, external_path: str, derived_path: str,
+                         policy: StreamPolicy = StreamPolicy(),
+                         name: str = "lifecycle_loop", snapshot_types: Sequence[str] = SNAPSHOT_TYPES,
+                         fmt: str = "parquet") -> StreamingQuery:
+    """OP-46b on a stream: derived events are appended to ``derived_path``,
+    which is also a source of the same query, so a derived event is processed
+    like any other in a later micro-batch (arrival order, as when the original
+    writes back to its input topic). External rows carry hop 0.
+
+    Each micro-batch writes its derived rows to ``derived_path/batch=<id>``
+    (overwritten if the batch is retried) and writes nothing when empty, so
+    the loop goes quiet once no rule fires."""
+    from pyspark.sql import functions as F
+
+    from eventfold.operators.closure import RELAY_RULES
+    from eventfold.operators.derive import RULES
+    from eventfold.schema import DERIVED, EVENT_COLUMNS
+
+    ext = stream_event_log(spark, external_path, policy, fmt).select(F.lit(0).alias("hop"), *EVENT_COLUMNS)
+    back = (spark.readStream.format(fmt).schema(DERIVED).option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", policy.max_files_per_trigger).load(derived_path))
+    derived = derive(ext.unionByName(back), list(RULES) + RELAY_RULES, snapshot_types,
+                     attach=stream_attach_last_before)
+
+    def write_back(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").format(fmt).save(f"{derived_path}/batch={batch_id}")
+
+    ckpt = policy.checkpoint or os.path.join(checkpoint_dir(spark), "streams", name)
+    w = derived.writeStream.foreachBatch(write_back).option("checkpointLocation", ckpt).queryName(name)
+    if policy.trigger_ms:
+        w = w.trigger(processingTime=f"{policy.trigger_ms} milliseconds")
+    return w.start()

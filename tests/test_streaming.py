@@ -101,3 +101,30 @@ def test_snapshot_sink_feeds_snapshot_source(spark, batch_log):
     n = read_snapshot_log(spark, base).count()
     assert n == batch_log.where(F.col("type").isin("SAVED", "SELECTED", "DESELECTED", "SELECTION_CLEARED")).count()
     assert stream_snapshot_log(spark, base).isStreaming
+
+
+def test_lifecycle_loop_closes_chains(spark):
+    from eventfold.operators.closure import lifecycle_closure
+    from eventfold.schema import DERIVED
+    from eventfold.streaming.pipeline import start_lifecycle_loop
+    from helpers import event, log_df, persistence, selection_req, settings
+
+    rows = [event(1, "SELECTED", key="a", settings=settings(name="named")),
+            event(2, "PARTIAL_SELECT", key="a", selection_req=selection_req()),
+            event(3, "CLONE", key="b", persistence=persistence(id="b", settings_id="missing")),
+            event(4, "SAVED", key="c", settings=settings(id="c")),
+            event(5, "CHECK_DELETE", key="c")]
+    ext = tempfile.mkdtemp(prefix="run-ext-", dir="/tmp") + "/log"
+    out = tempfile.mkdtemp(prefix="run-derived-", dir="/tmp")
+    ckpt = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
+    log_df(spark, rows).coalesce(1).write.parquet(ext)
+    q = start_lifecycle_loop(spark, ext, out, StreamPolicy(checkpoint=ckpt), name="loop")
+    for _ in range(6):  # each pass advances every chain one step
+        q.processAllAvailable()
+    q.stop()
+    got = sorted((r["seq"], r["hop"], r["type"]) for r in
+                 spark.read.schema(DERIVED).option("recursiveFileLookup", "true").parquet(out).collect())
+    want = sorted((r["seq"], r["hop"], r["type"]) for r in
+                  lifecycle_closure(log_df(spark, rows), chunk=0).where("hop > 0").collect())
+    assert got == want == [(2, 1, "SELECT_FAILED"), (2, 2, "SELECT_CANCELLED"), (3, 1, "SAVE_FAILED"),
+                           (3, 2, "SAVE_CANCELLED"), (5, 1, "DELETE_CHECKED"), (5, 2, "DELETE")]
