@@ -1,4 +1,4 @@
-"""Event-log sources and sinks for batch and streaming (OP-01..04, 06).
+"""Event-log sources for batch and streaming (OP-01..04); the sinks are in eventfold.streaming.
 
 The original reads Kafka topics with Avro values; here the log is a table of
 files with the declared ``EVENT_LOG`` schema (no inference). The Kafka
