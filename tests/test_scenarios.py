@@ -53,3 +53,14 @@ def test_command_events_stream(spark, tmp_path):
     q.stop()
     got = sorted((r["seq"], r["aggregate_id"], r["type"], r["version"]) for r in spark.table("cmd_events").collect())
     assert got == [(1, "a", "PARTIAL_SAVE", 3), (3, "new", "PARTIAL_SELECT", 1)]
+
+
+def test_rollback_after_rollback_failure_keeps_inner_type(spark):
+    # SAVE, then a failed rollback of it that carries SAVE_FAILED, then a command hits the lock
+    state = [event(1, "SAVE", version=1), event(2, "ROLLBACK_FAILED", fail_event_type="SAVE_FAILED", minutes=5)]
+    d = decide(commands_df(spark, [command(1, "update", "a", minutes=10)]), latest_state(log_df(spark, state)))
+    [prep] = stuck_rollback(d, timeout_ms=HOUR).collect()
+    assert prep["fail_event_type"] == "SAVE_FAILED"
+    log = state + [event(3, "PREPARE_ROLLBACK", fail_event_type=prep["fail_event_type"])]
+    [rb] = [r for r in derive_once(log_df(spark, log), chunk=0).collect() if r["seq"] == 3]
+    assert (rb["type"], rb["fail_event_type"], rb["last_snapshot_item"]) == ("ROLLBACK", "SAVE_FAILED", None)
