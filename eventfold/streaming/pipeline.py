@@ -91,3 +91,36 @@ def start_lifecycle_loop(spark: SparkSession, external_path: str, derived_path:
     if policy.trigger_ms:
         w = w.trigger(processingTime=f"{policy.trigger_ms} milliseconds")
     return w.start()
+
+
+class FailureAlerts:
+    """Failure watch for streaming queries: calls ``on_failure(query_id,
+    message)`` when a query terminates with an error (the original alerts and
+    closes its stream on an uncaught error). Register with :func:`watch_failures`."""
+
+    def __init__(self, on_failure):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        outer = on_failure
+
+        class _Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                pass
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                if event.exception:
+                    outer(str(event.id), event.exception)
+
+        self.listener = _Listener()
+
+
+def watch_failures(spark: SparkSession, on_failure) -> FailureAlerts:
+    alerts = FailureAlerts(on_failure)
+    spark.streams.addListener(alerts.listener)
+    return alerts

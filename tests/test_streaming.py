@@ -128,3 +128,30 @@ def test_lifecycle_loop_closes_chains(spark):
                   lifecycle_closure(log_df(spark, rows), chunk=0).where("hop > 0").collect())
     assert got == want == [(2, 1, "SELECT_FAILED"), (2, 2, "SELECT_CANCELLED"), (3, 1, "SAVE_FAILED"),
                            (3, 2, "SAVE_CANCELLED"), (5, 1, "DELETE_CHECKED"), (5, 2, "DELETE")]
+
+
+def test_failure_watch(spark):
+    import time
+
+    from eventfold.streaming.pipeline import watch_failures
+
+    seen = []
+    watch = watch_failures(spark, lambda qid, msg: seen.append((qid, msg)))
+    src = tempfile.mkdtemp(prefix="run-src-", dir="/tmp")
+    spark.range(3).write.parquet(src + "/d")
+
+    def boom(df, batch_id):
+        raise ValueError("sink down")
+
+    q = (spark.readStream.schema("id long").parquet(src + "/d").writeStream.foreachBatch(boom)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")).start())
+    try:
+        q.awaitTermination(60)
+    except Exception:
+        pass
+    for _ in range(50):
+        if seen:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(watch.listener)
+    assert seen and seen[0][0] == str(q.id) and "sink down" in seen[0][1]
