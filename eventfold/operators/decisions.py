@@ -36,11 +36,13 @@ def _state_view(state: DataFrame, alias: str) -> DataFrame:
                                  F.col("settings.shared").alias("shared"), "fail_event_type").alias(alias))
 
 
-def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
+def decide(commands: DataFrame, state: DataFrame, selection_accepts: Sequence[str] = SELECTION_ACCEPTS,
+           persistence_accepts: Sequence[str] = PERSISTENCE_ACCEPTS) -> DataFrame:
     """Commands plus ``decision`` (ACCEPTED / REJECTED / IGNORED), ``out_type``,
     ``version``, ``error_type``, ``error_args`` and the looked-up states
     ``_st`` (target) and ``_src`` (clone source), every command against the
-    same state table."""
+    same state table. A state whose type its family does not accept (the
+    ``*_accepts`` sets) locks the item."""
     # Only clones have a source; the other commands get a key that can match
     # nothing - (false, their own cmd_seq) - instead of null, so they spread
     # over the shuffle instead of all hashing into the one null-key partition.
@@ -53,10 +55,12 @@ def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
          .join(src_state, (F.col("_has_src") == F.col("_src_has")) & (F.col("_src_probe") == F.col("_src_key")),
                "left")
          .drop("_st_key", "_src_key", "_src_has", "_has_src", "_src_probe"))
-    return _decide_looked_up(x)
+    return _decide_looked_up(x, selection_accepts, persistence_accepts)
 
 
-def decide_as_of(commands: DataFrame, log: DataFrame, chunk: int | None = None) -> DataFrame:
+def decide_as_of(commands: DataFrame, log: DataFrame, chunk: int | None = None,
+                 selection_accepts: Sequence[str] = SELECTION_ACCEPTS,
+                 persistence_accepts: Sequence[str] = PERSISTENCE_ACCEPTS) -> DataFrame:
     """Point-in-time decisions: each command (ordered by ``cmd_seq`` on the
     log's ``seq`` axis) against the latest event of its target - and of its
     clone source - strictly before it. Commands enter the log's as-of scan as
@@ -91,18 +95,19 @@ def decide_as_of(commands: DataFrame, log: DataFrame, chunk: int | None = None)
         F.lit(None).cast(events.schema["_state"].dataType).alias("_st"),
         F.lit(None).cast(events.schema["_state"].dataType).alias("_src"))
     x = per_cmd.unionByName(no_target).select("_cmd.*", "_st", "_src")
-    return _decide_looked_up(x)
+    return _decide_looked_up(x, selection_accepts, persistence_accepts)
 
 
-def _decide_looked_up(x: DataFrame) -> DataFrame:
+def _decide_looked_up(x: DataFrame, selection_accepts: Sequence[str] = SELECTION_ACCEPTS,
+                      persistence_accepts: Sequence[str] = PERSISTENCE_ACCEPTS) -> DataFrame:
     """The decision rules of the original aggregates, on commands that carry
     their looked-up target (``_st``) and clone-source (``_src``) states."""
     cmd, st, src = F.col("command"), F.col("_st"), F.col("_src")
     sel_family = cmd.isin(*SELECTION_COMMANDS)
 
     def locked(s: Column) -> Column:
-        return s.isNotNull() & F.when(sel_family, is_locked(s["type"], SELECTION_ACCEPTS)) \
-            .otherwise(is_locked(s["type"], PERSISTENCE_ACCEPTS))
+        return s.isNotNull() & F.when(sel_family, is_locked(s["type"], selection_accepts)) \
+            .otherwise(is_locked(s["type"], persistence_accepts))
 
     def deleted(s: Column) -> Column:
         return s.isNotNull() & (s["type"] == Types.DELETED)

@@ -134,3 +134,12 @@ def test_decide_as_of_equals_decide_when_commands_follow_the_state(spark):
     a = sorted(map(tuple, decide(cmds, latest_state(state)).select(cols).collect()), key=str)
     b = sorted(map(tuple, decide_as_of(cmds, state).select(cols).collect()), key=str)
     assert a == b and len(a) > 100
+
+
+def test_lock_sets_are_parameters(spark):
+    log = log_df(spark, [event(1, "SAVE", version=2)])
+    cmds = commands_df(spark, [command(1, "update", "a")])
+    default = decide(cmds, latest_state(log)).first()
+    assert default["error_type"] == "ItemLocked"
+    relaxed = decide(cmds, latest_state(log), persistence_accepts=("SAVED", "SAVE", "DELETED")).first()
+    assert (relaxed["decision"], relaxed["version"]) == ("ACCEPTED", 3)
