@@ -1,3 +1,3 @@
 """Structured Streaming forms: the keyed-state as-of processor (``asof_state``),
 command outcome and timeout with event-time timers (``outcomes_state``), and the
-streaming pipelines and sinks, including the closure loop (``pipeline``)."""
+streaming jobs and sinks, including the closure loop (``jobs``)."""

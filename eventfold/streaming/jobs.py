@@ -1,4 +1,4 @@
-"""Streaming pipelines over the event log (OP-01..03, 05..07, 46a).
+"""Streaming jobs over the event log (OP-01..03, 05..07, 46a, 46b).
 
 The same rules as the batch jobs, on streaming frames: the as-of step is the
 keyed-state processor, everything else is the unchanged Column logic. Sinks

@@ -8,7 +8,7 @@ from eventfold.operators.decisions import decide, stuck_rollback
 from eventfold.operators.derive import derive_once
 from eventfold.operators.outcomes import command_outcome, command_timeout
 from eventfold.operators.state import latest_state
-from eventfold.streaming.pipeline import start_command_events_sink
+from eventfold.streaming.jobs import start_command_events_sink
 from eventfold.sources.log import StreamPolicy
 from eventfold.schema import COMMANDS
 from helpers import command, commands_df, event, log_df, selection_req, settings

@@ -10,7 +10,7 @@ from eventfold.plans.reports import flatten_events
 from eventfold.schema import EVENT_LOG
 from eventfold.sources.fixtures import lifecycle_log
 from eventfold.sources.log import StreamPolicy, stream_event_log
-from eventfold.streaming.pipeline import start_derived_sink, start_snapshot_sink
+from eventfold.streaming.jobs import start_derived_sink, start_snapshot_sink
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,7 +106,7 @@ def test_snapshot_sink_feeds_snapshot_source(spark, batch_log):
 def test_lifecycle_loop_closes_chains(spark):
     from eventfold.operators.closure import lifecycle_closure
     from eventfold.schema import DERIVED
-    from eventfold.streaming.pipeline import start_lifecycle_loop
+    from eventfold.streaming.jobs import start_lifecycle_loop
     from helpers import event, log_df, persistence, selection_req, settings
 
     rows = [event(1, "SELECTED", key="a", settings=settings(name="named")),
@@ -133,7 +133,7 @@ def test_lifecycle_loop_closes_chains(spark):
 def test_failure_watch(spark):
     import time
 
-    from eventfold.streaming.pipeline import watch_failures
+    from eventfold.streaming.jobs import watch_failures
 
     seen = []
     watch = watch_failures(spark, lambda qid, msg: seen.append((qid, msg)))
