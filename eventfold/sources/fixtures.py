@@ -57,10 +57,12 @@ def balanced_scan(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer splits than the cluster has cores (one
     parquet row group gives one task) before per-row work runs on it. A large
     input has far more splits than cores and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # a session without the RDD API (Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def ntz_to_timestamp(c: Column) -> Column:
