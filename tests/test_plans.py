@@ -73,3 +73,20 @@ def test_hot_key_same_result_any_chunk(spark, stored):
     a = sorted(map(tuple, flatten_events(derive_once(hot, chunk=0)).collect()))
     b = sorted(map(tuple, flatten_events(derive_once(hot, chunk=8)).collect()))
     assert a == b and len(a) > 0
+
+
+def test_hot_key_fold_and_outcome(spark, stored):
+    from eventfold.operators.outcomes import command_outcome
+    from eventfold.sources.fixtures import outcome_log
+
+    hot = stored.withColumn("aggregate_id", F.when(F.col("seq") % 3 == 0, F.lit("HOT"))
+                            .otherwise(F.col("aggregate_id")))
+    a = sorted(map(tuple, fold_history(hot, chunk=0).drop("settings").collect()))
+    b = sorted(map(tuple, fold_history(hot, chunk=16).drop("settings").collect()))
+    assert a == b and len(a) > 1
+    ev = outcome_log(spark, SF).withColumn(
+        "session_id", F.when(F.col("seq") % 3 == 0, F.lit("HOT")).otherwise(F.col("session_id")))
+    cmd = F.col("type") == "COMMAND"
+    a = sorted(map(tuple, command_outcome(ev, cmd, 3600 * 1000, chunk=0).collect()))
+    b = sorted(map(tuple, command_outcome(ev, cmd, 3600 * 1000, chunk=16).collect()))
+    assert a == b and len(a) > 10
