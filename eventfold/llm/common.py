@@ -68,3 +68,33 @@ def local_filesystem(uri: str):
     elif uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return fs.FileSystem.from_uri(uri)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, wherever they run: one zip in
+    the shared folder, added once per application."""
+    import io
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    folder = shared_path(spark, "package")
+    fs, at = local_filesystem(folder)
+    fs.create_dir(at, recursive=True)
+    with fs.open_output_stream(f"{at}/eventfold.zip") as out:
+        out.write(blob.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/eventfold.zip")
+    _shipped.add(app)

@@ -3,7 +3,7 @@
 The mix is a fixed number of equal-token blocks. Sources get blocks one at a
 time, each going to the highest quotient ``target / (2 * seats + 1)``; within a
 source its quota goes to its shards by the same rule over shard sizes; within a
-shard the quota picks blocks in seeded order, whole epochs first. A document's
+shard the quota picks blocks by a seeded permutation, whole epochs first. A document's
 ``taken`` is the number of its words inside picked blocks, repeats counted.
 
 Highest quotients are found without walking through seats one by one: with S
@@ -37,12 +37,18 @@ BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 20
 MAX_REPEATS = 3
 SEED = "mix-1"
+STEP = 2_147_483_647
 
 
-def _seed_rank(*cols: Column) -> Column:
+def _seeded(*cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(SEED), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
 
 
+def _number(*cols: Column) -> Column:
+    """A seeded 32-bit number."""
+    return F.conv(F.substring(_seeded(*cols), 1, 8), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, weight, target) from rows (source, size): weights
     repeat over the sources in code point order; a target stops at
@@ -113,8 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # every document to a shard of its source, then its place in the shard's stream of words
     placed = (sized.alias("s").join(quotas.alias("q"), F.col("s.source").eqNullSafe(F.col("q.source")))
               .select("s.doc_id", "s.source", "s.size", "q.source_size", "q.target", "q.source_quota",
-                      (F.conv(F.substring(_seed_rank(F.col("s.doc_id")), 1, 8), 16, 10).cast("long")
-                       % F.col("q.n_shards")).alias("shard")))
+                      (_number(F.col("s.doc_id")) % F.col("q.n_shards")).alias("shard")))
     stream = W.partitionBy("source", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "size")
     at = (placed.withColumn("end", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)))
           .withColumn("start", F.col("end") - F.col("size")))
@@ -127,30 +132,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
               .withColumn("epochs", F.floor(F.col("quota") / F.col("n_blocks")).cast("long"))
               .withColumn("extra", F.col("quota") - F.col("epochs") * F.col("n_blocks")))
 
-    # seeded block selection: of a shard's blocks, the `extra` first in seeded order are taken once more;
-    # `before` counts the picked ones ahead of a block
-    blocks = shards.select("source", "shard", "epochs", "extra", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    shard = W.partitionBy("source", "shard")
-    r = F.row_number().over(shard.orderBy(_seed_rank(F.col("source"), F.col("shard"), F.col("block")), "block"))
-    blocks = (blocks.withColumn("picked", (r <= F.col("extra")).cast("long"))
-              .withColumn("before", F.sum("picked").over(shard.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("picked"))
-              .select("source", "shard", "block", "epochs", "picked", "before"))
-
-    def words_before(rows: DataFrame, x: str, out: str) -> DataFrame:
-        """Adds the number of picked words of the shard's stream before ``x``."""
-        t, p = rows.alias("t"), blocks.alias("p")
-        # the block that holds x, or the last one where x is the stream's end
-        block = F.floor(F.greatest(F.col(f"t.{x}") - (F.lit(1) if x == "end" else F.lit(0)), F.lit(0)) / b).cast("long")
-        n = F.col("p.before") * block_words + F.col("p.picked") * (F.col(f"t.{x}") - F.col("p.block") * block_words)
-        extra = [F.col("p.epochs")] if x == "end" else []
-        return (t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.shard") == F.col("p.shard"))
-                       & (block == F.col("p.block")), "left").select("t.*", n.alias(out), *extra))
-
-    some, none = at.filter("size > 0"), at.filter("size = 0")
-    got = words_before(words_before(some, "start", "_from"), "end", "_to")
-    cols = ["doc_id", "size", "source_size", "target"]
-    return (got.select(*cols, (F.col("epochs") * F.col("size") + F.col("_to") - F.col("_from")).cast("long").alias("taken"), "source")
-            .unionByName(none.select(*cols, F.lit(0).cast("long").alias("taken"), "source")))
+    # seeded block selection: of a shard's n blocks, those whose place ``(STEP * block + offset) mod n`` is below
+    # ``extra`` are taken once more; STEP is a prime above n, so the places are a permutation of the blocks
+    s = shards.select("source", "shard", "n_blocks", "epochs", "extra",
+                      (_number(F.col("source"), F.col("shard")) % F.col("n_blocks")).alias("offset"))
+    at = (at.alias("a").join(s.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source")) & (F.col("a.shard") == F.col("s.shard")), "left")
+          .select("a.*", "s.n_blocks", "s.epochs", "s.extra", "s.offset"))
+    start, end = F.col("start"), F.col("end")
+    blocks = F.sequence(F.floor(start / b).cast("long"), F.floor((end - 1) / b).cast("long"))
+
+    def inside(block: Column) -> Column:
+        return F.least(end, (block + 1) * block_words) - F.greatest(start, block * block_words)
+
+    def picked(block: Column) -> Column:
+        return (block * F.lit(STEP).cast("long") + F.col("offset")) % F.col("n_blocks") < F.col("extra")
+
+    more = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, x: n + F.when(picked(x), inside(x)).otherwise(F.lit(0).cast("long")))
+    taken = F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + more).otherwise(F.lit(0))
+    return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
@@ -212,8 +211,7 @@ shard1 AS (
   FROM shard0 a LEFT JOIN shard_won b ON a.source IS NOT DISTINCT FROM b.source AND a.shard = b.shard WHERE n_blocks > 0),
 blocks AS (
   SELECT source, shard, epochs, block,
-         row_number() OVER (PARTITION BY source, shard ORDER BY
-           md5('{SEED}:' || coalesce(source, '') || ':' || shard || ':' || block), block) <= extra AS picked
+         ({STEP} * block + ('0x' || substr(md5('{SEED}:' || coalesce(source, '') || ':' || shard), 1, 8))::BIGINT % n_blocks) % n_blocks < extra AS picked
   FROM (SELECT *, unnest(range(0, n_blocks)) AS block FROM shard1)),
 words AS (
   SELECT a.source, a.shard, a.doc_id, a.size, a.hi,
