@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from .common import ship_package
+from . import mixing, packing, quality, secret_scan, syncmers, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,15 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(_table(spark, sf_dir, "documents"))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return operator(_table(spark, sf_dir, "documents"))
+    return query
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": _docs(mixing.op4),
+    "op6_closed_syncmers": _docs(syncmers.op6),
     "op7_quality_rules": _docs(quality.op7),
+    "op8_token_files": _docs(tokenfile.op8),
+    "op9_secret_ownership": _docs(secret_scan.op9),
+    "op10_harmonic_packing": _docs(packing.op10),
 }
 
 ORACLES: dict[str, str] = {
     "op4_source_mix": mixing.OP4_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op9_secret_ownership": secret_scan.OP9_SQL,
 }
