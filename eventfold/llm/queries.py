@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package
-from . import mixing, packing, quality, secret_scan, syncmers, tokenfile
+from . import mixing, packing, quality, recompression, secret_scan, syncmers, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def _docs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": _docs(mixing.op4),
+    "op5_recompression": _docs(recompression.op5),
     "op6_closed_syncmers": _docs(syncmers.op6),
     "op7_quality_rules": _docs(quality.op7),
     "op8_token_files": _docs(tokenfile.op8),
