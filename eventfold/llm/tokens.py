@@ -18,7 +18,7 @@ _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _PIECE = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _WORD = re.compile(f"[^{_WS}]+")
 END_ID = 1
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 800_000
 
 
 class Encoder:
@@ -35,9 +35,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cut = (_WORD if drops_blanks else _PIECE).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.drops_blanks = drops_blanks
+        # ids by piece, without and with a space in front: the recent and the older generation
+        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     @classmethod
     def of(cls, path: str, drops_blanks: bool) -> "Encoder":
@@ -47,26 +48,56 @@ class Encoder:
             cls._by_path[key] = cls(path, drops_blanks)
         return cls._by_path[key]
 
+    def _cut(self, text: str | None) -> list[tuple[int, list[str]]]:
+        """Pieces of a text as (1 if a space stands before each, pieces) runs."""
+        if not text:
+            return []
+        if self.drops_blanks:
+            # Python's split() also cuts at four separators that are no white space here
+            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+            return [(0, _WORD.findall(text) if odd else text.split())]
+        if text.replace("\n", " ").split(" ") != text.split():
+            return [(0, _PIECE.findall(text))]
+        # words with one space or one line feed between: the line feed is a piece, the space opens the next one
+        runs: list[tuple[int, list[str]]] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            runs.append((0, ["\n", first] if runs else [first]))
+            if rest:
+                runs.append((1, rest))
+        return runs
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         import numpy as np
 
-        cut = [self.cut(t) if t else [] for t in texts]
-        need = set().union(*cut)
-        known = {p: self.young[p] for p in need if p in self.young}
-        need -= known.keys()
-        again = {p: self.old[p] for p in need if p in self.old}
-        fresh = list(need - again.keys())
-        kind = f"<u{self.width}"
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i:i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                again[p] = np.array(e.ids, kind).tobytes()
-        if len(self.young) + len(again) > MEMORY_PIECES:
-            self.old, self.young = self.young, {}
-        self.young.update(again)
-        known.update(again)
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        cut = [self._cut(t) for t in texts]
+        young = self.young
+        got = [[list(map(young[space].get, pieces)) for space, pieces in runs] for runs in cut]
+        missing: tuple[set[str], set[str]] = (set(), set())
+        for runs, values in zip(cut, got):
+            for (space, pieces), found in zip(runs, values):
+                if None in found:
+                    missing[space].update(p for p, v in zip(pieces, found) if v is None)
+        if missing[0] or missing[1]:
+            kind = f"<u{self.width}"
+            now: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+            for space in (0, 1):
+                old = self.old[space]
+                now[space].update((p, old[p]) for p in missing[space] if p in old)
+                fresh = list(missing[space] - now[space].keys())
+                for i in range(0, len(fresh), 10_000):
+                    part = fresh[i:i + 10_000]
+                    encoded = self.tokenizer.encode_batch_fast([" " + p for p in part] if space else part, add_special_tokens=False)
+                    now[space].update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(part, encoded))
+            for runs, values in zip(cut, got):
+                for (space, pieces), found in zip(runs, values):
+                    if None in found:
+                        found[:] = [now[space][p] if v is None else v for p, v in zip(pieces, found)]
+            if sum(map(len, young)) + sum(map(len, now)) > MEMORY_PIECES:
+                self.old, self.young = young, ({}, {})
+            for space in (0, 1):
+                self.young[space].update(now[space])
+        return [b"".join([b"".join(found) for found in values]) for values in got]
 
 
 def batches(column, most_chars: int = 4_000_000):
