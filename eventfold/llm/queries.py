@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package
-from . import mixing, packing, quality, recompression, secret_scan, syncmers, tokenfile
+from . import mixing, near_dup, ngram_lm, packing, quality, recompression, secret_scan, syncmers, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,15 @@ def _docs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
     return query
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return toxicity.op1(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnpu_toxicity": _toxicity,
+    "op2_near_duplicates": _docs(near_dup.op2),
+    "op3_elias_fano_lm": _docs(ngram_lm.op3),
     "op4_source_mix": _docs(mixing.op4),
     "op5_recompression": _docs(recompression.op5),
     "op6_closed_syncmers": _docs(syncmers.op6),
@@ -32,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_elias_fano_lm": _docs(ngram_lm.op3),
     "op4_source_mix": mixing.OP4_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op9_secret_ownership": secret_scan.OP9_SQL,

@@ -142,10 +142,10 @@ def op9(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
 def mask(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "<secret>") -> DataFrame:
     """Pipeline stage: docs with every live-looking value replaced by ``mark``
     (the value only, so ``token = "..."`` keeps its key). Rows and columns stay."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))
-    judged = judge(whole.select("_r", F.col("_r")["text"].alias("text"), F.col("_r")["source"].alias("source"),
-                                F.col("_r")["lang"].alias("lang")), example_owners, id_col="_r")
-    text = F.col("doc_id")["text"]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))  # clashing names stay inside
+    judged = judge(whole.select("_r", *[F.col("_r")[c].alias(c) for c in ("text", "source", "lang")]), example_owners,
+                   id_col="_r").withColumnRenamed("doc_id", "_r")
+    text = F.col("_r")["text"]
 
     def cover(spans: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -162,7 +162,7 @@ def mask(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "<se
 
     live = F.filter("found", lambda s: s["n_owners"] < example_owners)
     new = F.when(F.size(live) > 0, let(live, cover)).otherwise(text)
-    return judged.select(*[(new if c == "text" else F.col("doc_id")[c]).alias(c) for c in docs.columns])
+    return judged.select(*[(new if c == "text" else F.col("_r")[c]).alias(c) for c in docs.columns])
 
 
 def _sql_kind(kind: str, rank: int, pattern: str, group: int, keep: str) -> str:

@@ -18,6 +18,9 @@ _ODD = 0x9E3779B97F4A7C15
 _STRIDE = 1 << 22
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Letters only: a-z, A-Z and the bytes of characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -46,7 +49,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words(NamedTuple):
     """``raw``: the column's bytes; ``texts``: bounds of the rows in it;
     ``starts``, ``ends``: bounds of the words; ``rows``: bounds of the rows in
-    words; ``hashes``: one 64-bit hash per word."""
+    words; ``hashes``: one 64-bit hash per word;
+    ``prefixes``: per asked length, hashes of the first bytes (0: not longer)."""
 
     raw: np.ndarray
     texts: np.ndarray
@@ -54,6 +58,7 @@ class Words(NamedTuple):
     ends: np.ndarray
     rows: np.ndarray
     hashes: np.ndarray
+    prefixes: tuple[np.ndarray, ...] = ()
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
@@ -72,22 +77,23 @@ def slices(column: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, p
         yield first, column.slice(first)
 
 
-def words(column: pa.Array, lower: bool) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row (none for null), hashed after
-    lower-casing A-Z if ``lower``."""
+def words(column: pa.Array, lower: bool, of: np.ndarray = _IS_WORD, prefixes: tuple[int, ...] = ()) -> Words:
+    """Runs of the bytes marked in ``of`` (words ``[^\\x20\\x09-\\x0D]+`` by default)
+    in each row, none for null, hashed after lower-casing A-Z if ``lower``."""
     column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(buffers[2], np.uint8)[offsets[0]:offsets[-1]] if buffers[2] is not None and len(offsets) else np.zeros(0, np.uint8)
     texts = offsets - offsets[0]
-    inside = _IS_WORD[raw]
+    inside = of[raw]
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = texts[(texts > 0) & (texts < len(raw))]
     before[edges], after[edges - 1] = False, False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     hashes = np.empty(len(starts), np.uint64)
+    heads = tuple(np.zeros(len(starts), np.uint64) for _ in prefixes)
     at = 0
     while at < len(starts):  # strides bound the memory of long columns
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + _STRIDE)))
@@ -98,8 +104,11 @@ def words(column: pa.Array, lower: bool) -> Words:
         np.cumsum(_BYTE[_LOWER[part] if lower else part] * up, out=sums[1:])
         s, e = starts[at:to] - lo, ends[at:to] - lo
         hashes[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        for head, n in zip(heads, prefixes):
+            longer = np.flatnonzero(e - s > n)
+            head[at:to][longer] = mix((sums[s[longer] + n] - sums[s[longer]]) * down[s[longer]] + np.uint64(n * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF))
         at = to
-    return Words(raw, texts, starts, ends, np.searchsorted(starts, texts), mix(hashes))
+    return Words(raw, texts, starts, ends, np.searchsorted(starts, texts), mix(hashes), heads)
 
 
 def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
