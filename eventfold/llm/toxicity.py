@@ -9,9 +9,9 @@ negative (when it would, the step goes against it, which stops the classifier
 from fitting single positives). ``pi`` is the share of toxic labels in the
 learning rows.
 
-Features are presence of words and of word beginnings of 4 to 6 bytes, letters
+Features are presence of words and of word beginnings of 4 to 8 bytes, letters
 only, A-Z lower-cased; nothing but the text enters a score. The features kept
-are those whose frequency differs most between P and U (z-score). ``models``
+are those far more frequent in P than in U (by z-score). ``models``
 classifiers, each on its own share of the sample, train in separate tasks; their
 weights are averaged.
 
@@ -38,7 +38,9 @@ from .common import fold, materialize
 from .wordtable import LETTERS, slices, words
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES, MODELS = 10_000, 30_000, 4096, 3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: A feature is kept if so many positives hold it and its z-score is at least this.
+MIN_POSITIVE, MIN_Z = 3, 4.0
 FOLDS = 5
 
 
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_positive: in
     z = (in_p - in_u) / F.sqrt(in_u * (1 - in_u) * (1 / n_p + 1 / n_u) + F.lit(1e-12))
     kept = (sample.select("positive", F.explode("features").alias("feature")).groupBy("feature")
             .agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-            .filter(F.col("p") + F.col("u") >= 5).orderBy(F.desc(F.abs(z)), "feature").limit(max_features)
+            .withColumn("z", z).filter((F.col("p") >= MIN_POSITIVE) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "feature").limit(max_features)
             .select("feature").collect())  # at most max_features
     if not kept:
         return nothing
