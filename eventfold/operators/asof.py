@@ -45,7 +45,7 @@ DEFAULT_CHUNK = 1 << 20
 # groups of SUMMARY_FANOUT chunks (session conf ``eventfold.asof.summaryLevels``).
 SUMMARY_FANOUT = 1 << 10
 LEVELS_CONF = "eventfold.asof.summaryLevels"
-SUMMARY_LEVELS = 0
+SUMMARY_LEVELS = 1
 
 Tables = Mapping[str, tuple[Column, Column]]
 

@@ -63,38 +63,38 @@ def decide_as_of(commands: DataFrame, log: DataFrame, chunk: int | None = None,
                  persistence_accepts: Sequence[str] = PERSISTENCE_ACCEPTS) -> DataFrame:
     """Point-in-time decisions: each command (ordered by ``cmd_seq`` on the
     log's ``seq`` axis) against the latest event of its target - and of its
-    clone source - strictly before it. Commands enter the log's as-of scan as
+    clone source - strictly before it in (seq, hop) order; one row per command. Commands enter the log's as-of scan as
     rows keyed by the item they read (a clone twice), so there is no state
     table and no join; a hot item is split like any other key."""
     state_val = F.struct("aggregate_id", "type", "version", "user_id", "session_id", "date",
                          F.col("settings.shared").alias("shared"), "fail_event_type")
     cols = commands.columns
     events = log.where(F.col("aggregate_id").isNotNull()).select(
-        F.col("aggregate_id").alias("_k"), F.col("seq").alias("_ord"), F.lit(0).alias("_role"),
+        F.col("aggregate_id").alias("_k"), F.col("seq").alias("_ord"), F.lit(3).alias("_role"),
+        (F.coalesce(F.col("hop"), F.lit(0)) if "hop" in log.columns else F.lit(0)).alias("_hop"), F.lit(None).cast("long").alias("_row"),
         state_val.alias("_state"), F.lit(None).cast(commands.select(F.struct(*cols).alias("c")).schema["c"].dataType)
         .alias("_cmd"))
-    as_target = commands.where(F.col("target_id").isNotNull()).select(
-        F.col("target_id").alias("_k"), F.col("cmd_seq").alias("_ord"), F.lit(1).alias("_role"),
-        F.lit(None).cast(events.schema["_state"].dataType).alias("_state"), F.struct(*cols).alias("_cmd"))
-    as_source = commands.where(F.col("source_id").isNotNull()).select(
-        F.col("source_id").alias("_k"), F.col("cmd_seq").alias("_ord"), F.lit(2).alias("_role"),
-        F.lit(None).cast(events.schema["_state"].dataType).alias("_state"), F.struct(*cols).alias("_cmd"))
-    rows = events.unionByName(as_target).unionByName(as_source)
-    seen = attach_last_before(rows, "_k", "_ord", {"_seen": (F.col("_role") == 0, F.col("_state"))},
-                              tiebreak=("_role",), chunk=chunk, want=F.col("_role") > 0)
-    # a command sees its target state on one row and its source state on
-    # another: put them together per command (at most two rows per command)
-    per_cmd = (seen.where(F.col("_role") > 0)
-               .groupBy(F.col("_cmd.cmd_seq").alias("_cs"))
+    # every command once per item it reads (role 1: target, 2: source); one without any still has its row (role 0).
+    # At equal seq commands come before events, so a command never sees an event at its own place.
+    reads = F.array(F.struct(F.lit(1).alias("role"), F.col("target_id").alias("key")),
+                    F.struct(F.lit(2).alias("role"), F.col("source_id").alias("key")),
+                    F.struct(F.lit(0).alias("role"), F.lit(None).cast("string").alias("key")))
+    asks = (commands.withColumn("_row", F.monotonically_increasing_id())
+            .select("_row", F.struct(*cols).alias("_cmd"), F.col("cmd_seq").alias("_ord"),
+                    F.explode(F.filter(reads, lambda r: (r["role"] == 0) | r["key"].isNotNull())).alias("_r"))
+            .select(F.col("_r.key").alias("_k"), "_ord", F.col("_r.role").alias("_role"), F.lit(0).alias("_hop"), "_row",
+                    F.lit(None).cast(events.schema["_state"].dataType).alias("_state"), "_cmd"))
+    seen = attach_last_before(events.unionByName(asks.where("_role > 0")), "_k", "_ord",
+                              {"_seen": (F.col("_role") == 3, F.col("_state"))},
+                              tiebreak=("_role", "_hop"), chunk=chunk, want=F.col("_role") < 3)
+    # target and source states meet per command (at most three rows each)
+    nothing = asks.where("_role = 0").select("_row", "_role", "_cmd", F.col("_state").alias("_seen"))
+    per_cmd = (seen.where(F.col("_role") < 3).select("_row", "_role", "_cmd", "_seen").unionByName(nothing)
+               .groupBy("_row")
                .agg(F.first("_cmd").alias("_cmd"),
                     F.max_by("_seen", F.when(F.col("_role") == 1, F.lit(1))).alias("_st"),
                     F.max_by("_seen", F.when(F.col("_role") == 2, F.lit(1))).alias("_src")))
-    # commands without a target still get a decision (no state)
-    no_target = commands.where(F.col("target_id").isNull()).select(
-        F.col("cmd_seq").alias("_cs"), F.struct(*cols).alias("_cmd"),
-        F.lit(None).cast(events.schema["_state"].dataType).alias("_st"),
-        F.lit(None).cast(events.schema["_state"].dataType).alias("_src"))
-    x = per_cmd.unionByName(no_target).select("_cmd.*", "_st", "_src")
+    x = per_cmd.select("_cmd.*", "_st", "_src")
     return _decide_looked_up(x, selection_accepts, persistence_accepts)
 
 
@@ -214,7 +214,3 @@ def stuck_rollback(decided: DataFrame, timeout_ms: int, mode: str = "reference")
         "cmd_seq", st["aggregate_id"].alias("aggregate_id"), F.lit(Types.PREPARE_ROLLBACK).alias("type"),
         st["version"].alias("version"), st["user_id"].alias("user_id"), st["session_id"].alias("session_id"),
         st["date"].alias("date"), fail_type.alias("fail_event_type"))
-
-
-def decisions_for_types(decided: DataFrame, commands: Sequence[str]) -> DataFrame:
-    return decided.where(F.col("command").isin(list(commands)))

@@ -23,7 +23,7 @@ from eventfold.functions.settings import (
     map_new_selection, set_fields_accessed, set_fields_clone, set_fields_save,
 )
 from eventfold.operators.asof import attach_last_before
-from eventfold.schema import EVENT_COLUMNS, SETTINGS, SNAPSHOT_TYPES, Errors, Types
+from eventfold.schema import EVENT_COLUMNS, SETTINGS, SNAPSHOT_TYPES, Errors, Types, hop_tiebreak
 
 # Output fields a rule may set; anything not set keeps the trigger's value
 # (identity fields) or is null (payload fields).
@@ -271,12 +271,10 @@ def _keyed_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[
     src_triggers = [r.trigger for r in src]
     t = _col("type")
     table_types = _table_types(snapshot_types, needed, requests)
-    keyed = (log.where(t.isin(own_triggers + table_types) & _col("aggregate_id").isNotNull())
-             .withColumn(KEY, _col("aggregate_id")))
+    key = _col("aggregate_id")
     if src:
-        by_source = (log.where(t.isin(src_triggers) & _col("persistence.settings_id").isNotNull())
-                     .withColumn(KEY, _col("persistence.settings_id")))
-        keyed = keyed.unionByName(by_source)
+        key = F.when(t.isin(src_triggers), _col("persistence.settings_id")).otherwise(key)
+    keyed = log.where(t.isin(own_triggers + src_triggers + table_types)).withColumn(KEY, key).where(_col(KEY).isNotNull())
     triggers = own_triggers + src_triggers
     tiebreak = ("hop",) if "hop" in log.columns else ()
     x = attach(keyed, KEY, "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak,
@@ -297,7 +295,7 @@ def session_mismatch_report(log: DataFrame, chunk: int | None = None) -> DataFra
     needed = [name for name, _ in REQUEST_TABLES.values()]
     x = log.where(_col("type").isin(triggers + [req for _, req in REQUEST_TABLES.values()])
                   & _col("aggregate_id").isNotNull())
-    x = attach_last_before(x, "aggregate_id", "seq", _table_specs((), needed), chunk=chunk,
+    x = attach_last_before(x, "aggregate_id", "seq", _table_specs((), needed), tiebreak=hop_tiebreak(log), chunk=chunk,
                            want=_col("type").isin(triggers))
     req = None
     for trig, (name, _) in REQUEST_TABLES.items():

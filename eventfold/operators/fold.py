@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from eventfold.operators.asof import attach_last_before
 from eventfold.schema import (
     PERSISTENCE_ACCEPTS, PERSISTENCE_SETS_SETTINGS, SELECTION_ACCEPTS, SELECTION_SETS_SETTINGS, Types,
+    hop_tiebreak, log_order,
 )
 
 FAMILIES = {
@@ -34,16 +35,18 @@ def fold_history(log: DataFrame, family: str = "persistence", accepts: Sequence[
     sets = list(sets_settings or sets)
     t = F.col("type")
     accepted = t.isin(acc)
-    rows = log.where(F.col("aggregate_id").isNotNull()).select("aggregate_id", "seq", "type", "version", "settings")
+    tie = hop_tiebreak(log)
+    rows = log.where(F.col("aggregate_id").isNotNull()).select("aggregate_id", "seq", *tie, "type", "version", "settings")
+    at = log_order(rows)
     marked = attach_last_before(rows, "aggregate_id", "seq", {"_lock_before": (~accepted, F.lit(True))},
-                                chunk=chunk, want=accepted)
+                                tiebreak=tie, chunk=chunk, want=accepted)
     live = accepted & F.col("_lock_before").isNull()
     return (marked.groupBy("aggregate_id").agg(
-        F.max_by(F.col("version"), F.when(live, F.col("seq"))).alias("version"),
-        F.max_by(F.col("settings"), F.when(live & t.isin(sets), F.col("seq"))).alias("settings"),
+        F.max_by(F.col("version"), F.when(live, at)).alias("version"),
+        F.max_by(F.col("settings"), F.when(live & t.isin(sets), at)).alias("settings"),
         F.coalesce(F.max(F.when(live, t == Types.DELETED)), F.lit(False)).alias("deleted"),
         F.min(F.when(~accepted, F.col("seq"))).alias("lock_seq"),
-        F.min_by(t, F.when(~accepted, F.col("seq"))).alias("lock_type"),
+        F.min_by(t, F.when(~accepted, at)).alias("lock_type"),
         F.count(F.when(live, 1)).alias("applied"),
     ).withColumn("locked", F.col("lock_seq").isNotNull())
      .select("aggregate_id", F.lit(family).alias("family"), "version", "settings", "deleted", "locked",

@@ -14,14 +14,12 @@ from eventfold.schema import Errors
 @dataclass(frozen=True)
 class Lookup:
     """A related-item table joined by ``fk`` (on the events) = ``pk`` (on the
-    table), adding ``columns``. ``fixed_size`` marks a table whose size does not
-    grow with the data (a code list); only such a table is broadcast by hint,
-    every other one is left to the optimizer's measured-size rule."""
+    table), adding ``columns``. How it is joined is left to the optimizer's
+    measured sizes."""
     table: DataFrame
     fk: str
     pk: str
     columns: Sequence[str]
-    fixed_size: bool = False
 
 
 def enrich_reference(events: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
@@ -30,8 +28,6 @@ def enrich_reference(events: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     out = events
     for lk in lookups:
         dim = lk.table.select(F.col(lk.pk).alias(f"_pk_{lk.pk}"), *lk.columns)
-        if lk.fixed_size:
-            dim = F.broadcast(dim)
         out = out.join(dim, F.col(lk.fk) == F.col(f"_pk_{lk.pk}"), "left").drop(f"_pk_{lk.pk}")
     return out
 

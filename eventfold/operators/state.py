@@ -12,18 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.schema import SNAPSHOT_TYPES
+from eventfold.schema import SNAPSHOT_TYPES, log_order
 
 
 def latest_by_key(df: DataFrame, key: str = "aggregate_id", order: str = "seq",
                   types: Sequence[str] | None = None) -> DataFrame:
     """OP-39: the last row of each key (optionally among ``types``), whole rows.
-    Null keys are dropped; a later row always replaces an earlier one."""
+    Null keys are dropped; a later row always replaces an earlier one. In a log
+    with derived rows a row comes right after its cause: order is (seq, hop)."""
     src = df.where(F.col(key).isNotNull())
     if types is not None:
         src = src.where(F.col("type").isin(list(types)))
     cols = [c for c in df.columns]
-    latest = src.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_last"))
+    latest = src.groupBy(key).agg(F.max_by(F.struct(*cols), log_order(df, order)).alias("_last"))
     return latest.select("_last.*")
 
 

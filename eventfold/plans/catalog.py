@@ -60,7 +60,7 @@ from eventfold.operators.fold import fold_history  # noqa: E402
 from eventfold.plans import oracle_state_sql as ssql  # noqa: E402
 from eventfold.plans.reports import settings_columns, us  # noqa: E402
 from eventfold.schema import Types  # noqa: E402
-from eventfold.sources.fixtures import decision_log, outcome_log  # noqa: E402
+from eventfold.sources.fixtures import decision_log, history_log, outcome_log  # noqa: E402
 
 TIMEOUT_MS = ssql.TIMEOUT_MS
 
@@ -117,16 +117,10 @@ def session_mismatch_q(spark, sf_dir):
                     us(F.col("date")).alias("date_us"))
 
 
-def _fold_input(spark, sf_dir):
-    state, _ = decision_log(spark, sf_dir)
-    uid = F.col("aggregate_id").cast("long")
-    return state.where(~(F.col("type").isin(Types.SAVE, Types.SELECT) & (uid % 2 == 0)))
-
-
 @register("fold_history", ssql.fold_history_sql())
 def fold_history_q(spark, sf_dir):
     """OP-33/19: each item's history folded per aggregate family."""
-    st = _fold_input(spark, sf_dir)
+    st = history_log(spark, sf_dir)
     f = fold_history(st, "persistence").unionByName(fold_history(st, "selection"))
     return f.select("aggregate_id", "family", "version", "deleted", "locked", "lock_type", "lock_seq", "applied",
                     *settings_columns(F.col("settings")))
@@ -221,17 +215,19 @@ def enrich_reference_q(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     out = enrich_reference(orders, [
         Lookup(read_table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", ["c_name", "c_nationkey"]),
-        Lookup(read_table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", ["n_name"], fixed_size=True),
+        Lookup(read_table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", ["n_name"]),
     ])
     return out
 
 
 @register("delete_reference_check", osql.delete_reference_check_sql())
 def delete_reference_check_q(spark, sf_dir):
-    """OP-38: every part as a delete request, refused while large returned line items reference it."""
+    """OP-38: every part, and as many keys past the last part, as a delete request, refused while a line item
+    references it."""
     parts = read_table(spark, sf_dir, "part").select("p_partkey")
-    refs = read_table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-    return delete_reference_check(parts, "p_partkey", refs, "l_partkey")
+    last = parts.agg(F.max("p_partkey")).scalar()
+    requests = parts.unionByName(parts.select((F.col("p_partkey") + last).alias("p_partkey")))
+    return delete_reference_check(requests, "p_partkey", read_table(spark, sf_dir, "lineitem"), "l_partkey")
 
 
 @register("src_malformed_skip", osql.malformed_sql())
@@ -261,11 +257,11 @@ def alerts_q(spark, sf_dir):
     return a.select("seq", "aggregate_id", "kind", "type", "session_id", us(F.col("date")).alias("date_us"))
 
 
-@register("command_decisions_as_of", ssql.decisions_sql())
+@register("command_decisions_as_of", ssql.decisions_as_of_sql())
 def command_decisions_as_of_q(spark, sf_dir):
-    """OP-34 point-in-time: each command against its items' latest events before it, in the log's as-of
-    scan (the fixture's commands all follow its state rows, so the oracle is the state-table one)."""
-    state, cmds = decision_log(spark, sf_dir)
+    """OP-34 point-in-time: commands among the state rows, each against its items' latest events before it, in
+    the log's as-of scan."""
+    state, cmds = decision_log(spark, sf_dir, interleaved=True)
     d = dec.decide_as_of(cmds, state)
     return d.select("cmd_seq", "command", "decision", "out_type", "version", "error_type",
                     F.array_join("error_args", ",").alias("error_args"))

@@ -293,13 +293,13 @@ FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation
 
 
 def delete_reference_check_sql() -> str:
-    return """WITH r AS (SELECT DISTINCT l_partkey FROM lineitem
-           WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_partkey IS NOT NULL)
+    return """WITH r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL),
+q AS (SELECT p_partkey FROM part UNION ALL SELECT p_partkey + (SELECT max(p_partkey) FROM part) FROM part)
 SELECT p.p_partkey, CASE WHEN r.l_partkey IS NOT NULL THEN 'REFUSED' ELSE 'ALLOWED' END AS decision,
        CASE WHEN r.l_partkey IS NOT NULL THEN 'ItemReferenced' END AS error_type,
        CASE WHEN r.l_partkey IS NOT NULL THEN 'l_partkey' END AS ref_field,
        CASE WHEN r.l_partkey IS NOT NULL THEN CAST(p.p_partkey AS VARCHAR) END AS ref_value
-FROM part p LEFT JOIN r ON r.l_partkey = p.p_partkey"""
+FROM q p LEFT JOIN r ON r.l_partkey = p.p_partkey"""
 
 
 def malformed_sql() -> str:

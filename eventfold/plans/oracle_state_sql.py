@@ -79,28 +79,31 @@ WHERE x.type IN {_in([c for c, _ in pairs])} AND NOT coalesce(r.session_id = x.s
 
 # --- profile D --------------------------------------------------------------
 
-def profile_d_ctes() -> str:
+def profile_d_ctes(interleaved: bool = False) -> str:
+    """Profile D; ``interleaved``: every row is a state event and a command,
+    which sees the state strictly before it."""
     types = "[" + ", ".join(_q(t) for t in PROFILE_D_TYPES) + "]"
     cmds = "[" + ", ".join(_q(c) for c in PROFILE_D_COMMANDS) + "]"
     return f"""{fixture_ctes()},
 bounds AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events),
 pd AS (SELECT p.*, p.seq < b.lo + (b.hi - b.lo + 1) * 2 / 3 AS is_state FROM p, bounds b),
 dstate AS (SELECT pd.*, {types}[k % 10 + 1] AS type, CAST(NULL AS VARCHAR) AS fail_event_type
-           FROM pd WHERE is_state),
+           FROM pd WHERE {'true' if interleaved else 'is_state'}),
 c0 AS (SELECT pd.*, {cmds}[k % 8 + 1] AS command,
               CASE WHEN k % 4 = 0 THEN aggregate_id ELSE 'new' || CAST(seq AS VARCHAR) END AS new_id
-       FROM pd WHERE NOT is_state),
+       FROM pd WHERE {'true' if interleaved else 'NOT is_state'}),
 cmds AS (SELECT seq AS cmd_seq, command,
                 CASE WHEN command = 'clone' THEN new_id ELSE settings_id END AS target_id,
                 CASE WHEN command = 'clone' THEN settings_id END AS source_id,
                 user_id, session_id, date AS as_of FROM c0),
-st AS (SELECT aggregate_id, type, version, user_id, session_id, date, shared, fail_event_type FROM dstate
-       QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY seq DESC) = 1),
+st AS (SELECT aggregate_id, seq, type, version, user_id, session_id, date, shared, fail_event_type FROM dstate
+       {'' if interleaved else 'QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY seq DESC) = 1'}),
 j AS (SELECT c.*, t.aggregate_id AS t_id, t.type AS t_type, t.version AS t_version, t.user_id AS t_user,
              t.session_id AS t_session, t.date AS t_date, t.fail_event_type AS t_fail,
              s.aggregate_id AS s_id, s.type AS s_type, s.version AS s_version, s.user_id AS s_user,
              s.shared AS s_shared
-      FROM cmds c LEFT JOIN st t ON t.aggregate_id = c.target_id LEFT JOIN st s ON s.aggregate_id = c.source_id)"""
+      FROM cmds c {'ASOF' if interleaved else ''} LEFT JOIN st t ON t.aggregate_id = c.target_id {'AND c.cmd_seq > t.seq' if interleaved else ''}
+      {'ASOF' if interleaved else ''} LEFT JOIN st s ON s.aggregate_id = c.source_id {'AND c.cmd_seq > s.seq' if interleaved else ''})"""
 
 
 def _decision_case() -> tuple[str, str, str]:
@@ -157,21 +160,25 @@ _OUT = {"select": "PARTIAL_SELECT", "deselect": "PARTIAL_DESELECT", "clear": "PA
         "update_accessed_date": "UPDATE_ACCESSED_DATE"}
 
 
-def _decided_cte() -> str:
+def _decided_cte(interleaved: bool = False) -> str:
     dec, et, ea = _decision_case()
     out = "CASE command " + " ".join(f"WHEN {_q(c)} THEN {_q(t)}" for c, t in _OUT.items()) + " END"
-    return f"""{profile_d_ctes()},
+    return f"""{profile_d_ctes(interleaved)},
 d AS (SELECT j.*, {dec} AS decision, {et} AS error_type, {ea} AS error_args, {out} AS out_name FROM j)"""
 
 
-def decisions_sql() -> str:
-    return f"""WITH {_decided_cte()}
+def decisions_sql(interleaved: bool = False) -> str:
+    return f"""WITH {_decided_cte(interleaved)}
 SELECT cmd_seq, command, decision, CASE WHEN decision = 'ACCEPTED' THEN out_name END AS out_type,
        CASE WHEN decision = 'ACCEPTED' THEN CAST(CASE WHEN command IN ('select', 'save', 'clone') THEN 1
             ELSE t_version + 1 END AS INTEGER) END AS version, error_type, error_args
 FROM d"""
 
 
+def decisions_as_of_sql() -> str:
+    return decisions_sql(interleaved=True)
+
+
 def command_events_sql() -> str:
     return f"""WITH {_decided_cte()}
 SELECT cmd_seq AS seq, CAST(0 AS INTEGER) AS hop, target_id AS aggregate_id, out_name AS type,
@@ -194,8 +201,9 @@ FROM d WHERE decision = 'REJECTED' AND error_type = {_q(Errors.ITEM_LOCKED)} AND
 
 
 def fold_history_sql() -> str:
-    return f"""WITH {profile_d_ctes()},
-fs AS (SELECT * FROM dstate WHERE NOT (type IN ('SAVE', 'SELECT') AND uid % 2 = 0)),
+    return f"""WITH {profile_d_ctes(interleaved=True)},
+fs AS (SELECT * REPLACE (CASE WHEN uid % 2 = 0 AND type = 'SAVE' THEN 'SAVED' WHEN uid % 2 = 0 AND type = 'SELECT' THEN 'SELECTED'
+                         ELSE type END AS type) FROM dstate),
 fam AS (SELECT 'persistence' AS family UNION ALL SELECT 'selection'),
 x AS (SELECT f.seq, f.aggregate_id, f.type, fam.family,
              CASE WHEN fam.family = 'persistence' THEN f.type IN {_in(PERSISTENCE_ACCEPTS)}

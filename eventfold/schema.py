@@ -65,6 +65,18 @@ EVENT_LOG = T.StructType([
 
 EVENT_COLUMNS = [f.name for f in EVENT_LOG.fields]
 
+def log_order(df, order: str = "seq"):
+    """The one order of a log: ``seq``, and after it ``hop`` where the log has
+    derived rows (they share their cause's ``seq``)."""
+    from pyspark.sql import functions as F
+
+    return F.struct(F.col(order), F.coalesce(F.col("hop"), F.lit(0)).alias("hop")) if "hop" in df.columns else F.col(order)
+
+
+def hop_tiebreak(df) -> tuple[str, ...]:
+    return ("hop",) if "hop" in df.columns else ()
+
+
 DERIVED = T.StructType([T.StructField("hop", T.IntegerType())] + EVENT_LOG.fields)
 
 COMMANDS = T.StructType([
@@ -79,15 +91,6 @@ COMMANDS = T.StructType([
     T.StructField("persistence", PERSISTENCE),
 ])
 
-DECISIONS = T.StructType([
-    T.StructField("cmd_seq", T.LongType()),
-    T.StructField("decision", _STR),
-    T.StructField("out_type", _STR),
-    T.StructField("version", T.IntegerType()),
-    T.StructField("error_type", _STR),
-    T.StructField("error_args", _SEL),
-])
-
 
 # --- fixed values: the event-type vocabulary, error codes and command names ---
 # These names must equal the reference's for results to match.
@@ -145,6 +148,7 @@ class Types:
     UPDATE_CANCELLED = "UPDATE_CANCELLED"
 
 
+# SettingsChangeForbidden, ItemNotFound and ROLLBACK_FAILED are assumed names: the reference's tree does not hold them.
 class Errors:
     SELECTION_CHANGE_NOT_ALLOWED = "SELECTION_CHANGE_NOT_ALLOWED"
     SETTINGS_TO_SAVE_NOT_FOUND = "SETTINGS_TO_SAVE_NOT_FOUND_EXCEPTION"
@@ -158,10 +162,7 @@ class Errors:
     CHANGE_FORBIDDEN = "SettingsChangeForbidden"
 
 
-# Commands accepted by the decision operator, and the argument text that a
-# HistoryNotFound rejection carries ("UPDATE | DELETE").
-COMMANDS_LIST = ["select", "deselect", "clear", "save", "update", "delete", "clone",
-                 "update_accessed_date"]
+# The argument text that a HistoryNotFound rejection carries.
 HISTORY_NOT_FOUND_ARG = "UPDATE | DELETE"
 
 # Snapshot ("final") types forwarded to the snapshot table.

@@ -48,21 +48,8 @@ PROFILE_O_TYPES = {"view": "COMMAND", "click": "SELECTED", "error": "SELECT_CANC
                    "signup": "NO_TERMINAL"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return balanced_scan(df) if balanced else df
-
-
-def balanced_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores (one
-    parquet row group gives one task) before per-row work runs on it. A large
-    input has far more splits than cores and is left as it is."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # a session without the RDD API (Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ntz_to_timestamp(c: Column) -> Column:
@@ -159,7 +146,7 @@ def _finish(p: DataFrame, type_col: Column, fail_type: Column) -> DataFrame:
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settings event log (``EVENT_LOG`` schema) over the driver's events."""
     events = read_table(spark, sf_dir, "events")
-    p = _payload(events, with_modulus=True, raw=read_table(spark, sf_dir, "events", balanced=False))
+    p = _payload(events, with_modulus=True, raw=events)
     t = _type_column(F.col("event_type"), F.col("k"))
     fail = F.when(t == "PREPARE_ROLLBACK", F.when(F.col("k") % 2 == 0, "SAVE").otherwise("PARTIAL_SELECT"))
     return _finish(p, t, fail)
@@ -183,23 +170,24 @@ def generic_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(p, t, fail)
 
 
-def decision_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def decision_log(spark: SparkSession, sf_dir: str, interleaved: bool = False) -> tuple[DataFrame, DataFrame]:
     """Profile D: ``(state_log, commands)``. The state log holds the first two
     thirds of ``seq`` with types from ``PROFILE_D_TYPES``; the commands are the
-    last third, targeting ``(user_id * 7 + k) % m`` so some targets have no state."""
+    last third, targeting ``(user_id * 7 + k) % m`` so some targets have no state.
+    ``interleaved``: every row gives both a state event and a command of equal ``seq``."""
     events = read_table(spark, sf_dir, "events")
-    raw = read_table(spark, sf_dir, "events", balanced=False)
-    p = _payload(events, with_modulus=True, raw=raw)
-    bounds = raw.agg(F.struct(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))).scalar()
+    p = _payload(events, with_modulus=True, raw=events)
+    bounds = events.agg(F.struct(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))).scalar()
     cut = bounds["lo"] + (bounds["hi"] - bounds["lo"] + 1) * 2 / 3
     k = F.col("k")
     state_type = F.element_at(F.array(*[F.lit(x) for x in PROFILE_D_TYPES]), (k % 10 + 1).cast("int"))
-    state = _finish(p.where(F.col("seq") < cut), state_type, F.lit(None).cast("string"))
+    is_state = F.lit(True) if interleaved else F.col("seq") < cut
+    state = _finish(p.where(is_state), state_type, F.lit(None).cast("string"))
 
     target = ((F.col("_uid") * 7 + k) % F.col("_m")).cast("string")
     command = F.element_at(F.array(*[F.lit(x) for x in PROFILE_D_COMMANDS]), (k % 8 + 1).cast("int"))
     new_id = F.when(k % 4 == 0, F.col("aggregate_id")).otherwise(F.concat(F.lit("new"), F.col("seq").cast("string")))
-    cp = p.where(F.col("seq") >= cut)
+    cp = p if interleaved else p.where(F.col("seq") >= cut)
     structs = _structs(cp)
     cmds = cp.select(
         F.col("seq").alias("cmd_seq"),
@@ -215,6 +203,17 @@ def decision_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return state, cmds.select(*[f.name for f in COMMANDS.fields])
 
 
+def history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as a state event with types from ``PROFILE_D_TYPES``; items of
+    even users see SAVED and SELECTED in place of the locking SAVE and SELECT."""
+    events = read_table(spark, sf_dir, "events")
+    p = _payload(events, with_modulus=True, raw=events)
+    t = F.element_at(F.array(*[F.lit(x) for x in PROFILE_D_TYPES]), (F.col("k") % 10 + 1).cast("int"))
+    free = F.col("_uid") % 2 == 0
+    t = F.when(free & (t == "SAVE"), F.lit("SAVED")).when(free & (t == "SELECT"), F.lit("SELECTED")).otherwise(t)
+    return _finish(p, t, F.lit(None).cast("string"))
+
+
 def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile O: one row per driver event, ``kind`` = COMMAND, a terminal type
     or NO_TERMINAL; ``session_id = user_id || ':' || (k % 3)``."""

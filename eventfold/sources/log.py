@@ -14,24 +14,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventfold.schema import EVENT_LOG
+from eventfold.schema import DERIVED as STORED_LOG
 
 SNAPSHOT_SUFFIX = "-snapshot"
 
 
 @dataclass(frozen=True)
 class StreamPolicy:
-    """OP-03: consumer policy of the original (start at latest, 50 rows per
-    poll, commit every 1 ms, at-least-once) as Structured Streaming options."""
-    starting: str = "latest"          # startingOffsets for a Kafka source
-    max_files_per_trigger: int = 50   # file sources; maxOffsetsPerTrigger for Kafka
+    """OP-03: consumer policy as Structured Streaming options. The original's 50
+    rows per poll bound one consumer's fetch, not the job, so no limit is the default."""
+    max_files_per_trigger: int | None = None
     trigger_ms: int | None = None     # None: as fast as possible
     checkpoint: str | None = None     # shared folder; required on a cluster
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    return df.withColumn("hop", F.coalesce(F.col("hop"), F.lit(0)))
+
+
 def read_event_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """OP-01 (batch): the log as a DataFrame with the declared schema."""
-    return spark.read.format(fmt).schema(EVENT_LOG).load(path)
+    """OP-01 (batch): the log as a DataFrame with the declared schema. Derived
+    rows written back by the engine keep their ``hop``; external rows have 0."""
+    return _stored(spark.read.format(fmt).schema(STORED_LOG).load(path))
 
 
 def read_snapshot_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -42,12 +46,10 @@ def read_snapshot_log(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 def stream_event_log(spark: SparkSession, path: str, policy: StreamPolicy = StreamPolicy(),
                      fmt: str = "parquet") -> DataFrame:
     """OP-01/03 (stream): the log as a streaming DataFrame."""
-    r = spark.readStream.format(fmt).schema(EVENT_LOG)
-    if fmt == "kafka":
-        r = r.option("startingOffsets", policy.starting).option("maxOffsetsPerTrigger", policy.max_files_per_trigger)
-    else:
+    r = spark.readStream.format(fmt).schema(STORED_LOG)
+    if policy.max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", policy.max_files_per_trigger)
-    return r.load(path)
+    return _stored(r.load(path))
 
 
 def stream_snapshot_log(spark: SparkSession, path: str, policy: StreamPolicy = StreamPolicy(),

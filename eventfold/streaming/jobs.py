@@ -77,14 +77,18 @@ def start_lifecycle_loop(spark: SparkSession, external_path: str, derived_path:
     from eventfold.schema import DERIVED, EVENT_COLUMNS
 
     ext = stream_event_log(spark, external_path, policy, fmt).select(F.lit(0).alias("hop"), *EVENT_COLUMNS)
-    back = (spark.readStream.format(fmt).schema(DERIVED).option("recursiveFileLookup", "true")
-            .option("maxFilesPerTrigger", policy.max_files_per_trigger).load(derived_path))
+    reader = spark.readStream.format(fmt).schema(DERIVED).option("recursiveFileLookup", "true")
+    if policy.max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", policy.max_files_per_trigger)
+    back = reader.load(derived_path)
     derived = derive(ext.unionByName(back), list(RULES) + RELAY_RULES, snapshot_types,
                      attach=stream_attach_last_before)
 
     def write_back(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # the stateful plan runs once, whether or not there is something to write
         if not batch.isEmpty():
             batch.write.mode("overwrite").format(fmt).save(f"{derived_path}/batch={batch_id}")
+        batch.unpersist()
 
     ckpt = policy.checkpoint or os.path.join(checkpoint_dir(spark), "streams", name)
     w = derived.writeStream.foreachBatch(write_back).option("checkpointLocation", ckpt).queryName(name)

@@ -61,7 +61,7 @@ def test_enrich_and_reference_check(spark):
     cust = spark.createDataFrame([(10, "ann", 1), (20, "bob", 2)], "c_id long, c_name string, c_nat int")
     nat = spark.createDataFrame([(1, "ES")], "n_id int, n_name string")
     out = enrich_reference(ev, [Lookup(cust, "cust", "c_id", ["c_name", "c_nat"]),
-                                Lookup(nat, "c_nat", "n_id", ["n_name"], fixed_size=True)])
+                                Lookup(nat, "c_nat", "n_id", ["n_name"])])
     got = {r["id"]: (r["c_name"], r["n_name"]) for r in out.collect()}
     assert got == {1: ("ann", "ES"), 2: ("bob", None), 3: (None, None)}
     req = spark.createDataFrame([(1,), (2,)], "item long")
