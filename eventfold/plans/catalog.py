@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.operators.derive import RULES, derive
+from eventfold.operators.derive import derive_once, RULES, derive
 from eventfold.plans import oracle_sql as osql
 from eventfold.plans.reports import flatten_events
 from eventfold.sources.fixtures import lifecycle_log
@@ -55,7 +55,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from eventfold.operators import decisions as dec  # noqa: E402
 from eventfold.operators import outcomes as oc  # noqa: E402
 from eventfold.operators import state as stt  # noqa: E402
-from eventfold.operators.derive import session_mismatch_report  # noqa: E402
+from eventfold.operators.derive import derive_once, session_mismatch_report  # noqa: E402
 from eventfold.operators.fold import fold_history  # noqa: E402
 from eventfold.plans import oracle_state_sql as ssql  # noqa: E402
 from eventfold.plans.reports import settings_columns, us  # noqa: E402
@@ -257,6 +257,15 @@ def alerts_q(spark, sf_dir):
     return a.select("seq", "aggregate_id", "kind", "type", "session_id", us(F.col("date")).alias("date_us"))
 
 
+@register("closed_log_state", ssql.closed_log_state_sql())
+def closed_log_state_q(spark, sf_dir):
+    """OP-08 over a log that holds derived rows: the latest event per item in (seq, hop) order."""
+    log = lifecycle_log(spark, sf_dir)
+    both = log.withColumn("hop", F.lit(0)).unionByName(derive_once(log))
+    last = stt.latest_state(both)
+    return flatten_events(last.drop("hop")).join(last.select("aggregate_id", "hop"), "aggregate_id")
+
+
 @register("command_decisions_as_of", ssql.decisions_as_of_sql())
 def command_decisions_as_of_q(spark, sf_dir):
     """OP-34 point-in-time: commands among the state rows, each against its items' latest events before it, in

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventfold.plans.oracle_sql import _in, _q, _settings_case, fixture_ctes, row_settings
+from eventfold.plans.oracle_sql import _in, _q, _settings_case, derive_sql, fixture_ctes, row_settings
 from eventfold.schema import (
     CANCELLED_TYPES, HISTORY_NOT_FOUND_ARG, PERSISTENCE_ACCEPTS, PERSISTENCE_SETS_SETTINGS, SELECTION_ACCEPTS,
     SELECTION_SETS_SETTINGS, SNAPSHOT_TYPES, SUCCESS_TYPES, Errors, Types,
@@ -25,6 +25,13 @@ SELECT {_flat_log_select()} FROM log l
 QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY seq DESC) = 1"""
 
 
+def closed_log_state_sql() -> str:
+    return f"""WITH rows AS (
+  SELECT 0 AS hop, * FROM (WITH {fixture_ctes()} SELECT {_flat_log_select()} FROM log l)
+  UNION ALL BY NAME SELECT * FROM ({derive_sql()}))
+SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY seq DESC, hop DESC) = 1"""
+
+
 def latest_by_key_sql() -> str:
     return f"""WITH {fixture_ctes()}
 SELECT {_flat_log_select()} FROM log l WHERE type IN {_in(SNAPSHOT_TYPES)}
