@@ -69,7 +69,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
            .withColumn("weight_left", F.sum("weight").over(tight.rowsBetween(0, W.unboundedFollowing)))
            .withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
            .withColumn("stopped", F.col("weight") * F.col("level") > F.col("cap")))
-    final = F.coalesce(F.min(F.when(~F.col("stopped"), F.col("level"))).over(every), F.lit(0.0))
+    # past the first one that is not stopped the level only falls
+    final = F.coalesce(F.max(F.when(~F.col("stopped"), F.col("level"))).over(every), F.lit(0.0))
     return (src.withColumn("final", final)
             .select("source", "source_size", "rank", "weight",
                     F.when(F.col("stopped"), F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target")))
@@ -182,7 +183,7 @@ src3 AS (
   SELECT *, (total - cap_before) / weight_left AS level, weight * ((total - cap_before) / weight_left) > cap AS stopped FROM src2),
 src AS (
   SELECT source, source_size, rank,
-         CASE WHEN stopped THEN cap ELSE weight * coalesce(min(level) FILTER (NOT stopped) OVER (), 0) END AS target,
+         CASE WHEN stopped THEN cap ELSE weight * coalesce(max(level) FILTER (NOT stopped) OVER (), 0) END AS target,
          greatest(1, ceil(source_size / {SHARD_WORDS}.0))::BIGINT AS n_shards,
          greatest(1, round(3.0 * source_size / {BLOCK_WORDS}.0))::BIGINT AS lim FROM src3),
 seats AS (
