@@ -12,11 +12,12 @@ threshold are confirmed on the full sets.
 Copies are never expanded into all pairs. Round one emits, per bucket, a
 spanning forest of the most similar pairs (at most one pair per member);
 confirmed links give components. Round two looks again at buckets of three and
-more whose members ended in different components, and emits the remaining
-plausible pairs across components, so that no link between components is lost.
-In it the members outside a bucket's largest component are cut into blocks and
-met with the whole bucket block by block, so a bucket of any size runs in
-bounded memory, without caps.
+more whose members ended in different components: estimates tell which members
+have a plausible partner across components, and only those meet again, with
+their full sets, so that no link between components is lost. The members
+outside a bucket's largest component are cut into blocks and meet the whole
+bucket part by part; a task gives as many links as join the components it sees,
+never all pairs. A bucket of any size runs in bounded memory, without caps.
 
 A pair at similarity 0.85 shares no bucket with probability
 ``(1 - 0.85^5)^24 < 1e-6`` and falls below the estimate's margin (5 standard
@@ -43,7 +44,7 @@ from .wordtable import mix, slices, window_rows, windows, words
 
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, BITS = 24, 5, 2
-LEFT_BLOCK, CHUNK = 1024, 2048
+LEFT_BLOCK, RIGHT_PART, CHUNK = 1024, 16384, 2048
 #: Internal numbers of rows without id; real ids are smaller.
 NO_ID = 1 << 62
 
@@ -228,36 +229,108 @@ def _forest(estimate: Estimator, least: float):
     return run
 
 
-def _across(estimate: Estimator, least: float):
-    """Round two on rows (key, block, role, node, comp, signature) sorted by the
-    first three: role 0 are a block's own members, role 1 those to meet them."""
+def _plausible(estimate: Estimator, least: float):
+    """Round two, first step, on rows (key, block, part, role, node, comp,
+    signature, bands) sorted by the first four: role 0 are a block's own members,
+    role 1 those to meet them. Out: the (key, block, part, role, node) of members
+    that have a partner in another component whose estimate is near the threshold
+    and whose first common bucket is this one (so a pair counts in one bucket)."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for (key, block, role, node, comp, sig), bounds in _runs(parts, 3, CHUNK):
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for (key, block, part, role, node, comp, sig, bands), bounds in _runs(parts, 4, CHUNK):
+            found: list[tuple] = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                group = (key[lo], block[lo])
+                group = (key[lo], block[lo], part[lo])
+                here = (node[lo:hi], comp[lo:hi], sig[lo:hi], bands[lo:hi])
                 if role[lo] == 0:
                     if own is None or own[0] != group:
-                        own = (group, node[lo:hi], comp[lo:hi], sig[lo:hi])
+                        own = (group, *here)
                     else:
-                        own = (group, *[np.concatenate([x, y]) for x, y in zip(own[1:], (node[lo:hi], comp[lo:hi], sig[lo:hi]))])
-                    others = own[1:]
-                else:
-                    others = (node[lo:hi], comp[lo:hi], sig[lo:hi])
+                        own = (group, *[np.concatenate([x, y]) for x, y in zip(own[1:], here)])
+                    here = own[1:]
                 if own is None or own[0] != group:
                     continue
+                band = (own[4] == key[lo].astype(np.uint64)).argmax(axis=1)
+                met = np.zeros(len(here[0]), bool)
+                meets = np.zeros(len(own[1]), bool)
                 for i in range(len(own[1])):
-                    apart = others[1] != own[2][i]
-                    if apart.any():
-                        near = others[0][apart][estimate(others[2][apart], own[3][i]) >= least]
-                        a.append(np.minimum(near, own[1][i]))
-                        b.append(np.maximum(near, own[1][i]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            order = np.lexsort((b, a))
-            new = np.ones(len(a), bool)
-            new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
-            yield pa.RecordBatch.from_arrays([pa.array(a[order][new]), pa.array(b[order][new])], names=["a", "b"])
+                    near = np.flatnonzero((here[1] != own[2][i]) & (estimate(here[2], own[3][i]) >= least))
+                    near = near[(here[3][near] == own[4][i]).argmax(axis=1) == band[i]]
+                    met[near] = True
+                    meets[i] = len(near) > 0
+                found += [(*group, 0, n) for n in own[1][meets].tolist()]
+                found += [(*group, int(role[lo]), n) for n in here[0][met].tolist()]
+            columns = list(zip(*found)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns],
+                                             names=["key", "block", "part", "role", "node"])
+    return run
+
+
+def _sets(shingle: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, texts in slices(part.column(1), 1 << 21):
+                bounds, sets = shingle_sets(texts, shingle)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).slice(first, len(texts)),
+                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
+    return run
+
+
+def _linked(percent: int):
+    """Round two, second step, on rows (key, block, part, role, node, comp, full
+    set) sorted by the first four: confirmed links, enough of them to join the
+    components that a group links (never all its pairs)."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, left, others, links = None, [], [], []
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def meet(right: list[tuple]) -> None:
+            if not left or not right:
+                return
+            known = np.unique(np.concatenate([x[2] for x in left]))
+            flat = np.concatenate([x[2] for x in right])
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            at = np.where(known[at] == flat, at, len(known))
+            size = np.array([len(x[2]) for x in right])
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            for node, comp, own in left:
+                mine = np.zeros(len(known) + 1, np.int64)
+                mine[np.searchsorted(known, own)] = 1
+                both = np.add.reduceat(mine[at], starts)
+                for j in np.flatnonzero(100 * both >= percent * (size + len(own) - both)).tolist():
+                    x, y = find(comp), find(right[j][1])
+                    if x != y:
+                        root[x] = y
+                        links.append((node, right[j][0]))
+
+        for batch in rows:
+            if not len(batch):
+                continue
+            heads = list(zip(*[batch.column(i).to_pylist() for i in range(6)]))
+            offsets = np.asarray(batch.column(6).offsets)
+            flat = np.asarray(batch.column(6).values)
+            for i, (key, block, part, role, node, comp) in enumerate(heads):
+                if (key, block, part) != group:
+                    meet(left)
+                    meet(others)
+                    group, left, others, root = (key, block, part), [], [], {}
+                (others if role else left).append((node, comp, flat[offsets[i]:offsets[i + 1]]))
+                if len(others) >= CHUNK:
+                    meet(others)
+                    others = []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                links = []
+        meet(left)
+        meet(others)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -352,18 +425,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
              .filter(F.col("n") > F.col("top.n"))
-             .select("key", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / LEFT_BLOCK).cast("int").alias("blocks")))
-    m = members.join(split, "key")
-    outside = F.col("comp") != F.col("top")
-    own = F.when(outside, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(F.col("blocks"))
+             .select("key", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / LEFT_BLOCK).cast("int").alias("blocks"),
+                     F.ceil(F.col("n") / RIGHT_PART).cast("int").alias("parts")))
+    m = members.join(split, "key").join(reps.select(F.col("rep").alias("node"), "bands"), "node")
+    own = F.when(F.col("comp") != F.col("top"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(F.col("blocks"))
     met = (m.withColumn("own", own)
            .withColumn("block", F.explode(F.sequence(F.lit(0), F.least(F.col("own"), F.col("blocks") - 1))))
-           .select("key", F.col("block").cast("long").alias("block"),
-                   F.when(F.col("own") == F.col("block"), 0).otherwise(1).cast("long").alias("role"), "node", "comp", "signature"))
-    more = (met.repartition("key", "block").sortWithinPartitions("key", "block", "role")
-            .mapInArrow(_across(estimate, least), "a bigint, b bigint").distinct())
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    late = confirmed(more, texts, shingle, percent)
+           .withColumn("role", F.when(F.col("own") == F.col("block"), 0).otherwise(1))
+           # a block's own members go to every part, the others to one
+           .withColumn("part", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("parts") - 1))
+                                         .otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))))
+           .select("key", *[F.col(c).cast("long").alias(c) for c in ("block", "part", "role")], "node", "comp", "signature", "bands"))
+    order = ["key", "block", "part", "role"]
+    near = (met.repartition(*order[:3]).sortWithinPartitions(*order)
+            .mapInArrow(_plausible(estimate, least), "key bigint, block bigint, part bigint, role bigint, node bigint").distinct())
+    near = materialize(near, "plausible")
+    sets = texts.join(near.select("node").distinct(), "node").mapInArrow(_sets(shingle), "node bigint, shingles array<bigint>")
+    comp_of = members.select("node", "comp").distinct()
+    late = (near.join(comp_of, "node").join(sets, "node").select(*order, "node", "comp", "shingles")
+            .repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(_linked(percent), "a bigint, b bigint"))
     labels = components(links.unionByName(late))
 
     comp = (reps.select("k1", "k2", "rep").alias("r").join(labels.alias("l"), F.col("r.rep") == F.col("l.node"), "left")

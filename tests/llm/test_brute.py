@@ -99,6 +99,7 @@ def test_small_blocks_give_the_same_groups(spark, monkeypatch):
     base = [f"b{i}" for i in range(150)]
     texts = [edits(rng, base, rng.randrange(1, 9)) for _ in range(80)]
     monkeypatch.setattr(near_dup, "LEFT_BLOCK", 7)
+    monkeypatch.setattr(near_dup, "RIGHT_PART", 20)
     got = sorted(tuple(r) for r in near_dup.near_duplicates(frame(spark, texts)).collect())
     assert got == sorted(brute_components(list(enumerate(texts))))
 
@@ -421,3 +422,24 @@ def test_mix_comes_near_its_targets(spark):
     assert sum(target.values()) == pytest.approx(sum(size.values()))
     for s in target:
         assert abs(taken[s] - target[s]) <= 0.02 * target[s]
+
+
+def test_targets_with_stopped_sources(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 5, 40):
+        sizes = [(f"s{i:02}" if i else None, rng.choice([0, 1, 7, 50, 1000, 20_000])) for i in range(n)]
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size bigint")).collect()}
+        order = sorted((s for s, _ in sizes if s), key=str) + [s for s, _ in sizes if s is None]
+        size, weight = dict(sizes), {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+        total, fixed, want = sum(size.values()), {}, {}
+        while len(fixed) < n:
+            free = [s for s in order if s not in fixed]
+            left, w = total - sum(fixed.values()), sum(weight[s] for s in free)
+            want = {s: left * weight[s] / w for s in free}
+            over = [s for s in free if want[s] > 3 * size[s]]
+            if not over:
+                break
+            fixed.update((s, 3.0 * size[s]) for s in over)
+            want = {}
+        want.update(fixed)
+        assert got == pytest.approx(want)
