@@ -19,7 +19,7 @@ from eventfold.functions.settings import version_next
 from eventfold.operators.asof import attach_last_before
 from eventfold.operators.state import latest_state
 from eventfold.schema import (
-    HISTORY_NOT_FOUND_ARG, PERSISTENCE_ACCEPTS, SELECTION_ACCEPTS, Errors, Types,
+    DERIVED, HISTORY_NOT_FOUND_ARG, PERSISTENCE_ACCEPTS, SELECTION_ACCEPTS, Errors, Types,
 )
 
 OUT_TYPE = {
@@ -184,33 +184,48 @@ def command_decisions(commands: DataFrame, log: DataFrame) -> DataFrame:
     return d.select("cmd_seq", "decision", "out_type", "version", "error_type", "error_args")
 
 
+def _log_shaped(rows: DataFrame) -> DataFrame:
+    """The rows with every column of a stored log (``hop`` and ``EVENT_LOG``), null where they have none."""
+    kinds = {f.name: f.dataType for f in DERIVED.fields}
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in kinds])
+
+
 def command_events(decided: DataFrame) -> DataFrame:
-    """OP-07: accepted commands as events appended to the log, keyed by the
-    item id. A clone also emits an access-date event on its source item
-    (version = source version + 1)."""
+    """OP-07: accepted commands as rows of the stored log, keyed by the item id,
+    with event id ``c<cmd_seq>``. A clone also emits an access-date event on its
+    source item (version = source version + 1, event id ``c<cmd_seq>#1``)."""
     acc = decided.where(F.col("decision") == "ACCEPTED")
+    cause = F.concat(F.lit("c"), F.col("cmd_seq").cast("string"))
     main = acc.select(
-        F.col("cmd_seq").alias("seq"), F.lit(0).alias("hop"), "target_id", F.col("out_type").alias("type"),
+        F.col("cmd_seq").alias("seq"), F.lit(0).alias("hop"), cause.alias("event_id"),
+        F.col("target_id").alias("aggregate_id"), F.col("out_type").alias("type"),
         "version", "user_id", "session_id", F.col("as_of").alias("date"), "selection_req", "persistence")
     side = acc.where(F.col("command") == "clone").select(
-        F.col("cmd_seq").alias("seq"), F.lit(1).alias("hop"), F.col("source_id").alias("target_id"),
-        F.lit(Types.UPDATE_ACCESSED_DATE).alias("type"), (F.col("_src.version") + 1).cast("int").alias("version"),
-        "user_id", "session_id", F.col("as_of").alias("date"),
-        F.lit(None).cast(decided.schema["selection_req"].dataType).alias("selection_req"),
-        F.lit(None).cast(decided.schema["persistence"].dataType).alias("persistence"))
-    return main.unionByName(side).withColumnRenamed("target_id", "aggregate_id")
+        F.col("cmd_seq").alias("seq"), F.lit(1).alias("hop"), F.concat(cause, F.lit("#1")).alias("event_id"),
+        F.col("source_id").alias("aggregate_id"), F.lit(Types.UPDATE_ACCESSED_DATE).alias("type"),
+        (F.col("_src.version") + 1).cast("int").alias("version"), "user_id", "session_id", F.col("as_of").alias("date"))
+    return _log_shaped(main).unionByName(_log_shaped(side))
 
 
 def stuck_rollback(decided: DataFrame, timeout_ms: int, mode: str = "reference") -> DataFrame:
     """OP-40: after an ItemLocked rejection, a PREPARE_ROLLBACK for the item's
-    latest event when that event passes the timeout test (OP-20). The state
-    looked at is the command's target (for a clone: the new id, as in the
+    latest event when that event passes the timeout test (OP-20), as a row of the
+    stored log at the command's place (event id ``c<cmd_seq>#rollback``). The
+    state looked at is the command's target (for a clone: the new id, as in the
     original). A rollback-failed event passes on the type it carries."""
     st = F.col("_st")
     locked = (F.col("decision") == "REJECTED") & (F.col("error_type") == Errors.ITEM_LOCKED)
     fires = locked & st.isNotNull() & within_timeout(st["date"], F.col("as_of"), timeout_ms, mode)
     fail_type = F.when(st["type"] == Types.ROLLBACK_FAILED, st["fail_event_type"]).otherwise(st["type"])
-    return decided.where(fires).select(
-        "cmd_seq", st["aggregate_id"].alias("aggregate_id"), F.lit(Types.PREPARE_ROLLBACK).alias("type"),
+    return _log_shaped(decided.where(fires).select(
+        F.col("cmd_seq").alias("seq"), F.lit(1).alias("hop"),
+        F.concat(F.lit("c"), F.col("cmd_seq").cast("string"), F.lit("#rollback")).alias("event_id"),
+        st["aggregate_id"].alias("aggregate_id"), F.lit(Types.PREPARE_ROLLBACK).alias("type"),
         st["version"].alias("version"), st["user_id"].alias("user_id"), st["session_id"].alias("session_id"),
-        st["date"].alias("date"), fail_type.alias("fail_event_type"))
+        st["date"].alias("date"), fail_type.alias("fail_event_type")))
+
+
+def locked_alerts(decided: DataFrame, timeout_ms: int, mode: str = "reference") -> DataFrame:
+    """OP-50: an alert for every rollback that a locked item sets off."""
+    return stuck_rollback(decided, timeout_ms, mode).select(
+        "seq", "aggregate_id", F.lit("ITEM_LOCKED").alias("kind"), F.col("fail_event_type").alias("type"), "session_id", "date")

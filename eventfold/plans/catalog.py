@@ -143,7 +143,7 @@ def command_decisions_q(spark, sf_dir):
 def command_events_q(spark, sf_dir):
     """OP-07: accepted commands as log events (plus a clone's access-date event)."""
     e = dec.command_events(_decided(spark, sf_dir))
-    return e.select("seq", "hop", "aggregate_id", "type", "version", "user_id", "session_id",
+    return e.select("seq", "hop", "event_id", "aggregate_id", "type", "version", "user_id", "session_id",
                     us(F.col("date")).alias("date_us"))
 
 
@@ -151,7 +151,7 @@ def command_events_q(spark, sf_dir):
 def stuck_rollback_q(spark, sf_dir):
     """OP-40/20: rollbacks for lock rejections whose blocking event passes the timeout test."""
     r = dec.stuck_rollback(_decided(spark, sf_dir), TIMEOUT_MS)
-    return r.select("cmd_seq", "aggregate_id", "type", "version", "user_id", "session_id",
+    return r.select(F.col("seq").alias("cmd_seq"), "event_id", "aggregate_id", "type", "version", "user_id", "session_id",
                     us(F.col("date")).alias("date_us"), "fail_event_type")
 
 

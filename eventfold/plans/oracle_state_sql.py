@@ -188,19 +188,19 @@ def decisions_as_of_sql() -> str:
 
 def command_events_sql() -> str:
     return f"""WITH {_decided_cte()}
-SELECT cmd_seq AS seq, CAST(0 AS INTEGER) AS hop, target_id AS aggregate_id, out_name AS type,
+SELECT cmd_seq AS seq, CAST(0 AS INTEGER) AS hop, 'c' || cmd_seq AS event_id, target_id AS aggregate_id, out_name AS type,
        CAST(CASE WHEN command IN ('select', 'save', 'clone') THEN 1 ELSE t_version + 1 END AS INTEGER) AS version,
        user_id, session_id, epoch_us(as_of) AS date_us
 FROM d WHERE decision = 'ACCEPTED'
 UNION ALL
-SELECT cmd_seq, CAST(1 AS INTEGER), source_id, 'UPDATE_ACCESSED_DATE', CAST(s_version + 1 AS INTEGER), user_id,
+SELECT cmd_seq, CAST(1 AS INTEGER), 'c' || cmd_seq || '#1', source_id, 'UPDATE_ACCESSED_DATE', CAST(s_version + 1 AS INTEGER), user_id,
        session_id, epoch_us(as_of)
 FROM d WHERE decision = 'ACCEPTED' AND command = 'clone'"""
 
 
 def stuck_rollback_sql(timeout_ms: int = TIMEOUT_MS) -> str:
     return f"""WITH {_decided_cte()}
-SELECT cmd_seq, t_id AS aggregate_id, 'PREPARE_ROLLBACK' AS type, t_version AS version, t_user AS user_id,
+SELECT cmd_seq, 'c' || cmd_seq || '#rollback' AS event_id, t_id AS aggregate_id, 'PREPARE_ROLLBACK' AS type, t_version AS version, t_user AS user_id,
        t_session AS session_id, epoch_us(t_date) AS date_us,
        CASE WHEN t_type = 'ROLLBACK_FAILED' THEN t_fail ELSE t_type END AS fail_event_type
 FROM d WHERE decision = 'REJECTED' AND error_type = {_q(Errors.ITEM_LOCKED)} AND t_id IS NOT NULL

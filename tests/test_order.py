@@ -5,8 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from eventfold.operators.closure import lifecycle_closure
-from eventfold.operators.decisions import decide_as_of
-from eventfold.operators.derive import session_mismatch_report
+from eventfold.operators.decisions import command_events, decide, decide_as_of, locked_alerts, stuck_rollback
+from eventfold.operators.derive import derive_once, session_mismatch_report
 from eventfold.operators.fold import fold_history
 from eventfold.operators.outcomes import command_outcome
 from eventfold.operators.state import latest_state
@@ -71,3 +71,19 @@ def test_one_decision_per_command_strictly_before_its_place(spark):
     got = sorted((r.cmd_seq, r.session_id, r.decision) for r in decide_as_of(cmds, log, chunk=2).collect())
     assert [g[0] for g in got] == [5, 6, 6, 7, 8]
     assert [g[2] for g in got] == ["REJECTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "REJECTED"]
+
+
+def test_commands_to_events_to_derived_rows_and_rollbacks(spark, tmp_path):
+    """Commands decided against the log become rows of it; written and read back they drive the rules."""
+    log = log_df(spark, [event(1, "SAVED", settings=settings(name="good")),
+                         event(2, "SAVED", key="b", settings=settings(id="b")), event(3, "SAVE", key="b", minutes=0)])
+    cmds = commands_df(spark, [command(10, "select", "a", minutes=10, selection_req=selection_req()),
+                               command(11, "update", "b", minutes=11)])
+    d = decide(cmds, latest_state(log))
+    rows = command_events(d).unionByName(stuck_rollback(d, 3_600_000))
+    log.withColumn("hop", F.lit(0)).unionByName(rows).write.parquet(str(tmp_path / "log"))
+    derived = {r.seq: r for r in derive_once(read_event_log(spark, str(tmp_path / "log"))).collect()}
+    assert derived[10].type in ("SELECT", "SELECT_FAILED") and derived[10].event_id == "c10#1"
+    assert (derived[11].type, derived[11].fail_event_type, derived[11].event_id) == ("ROLLBACK", "SAVE", "c11#rollback#2")
+    assert derived[11].settings is None and derived[11].last_snapshot_item.id == "b"
+    assert [(r.kind, r.type) for r in locked_alerts(d, 3_600_000).collect()] == [("ITEM_LOCKED", "SAVE")]
