@@ -40,7 +40,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_elias_fano_lm": _docs(ngram_lm.op3),
     "op4_source_mix": mixing.OP4_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op9_secret_ownership": secret_scan.OP9_SQL,
