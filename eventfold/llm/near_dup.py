@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document's set is its distinct 3-word shingles. Documents with equal sets
+A document's set is its distinct 3-word shingles (5-word in the pipeline). Documents with equal sets
 collapse to one representative first (the smallest id). Each representative
 gets ``BANDS x ROWS`` minima; bands of ROWS minima make bucket keys, and the
 lowest ``BITS`` bits of every minimum are packed into a short signature. The
@@ -20,7 +20,7 @@ bucket part by part; a task gives as many links as join the components it sees,
 never all pairs. A bucket of any size runs in bounded memory, without caps.
 
 A pair at similarity 0.85 shares no bucket with probability
-``(1 - 0.85^5)^24 < 1e-6`` and falls below the estimate's margin (5 standard
+``(1 - 0.85^5)^24 < 1e-6`` (the pipeline's stage: ``(1 - 0.8^5)^36`` at 0.8) and falls below the estimate's margin (5 standard
 deviations) about as rarely; all else is exact.
 
 Defined cases: null, empty and blank texts have the empty set and are linked
@@ -44,6 +44,8 @@ from .wordtable import mix, slices, window_rows, windows, words
 
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, BITS = 24, 5, 2
+#: The pipeline's stage: a pair at its threshold shares no bucket as rarely as one at op2's.
+STAGE_SHINGLE, STAGE_PERCENT, STAGE_BANDS = 5, 80, 36
 LEFT_BLOCK, RIGHT_PART, CHUNK = 1024, 16384, 2048
 #: Internal numbers of rows without id; real ids are smaller.
 NO_ID = 1 << 62
@@ -459,8 +461,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: docs without the rows that are near copies of a smaller
-    id. Rows without an id cannot be named and stay."""
-    lost = near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__lost")).distinct()
+    id, on 5-word shingles at 0.8. Rows without an id cannot be named and stay."""
+    found = near_duplicates(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT, bands=STAGE_BANDS)
+    lost = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__lost")).distinct()
     return docs.join(lost, docs["doc_id"] == F.col("__lost"), "left_anti")
 
 

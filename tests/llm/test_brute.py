@@ -443,3 +443,29 @@ def test_targets_with_stopped_sources(spark):
             want = {}
         want.update(fixed)
         assert got == pytest.approx(want)
+
+
+def stage_components(rows, n=5, percent=80):
+    """The ids that stay when one document of each group on ``n``-word shingles does."""
+    sets = [(d, shingles(t, n)) for d, t in rows]
+    group = {d: {d} for d, _ in sets}
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            both = len(a & b)
+            if both and 100 * both >= percent * (len(a) + len(b) - both) and group[d] is not group[e]:
+                group[d] |= group[e]
+                for x in group[e]:
+                    group[x] = group[d]
+    return sorted(d for d, _ in sets if min(group[d]) == d)
+
+
+def test_dedup_stage_takes_five_words_at_080(spark, docs):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(1000)]
+    texts = [" ".join(base), " ".join(base + [f"n{i}" for i in range(200)])]  # similarity about 0.83 at any shingle length
+    base = [f"d{i}" for i in range(1000)]
+    texts += [" ".join(base)] + [edits(rng, base, n) for n in (10, 20, 26, 40)]  # 26 scattered edits: above 0.85 on 3 words, below 0.8 on 5
+    got = sorted(r.doc_id for r in near_dup.keep_one(frame(spark, texts)).collect())
+    assert got == stage_components(list(enumerate(texts))) and 1 not in got
+    got = sorted(r.doc_id for r in near_dup.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).collect())
+    assert got == stage_components(docs)
