@@ -6,7 +6,7 @@ documents, the last the packed pieces:
 1. ``quality``: documents that break a quality rule go
 2. ``near_dedup``: one document of each group of near copies stays
 3. ``secrets``: live-looking credentials are masked in the text
-4. ``mixing``: documents appear as often as the source mix takes them, once at least
+4. ``mixing``: documents appear as often as the source mix takes them, so sources reach their targets
 5. ``packing``: pieces of documents packed into token sequences
 
 Between stages the rows are written as Parquet to the shared folder and read

@@ -104,8 +104,16 @@ def sainte_lague(parties: DataFrame, group: list[str], share: str, seats: str, l
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
         max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken) for every row of docs."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    """Rows (doc_id, size, source_size, target, taken, source) for every row of docs."""
+    return (_mixed(docs, id_col, text_col, source_col, weights, block_words, shard_words, max_repeats)
+            .select("doc_id", "size", "source_size", "target", "taken", "source"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, block_words: int, shard_words: int,
+           max_repeats: int) -> DataFrame:
+    """The rows of ``mix`` with their shard and a hash of their text."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+                        F.xxhash64(F.col(text_col)).alias("text_hash"))
     sized = materialize(sized, "mix-sizes")  # the texts are read once; what follows works on ids and sizes
     b = float(block_words)
     targets = source_targets(sized, weights, max_repeats)
@@ -119,7 +127,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # every document to a shard of its source, then its place in the shard's stream of words
     placed = (sized.alias("s").join(quotas.alias("q"), F.col("s.source").eqNullSafe(F.col("q.source")))
-              .select("s.doc_id", "s.source", "s.size", "q.source_size", "q.target", "q.source_quota",
+              .select("s.doc_id", "s.source", "s.size", "s.text_hash", "q.source_size", "q.target", "q.source_quota",
                       (_number(F.col("s.doc_id")) % F.col("q.n_shards")).alias("shard")))
     stream = W.partitionBy("source", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "size")
     at = (placed.withColumn("end", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)))
@@ -150,18 +158,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     more = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, x: n + F.when(picked(x), inside(x)).otherwise(F.lit(0).cast("long")))
     taken = F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + more).otherwise(F.lit(0))
-    return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", "text_hash")
+
+
+def copies(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
+           max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Rows (doc_id, source, text_hash, n): how often the mix gives each distinct
+    document whole.
+
+    A document of ``size`` words gets ``taken / size`` copies, rounded up or
+    down by a seeded systematic draw over its shard in order of size: the drawn
+    fractions run along the sum of the fractions, so the words emitted for a shard
+    differ from those taken by less than its largest document (repeated rows, which
+    are drawn together, counting as one). Empty documents stay once."""
+    m = _mixed(docs, "doc_id", "text", "source", weights, block_words, shard_words, max_repeats)
+    units = (m.groupBy("source", "shard", "doc_id", "text_hash").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+             .withColumn("part", F.when(F.col("size") > 0, F.col("taken") % F.col("size") / F.col("size")).otherwise(0.0)))
+    shard = W.partitionBy("source", "shard").orderBy("size", "doc_id", "text_hash")
+    first = _number(F.lit("copies"), F.col("source"), F.col("shard")) / 2.0 ** 32
+    before = F.coalesce(F.sum("part").over(shard.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    upto = F.sum("part").over(shard.rowsBetween(W.unboundedPreceding, 0))
+    drawn = F.floor(upto + first) - F.floor(before + first)
+    n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")) + drawn).otherwise(1)
+    return units.select("doc_id", "source", "text_hash", n.cast("int").alias("n"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it. A document
-    of ``size`` words appears ``round(taken / size)`` times, 1 at least, so
-    that no document the earlier stages kept is lost; empty ones stay once."""
-    took = mix(docs).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    n = F.when(F.col("_size") > 0, F.greatest(F.lit(1), F.round(F.col("_taken") / F.col("_size")).cast("int"))).otherwise(F.lit(1))
+    """Pipeline stage: every document as often as the mix takes it (``copies``),
+    so the emitted words of each source reach its target. A source above its
+    target gives a part of its documents only."""
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    return (docs.alias("d").join(took.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-            .select(*cols, F.explode(F.array_repeat(F.lit(0), n)).alias("__copy")).drop("__copy"))
+    same = (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source"))
+            & (F.xxhash64(F.col("d.text")) == F.col("m.text_hash")))
+    return (docs.alias("d").join(copies(docs).filter("n > 0").alias("m"), same)
+            .select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("m.n"))).alias("__copy")).drop("__copy"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

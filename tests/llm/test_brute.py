@@ -469,3 +469,37 @@ def test_dedup_stage_takes_five_words_at_080(spark, docs):
     assert got == stage_components(list(enumerate(texts))) and 1 not in got
     got = sorted(r.doc_id for r in near_dup.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).collect())
     assert got == stage_components(docs)
+
+
+def emitted(rows, out):
+    """Words per source: those of the mix stage's output, and the targets."""
+    got, target = collections.Counter(), {}
+    for r in out:
+        got[r.source] += len((r.text or "").split())
+    for r in rows:
+        target[r.source] = r.target
+    return got, target
+
+
+def test_mix_stage_reaches_its_targets(spark):
+    rng = random.Random(10)
+    rows = []
+    for source, n in (("a", 300), ("b", 300), ("c", 2000), ("d", 300), ("e", 300), ("f", 300)):  # c is hot and weighs 1
+        rows += [(len(rows) + i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(5, 150))), "en", source, 0) for i in range(n)]
+    rows += [(None, f"no id {i} " * 10, "en", "a", 0) for i in range(50)] + [(7, "again and again", "en", "b", 0)] * 20 + [(8, None, None, None, 0)]
+    ship_package(spark)
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.apply_mix(df).collect()
+    got, target = emitted(mixing.mix(df).collect(), out)
+    for s in "abcdef":
+        assert abs(got[s] - target[s]) <= 64 + 150, (s, got[s], target[s])
+    assert sum(r.doc_id == 8 and r.text is None for r in out) == 1
+    assert sum(got.values()) == pytest.approx(sum(target.values()), rel=0.01)
+
+
+def test_mix_stage_on_the_generated_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(df).collect()
+    got, target = emitted(rows, mixing.apply_mix(df).collect())
+    for s in target:
+        assert abs(got[s] - target[s]) <= 64 + max(r.size for r in rows if r.source == s)
