@@ -5,7 +5,9 @@ The pre-tokenizers of both files never join what stands on two sides of a run
 of white space, so a text is cut in front of such runs and each piece is
 encoded on its own; the concatenated ids equal those of the whole text (tests
 hold them against the library on whole texts). Pieces repeat, so a worker
-remembers their ids in two generations of bounded size.
+remembers their ids in two generations of bounded size. A text that holds the
+literal of a special token is encoded whole, as the library does by default:
+the literal gives the token's id.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Literals of the file's added tokens, lower-cased (a normalizer may lower-case a text before it is searched).
+        self.literals = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.drops_blanks = drops_blanks
         # ids by piece, without and with a space in front: the recent and the older generation
@@ -67,10 +70,15 @@ class Encoder:
                 runs.append((1, rest))
         return runs
 
+    def _has_literal(self, text: str) -> bool:
+        text = text.lower()
+        return any(x in text for x in self.literals)
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         import numpy as np
 
-        cut = [self._cut(t) for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if t and self._has_literal(t)}
+        cut = [[] if i in whole else self._cut(t) for i, t in enumerate(texts)]
         young = self.young
         got = [[list(map(young[space].get, pieces)) for space, pieces in runs] for runs in cut]
         missing: tuple[set[str], set[str]] = (set(), set())
@@ -97,7 +105,10 @@ class Encoder:
                 self.old, self.young = young, ({}, {})
             for space in (0, 1):
                 self.young[space].update(now[space])
-        return [b"".join([b"".join(found) for found in values]) for values in got]
+        out = [b"".join([b"".join(found) for found in values]) for values in got]
+        for i, t in whole.items():
+            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return out
 
 
 def batches(column, most_chars: int = 4_000_000):

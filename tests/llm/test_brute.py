@@ -503,3 +503,32 @@ def test_mix_stage_on_the_generated_table(spark):
     got, target = emitted(rows, mixing.apply_mix(df).collect())
     for s in target:
         assert abs(got[s] - target[s]) <= 64 + max(r.size for r in rows if r.source == s)
+
+
+SPECIAL = ["see <|endoftext|> here", "<|startoftext|><|endoftext|>", "a  <|endoftext|>\n\nb <|ENDOFTEXT|> c", "x<|endoftext|>y <|startoftext|>",
+           "<|endoftext", "plain words here", "", None]
+
+
+def encode_by_default(name, texts):
+    """The library's own call, special tokens left at their default."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    return [np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for x in texts]
+
+
+def test_literal_special_tokens_get_their_ids(spark):
+    import public_tokenizers
+    from eventfold.llm.tokens import Encoder
+    rng = random.Random(11)
+    texts = SPECIAL + ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", " ", "\n", "ab", "'s", "É", "<|"]) for _ in range(12)) for _ in range(300)]
+    for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        got = Encoder.of(public_tokenizers.path(name), drops).ids(texts)
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e[:-1].tolist() for e in encode_by_default(name, texts)]
+    want = encode_by_default("word_bpe_49k.json", SPECIAL)
+    rows, at = {r.doc_id: r for r in tokenfile.op8(frame(spark, SPECIAL)).collect()}, 0
+    for d, ids in enumerate(want):
+        assert (rows[d].start, rows[d].n_tokens, rows[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    want = encode_by_default("byte_bpe_50k.json", SPECIAL)
+    assert {r.doc_id: r.doc_tokens for r in packing.op10(frame(spark, SPECIAL)).collect()} == {d: len(ids) for d, ids in enumerate(want)}
