@@ -32,6 +32,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody holds any more;
+    it does so once the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; none for null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -18,9 +18,10 @@ seen fewer than ``min_count`` times are not kept (standard pruning of higher
 orders; their mass goes to ``L``). The end token doubles as the context of a
 text's first word.
 
-Counts are summed per slice of text, then per task, then by key; files are
-range partitions, so the build is bounded per task. Lookups run once per
-distinct n-gram of a slice.
+Counts are summed over a few slices of text, then by key; files are ranges of
+parents, so the build is bounded per task. The n-grams of a range travel as
+compressed columns of sorted values, in one shuffle per level, whose files are
+released before the next level. Lookups run once per distinct n-gram of a slice.
 
 Defined cases: null and empty texts are the end token alone; repeated rows
 count and are scored each; null ids count as text '' in the fold; an empty
@@ -39,10 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, local_filesystem, materialize, shared_path
+from .common import fold, local_filesystem, materialize, release_shuffles, shared_path
 from .wordtable import slices, words
 
-ORDER, MIN_COUNT, DISCOUNT, FOLDS, HELD_OUT = 2, 2, 0.75, 7, 2
+ORDER, MIN_COUNT, DISCOUNT, FOLDS, HELD_OUT = 3, 2, 0.75, 7, 2
+#: The registered query keeps every n-gram.
+QUERY_MIN_COUNT = 1
+#: N-grams a task sums before it hands them on.
+HELD_GRAMS = 1 << 21
 #: The end token; a word hashes to this value as rarely as two words collide.
 END = np.uint64(0x5851F42D4C957F2D)
 ONE = np.uint64(1)
@@ -326,36 +331,77 @@ def _level_one(folder: str):
     return run
 
 
-def _grams(trie: Trie, level: int):
-    """Counts of (parent node, word id) pairs of a slice, with log10 P of the shorter context."""
+def _pack(a: np.ndarray) -> bytes:
+    """Bytes of an array by place, compressed; integers in as few bytes as they need."""
+    if a.dtype.kind != "f":
+        a = a.astype(np.min_scalar_type(int(a.max())))
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+    return a.dtype.char.encode() + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    kind = np.dtype(data[:1].decode())
+    raw = pa.decompress(data[1:], n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+
+def _summed(p: np.ndarray, i: np.ndarray, n: np.ndarray, lower: np.ndarray):
+    """Rows (parent, word, n, lower) sorted, with the counts of equal pairs summed."""
+    order = np.lexsort((i, p))
+    p, i = p[order], i[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
+    at = np.flatnonzero(new)
+    return p[at], i[at], np.add.reduceat(n[order], at) if len(at) else n[order], lower[order][at]
+
+
+def _grams(trie: Trie, level: int, nodes: int, ranges: int):
+    """Counts of (parent node, word id) pairs of some slices, with log10 P of the
+    shorter context: one row per range of parents, which holds packed columns."""
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        p, i, n, lower = _summed(*map(np.concatenate, zip(*held))) if len(held) > 1 else held[0]
+        to = p * ranges // nodes
+        starts = np.flatnonzero(np.diff(to, prepend=-1)) if len(p) else np.zeros(0, np.int64)
+        rows = [(int(to[a]), int(b - a), int(p[a]), _pack(np.diff(p[a:b], prepend=p[a])), _pack(i[a:b]), _pack(n[a:b]), _pack(lower[a:b]))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(p)])]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+                                          names=["to", "rows", "first", "parent", "word", "n", "lower"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for part in parts:
             for _, texts in slices(part.column(0)):
                 _, ids, _, parent, log_p = trie.walk(texts, level)
                 some = np.flatnonzero((parent >= 0) & (ids >= 0))
-                order = some[np.lexsort((ids[some], parent[some]))]
-                p, i = parent[order], ids[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(order)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p[at]), pa.array(i[at]), pa.array(n), pa.array(log_p[order[at]])], names=["parent", "word", "n", "lower"])
+                held.append(_summed(parent[some], ids[some], np.ones(len(some), np.int64), log_p[some].astype(np.float32)))
+                if sum(len(x[0]) for x in held) >= HELD_GRAMS:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
     return run
 
 
-def _next_level(trie: Trie, level: int, discount: float):
-    """Writes one file of ``level`` from rows (parent, word, n, lower) sorted by
-    parent and word. Every occurrence of a context has a next token (the end
+def _next_level(trie: Trie, level: int, min_count: int, discount: float, last_level: bool):
+    """Writes one file of ``level`` from the packed n-grams of a range. Every occurrence of a context has a next token (the end
     token stands before the first), so its count is that of its own node."""
     folder = trie.folder
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = [[np.asarray(c) for c in p.columns] for p in parts if len(p)]
+        got = []
+        for part in parts:
+            for row in part.to_pylist():
+                p, i, n, lower = (_unpack(row[k], row["rows"]) for k in ("parent", "word", "n", "lower"))
+                got.append((np.cumsum(p, dtype=np.int64) + row["first"], i.astype(np.int64), n.astype(np.int64), lower))
         if not got:
             return
-        parent, word, n, lower = (np.concatenate(x) for x in zip(*got))
+        parent, word, n, lower = _summed(*map(np.concatenate, zip(*got)))
+        often = n >= min_count
+        parent, word, n, lower = parent[often], word[often], n[often], lower[often].astype(np.float64)
+        if not len(n):
+            return
         distinct, of = np.unique(parent, return_inverse=True)
         context = trie.counts(level - 2, distinct)[of]
         first, last = int(parent[0]), int(parent[-1])
@@ -378,7 +424,9 @@ def _next_level(trie: Trie, level: int, discount: float):
                {"ptr_n": ptr.n, "ptr_l": ptr.low_bits, "succ_n": succ.n, "succ_l": succ.low_bits,
                 "prob_lo": lo, "prob_step": step, "weight_lo": w_lo, "weight_step": w_step},
                {**{f"ptr_{k}": v for k, v in ptr.arrays().items()}, **{f"succ_{k}": v for k, v in succ.arrays().items()},
-                "prob": codes, "weight": weights, "count": n.astype(np.int64)})
+                "prob": codes, "weight": weights,
+                # only the next level asks for counts
+                **({} if last_level else {"count": n.astype(np.min_scalar_type(int(n.max())))})})
         yield pa.RecordBatch.from_pydict({"part": [t.partitionId()], "name": [name], "first": [first], "last": [last], "n": [len(n)]})
     return run
 
@@ -392,19 +440,28 @@ def build(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disc
                   .withColumn("u", F.col("h").bitwiseXOR(F.lit(-(1 << 63)))))
     files = materialize(vocabulary.repartitionByRange("u").sortWithinPartitions("u").select("h", "n").mapInArrow(
         _level_one(folder), "part bigint, name string, first bigint, last bigint, n bigint, total bigint"), "trie-files")
+    del vocabulary
     rows = files.withColumn("base", F.sum("n").over(W.orderBy("part")) - F.col("n")).orderBy("part").collect()
     unsigned = lambda x: x & 0xFFFFFFFFFFFFFFFF
     trie = Trie(folder, [[(r["name"], unsigned(r["first"]), unsigned(r["last"]), r["base"]) for r in rows]],
                 sum(r["total"] for r in rows), sum(r["n"] for r in rows))
+    nodes = sum(r["n"] for r in rows)
+    ranges = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in range(1, order):
-        grams = (texts.mapInArrow(_grams(trie, level), "parent bigint, word bigint, n bigint, lower double")
-                 .groupBy("parent", "word").agg(F.sum("n").alias("n"), F.max("lower").alias("lower")))
-        files = materialize(grams.filter(F.col("n") >= min_count)
-                            .repartitionByRange("parent").sortWithinPartitions("parent", "word")
-                            .mapInArrow(_next_level(trie, level + 1, discount),
+        if not nodes:
+            trie.levels.append([])
+            continue
+        del files
+        release_shuffles(texts.sparkSession)
+        files = materialize(texts.mapInArrow(_grams(trie, level, nodes, ranges), "to int, rows bigint, first bigint, parent binary, word binary, n binary, lower binary")
+                            .repartitionById(ranges, "to")
+                            .mapInArrow(_next_level(trie, level + 1, min_count, discount, level + 1 == order),
                                         "part bigint, name string, first bigint, last bigint, n bigint"), "trie-files")
         rows = files.withColumn("base", F.sum("n").over(W.orderBy("part")) - F.col("n")).orderBy("part").collect()
         trie.levels.append([(r["name"], r["first"], r["last"], r["base"]) for r in rows])
+        nodes = sum(r["n"] for r in rows)
+    del files
+    release_shuffles(texts.sparkSession)
     return trie
 
 
@@ -423,9 +480,9 @@ def _scorer(trie: Trie, order: int):
     return run
 
 
-def op3(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def op3(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
     held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    trie = build(docs.filter(~held_out).select("text"), order)
+    trie = build(docs.filter(~held_out).select("text"), order, min_count)
     total = trie.total
     scored = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
               .mapInArrow(_scorer(trie, order), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"))

@@ -29,7 +29,7 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": _toxicity,
     "op2_near_duplicates": _docs(near_dup.op2),
-    "op3_elias_fano_lm": _docs(ngram_lm.op3),
+    "op3_elias_fano_lm": _docs(lambda docs: ngram_lm.op3(docs, min_count=ngram_lm.QUERY_MIN_COUNT)),
     "op4_source_mix": _docs(mixing.op4),
     "op5_recompression": _docs(recompression.op5),
     "op6_closed_syncmers": _docs(syncmers.op6),

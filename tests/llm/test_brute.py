@@ -532,3 +532,28 @@ def test_literal_special_tokens_get_their_ids(spark):
         at += len(ids)
     want = encode_by_default("byte_bpe_50k.json", SPECIAL)
     assert {r.doc_id: r.doc_tokens for r in packing.op10(frame(spark, SPECIAL)).collect()} == {d: len(ids) for d, ids in enumerate(want)}
+
+
+def test_registered_model_keeps_every_trigram(spark, docs):
+    got = {r.doc_id: r for r in QUERIES["op3_elias_fano_lm"](spark, SF).collect()}
+    toks = {d: x.encode().lower().split() + [None] for d, x in docs}
+    held = {d for d, _ in docs if zlib.crc32(str(d).encode()) % 7 == 2}
+    c = [collections.Counter() for _ in range(4)]
+    for d, w in toks.items():
+        if d not in held:
+            c[1].update((t,) for t in w)
+            for n in (2, 3):
+                p = [None, *w]
+                c[n].update(tuple(p[i:i + n]) for i in range(len(p) - n + 1))
+    total, distinct = sum(c[1].values()), len(c[1])
+    spread = collections.Counter(g[:-1] for n in (2, 3) for g in c[n])
+
+    def p(w, u):
+        if not u:
+            return (c[1][(w,)] + 1) / (total + distinct + 1)
+        low, k, n = p(w, u[1:]), c[len(u) + 1][u + (w,)], c[len(u)][u]
+        return (max(k - 0.75, 0) + 0.75 * spread[u] * low) / n if n else low
+    for d, w in toks.items():
+        x = [None, *w]
+        score = sum(math.log10(p(x[i], tuple(x[max(0, i - 2):i]))) for i in range(1, len(x)))
+        assert abs(got[d].score - score) <= 0.03 * 3 * len(w)
