@@ -35,8 +35,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Literals of the file's added tokens, lower-cased (a normalizer may lower-case a text before it is searched).
-        self.literals = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Literals of the file's added tokens: those searched in the text as it is, and those in the normalized one, lower-cased.
+        self.literals = [t.content for t in added if not t.normalized]
+        self.normalized = [t.content.lower() for t in added if t.normalized]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.drops_blanks = drops_blanks
         # ids by piece, without and with a space in front: the recent and the older generation
@@ -71,8 +73,7 @@ class Encoder:
         return runs
 
     def _has_literal(self, text: str) -> bool:
-        text = text.lower()
-        return any(x in text for x in self.literals)
+        return any(x in text for x in self.literals) or bool(self.normalized) and any(x in text.lower() for x in self.normalized)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         import numpy as np
