@@ -27,8 +27,10 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,11 +43,13 @@ from .common import materialize
 from .wordtable import slices
 
 MAX_BROADCAST = 1 << 20
-MEMORY_UNITS = 150_000
+MEMORY_UNITS, LEARN_UNITS = 400_000, 20_000
 #: Links are numbered a * 2^20 + b.
 B_BITS = 20
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 _BLANK_SPACE = re.compile(r"\s ")
+#: Fixed value: the pre-tokenizer pattern of byte-level BPE files with ``use_regex``.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +59,49 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_level_encoder(path: str):
+    """texts to lists of ids, by a byte-level BPE file, special tokens' strings being plain text.
+
+    If the file's merges give its tokens in the order of their ids, ids are ranks and the ranks engine
+    (several times faster) gives the same ids; else the file's own library does."""
+    from tokenizers import Tokenizer
+
+    alphabet = byte_alphabet()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, special = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    in_order = (sorted(ranks.values()) == list(range(len(ranks))) and len(ranks) == 256 + len(merges)
+                and all(model["vocab"][t] == 256 + i for i, t in enumerate(merges)))
+    plain = (spec.get("normalizer") is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
+             and spec["pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"]["add_prefix_space"])
+    if in_order and plain:
+        import tiktoken
+
+        engine = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: list(map(engine.encode_ordinary, texts))
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class Vocabulary:
+    """The bytes of a tokenizer's tokens by id, in one array."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.tokens = tokens
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+        return self.flat[at].tobytes()
+
+
 class Pair:
     """Both tokenizers, the bytes of their tokens, and a memory of aligned units."""
 
@@ -65,18 +112,21 @@ class Pair:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
-        self.b = SentencePieceProcessor(model_file=path_b)
-        alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
-                        for t, i in self.a.get_vocab().items()}
-        n = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
+        vocab = Tokenizer.from_file(path_a).get_vocab()
+        self.encode_a = byte_level_encoder(path_a)
+        b = SentencePieceProcessor(model_file=path_b)
+        self.encode_b = lambda texts: b.encode(texts, num_threads=1)
+        alphabet, names = byte_alphabet(), [""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            names[i] = t
+        self.a = Vocabulary([bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in names])
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("units cannot be cut: a piece of B has a space after another character")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # per unit: its number; per number: n_a, n_b, groups as text, links; -1 tokens if its bytes differ
+        self.b = Vocabulary([bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        # decimal ids with what follows them: another id or the other side, and for B another id or the next group
+        self.text_a = [f"{i}," for i in range(len(names))] + [f"{i}|" for i in range(len(names))]
+        self.text_b = [f"{i}," for i in range(len(pieces))] + [f"{i};" for i in range(len(pieces))]
         self.forget()
 
     @classmethod
@@ -88,11 +138,11 @@ class Pair:
         return cls._by_paths[key]
 
     def forget(self) -> None:
+        #: unit to its number; by number: tokens of A and B (-1: other bytes), groups as text, links as 64-bit integers
         self.number: dict[str, int] = {}
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
+        self.n_a, self.n_b = array("q"), array("q")
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
+        self.links: list[bytes] = []
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -102,31 +152,42 @@ class Pair:
             return [u[1:] for u in _CUT.split(" " + text)]
         return parts
 
-    def align(self, unit: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, str, list[int]]:
-        want = (" " + unit).encode()
-        ta, tb = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(ta) != want or b"".join(tb) != want:
-            return -1, -1, "", []
-        groups, links, i, j, at_a, at_b, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(ids_a):
-            end_a += len(ta[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(tb[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ids_a[at_a:i]))}|{','.join(map(str, ids_b[at_b:j]))}")
-                links.append(ids_a[i - 1] << B_BITS | ids_b[j - 1])
-                at_a, at_b = i, j
-        return len(ids_a), len(ids_b), ";".join(groups), links
+    def align(self, units: list[str]) -> list[tuple[int, int, str, bytes]]:
+        """(tokens of A, tokens of B, groups, links) of each unit; -1 tokens if its bytes differ."""
+        ids_a, ids_b = self.encode_a([" " + u for u in units]), self.encode_b(units)
+        want = [(" " + u).encode() for u in units]
+
+        def flat(ids):
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+
+        (a, from_a), (b, from_b) = flat(ids_a), flat(ids_b)
+        all_bytes = b"".join(want)
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        ends = np.cumsum([len(w) for w in want])
+        whole = [np.array_equal(end[at[1:] - 1], ends) for end, at in ((end_a, from_a), (end_b, from_b)) if len(end)]
+        if len(whole) < 2 or not all(whole) or self.a.joined(a) != all_bytes or self.b.joined(b) != all_bytes:
+            if len(units) == 1:
+                return [(-1, -1, "", b"")]
+            middle = len(units) // 2  # some unit's bytes differ: find it by halves
+            return self.align(units[:middle]) + self.align(units[middle:])
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        links = (a[last_a] << B_BITS) | b[last_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        names = list(map(self.text_a.__getitem__, (a + last_a * len(self.a.size)).tolist()))
+        names += map(self.text_b.__getitem__, (b + last_b * len(self.b.size)).tolist())
+        names = list(map(names.__getitem__, order.tolist()))
+        to = np.concatenate([[0], np.cumsum(last_a)])[from_a].tolist()
+        both = (from_a + from_b).tolist()
+        packed = links.astype("<i8").tobytes()
+        n_a, n_b = np.diff(from_a).tolist(), np.diff(from_b).tolist()
+        return [(n_a[k], n_b[k], "".join(names[both[k]:both[k + 1]])[:-1], packed[8 * to[k]:8 * to[k + 1]]) for k in range(len(units))]
 
     def learn(self, units: list[str]) -> None:
-        for k in range(0, len(units), 10_000):
-            part = units[k:k + 10_000]
-            in_a = self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False)
-            in_b = self.b.encode(part, num_threads=1)
-            for u, a, b in zip(part, in_a, in_b):
-                n_a, n_b, groups, links = self.align(u, a.ids, b)
+        for k in range(0, len(units), LEARN_UNITS):
+            part = units[k:k + LEARN_UNITS]
+            for u, (n_a, n_b, groups, links) in zip(part, self.align(part)):
                 self.number[u] = len(self.n_a)
                 self.n_a.append(n_a)
                 self.n_b.append(n_b)
@@ -153,21 +214,21 @@ def _aligner(path_a: str, path_b: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.of(path_a, path_b)
         for part in parts:
-            for first, texts in slices(part.column(2), 1 << 20):
+            for first, texts in slices(part.column(2), 1 << 21):
                 numbers = pair.numbers(texts.to_pylist())
                 sizes = np.array([len(x) for x in numbers], np.int64)
                 unit = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                n_a, n_b = np.array(pair.n_a, np.int64)[unit], np.array(pair.n_b, np.int64)[unit]
+                n_a, n_b = np.frombuffer(pair.n_a, np.int64)[unit], np.frombuffer(pair.n_b, np.int64)[unit]
                 good = np.bincount(row, n_a < 0, len(sizes)) == 0
                 # distinct units of a text, then their links
                 code, times = np.unique((row << 32) | unit, return_counts=True)
                 code, times = code[good[code >> 32]], times[good[code >> 32]]
                 links = [pair.links[u] for u in (code & 0xFFFFFFFF).tolist()]
-                each = np.array([len(x) for x in links], np.int64)
-                link = np.fromiter(chain.from_iterable(links), np.int64, int(each.sum()))
+                each = np.fromiter(map(len, links), np.int64, len(links)) // 8
+                link = np.frombuffer(b"".join(links), "<i8")
                 where, weight = np.repeat(code >> 32, each), np.repeat(times, each)
-                order = np.lexsort((link, where))
+                order = np.argsort((where << (2 * B_BITS)) | link)
                 link, where, weight = link[order], where[order], weight[order]
                 new = np.ones(len(link), bool)
                 new[1:] = (link[1:] != link[:-1]) | (where[1:] != where[:-1])

@@ -186,13 +186,32 @@ def test_alignment_generated_texts_by_either_join(spark, monkeypatch):
     assert sorted((tuple(r) for r in alignment.op12(df).select(*ALIGNED).collect()), key=repr) == want
 
 
-def test_alignment_memory_starts_anew(monkeypatch):
+def tokenizer_paths():
     import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_alignment_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(alignment, "MEMORY_UNITS", 5)
-    pair = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    pair = alignment.Pair(*tokenizer_paths())
     for text in ("a b c d", "a b e f g", "one two three four five six seven"):
         numbers = pair.numbers([text])[0]
-        assert ";".join(pair.groups[u] for u in numbers) == pair.align(text, pair.a.encode(" " + text).ids, pair.b.encode(text))[2]
+        assert ";".join(pair.groups[u] for u in numbers) == pair.align([text])[0][2]
+
+
+def test_ranks_engine_gives_the_ids_of_the_file(spark):
+    """Every distinct word of the table with the spaces before it, and random strings."""
+    from tokenizers import Tokenizer
+    path = tokenizer_paths()[0]
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzAEIOU     '\n\t.,!?-_0123456789éüß世界語тест🙂\u0301\x00\x1c\xa0\u3000"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(20_000)]
+    texts += ["".join(rng.choices("aeinrst h", k=rng.randint(1, 30))) for _ in range(20_000)]
+    texts += ["a" * n for n in range(300)] + [" " * n + "x" for n in range(200)] + [t for t in HARD_TEXTS if t] + ["<|endoftext|>"]
+    texts += sorted({" " + u for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for u in alignment.Pair.cut(r.text or "")})
+    assert alignment.byte_level_encoder(path)(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 # --- ranked search ------------------------------------------------------------
