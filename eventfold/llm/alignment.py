@@ -27,7 +27,6 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 from array import array
@@ -40,51 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .tokens import _BLANK_SPACE, _CUT, byte_alphabet, byte_level_encoder
 from .wordtable import slices
 
 MAX_BROADCAST = 1 << 20
 MEMORY_UNITS, LEARN_UNITS = 400_000, 20_000
 #: Links are numbered a * 2^20 + b.
 B_BITS = 20
-_CUT = re.compile(r"(?<=\S)(?= +[^ ])")
-_BLANK_SPACE = re.compile(r"\s ")
-#: Fixed value: the pre-tokenizer pattern of byte-level BPE files with ``use_regex``.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The public byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes in order for U+0100 and on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def byte_level_encoder(path: str):
-    """texts to lists of ids, by a byte-level BPE file, special tokens' strings being plain text.
-
-    If the file's merges give its tokens in the order of their ids, ids are ranks and the ranks engine
-    (several times faster) gives the same ids; else the file's own library does."""
-    from tokenizers import Tokenizer
-
-    alphabet = byte_alphabet()
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, special = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-    in_order = (sorted(ranks.values()) == list(range(len(ranks))) and len(ranks) == 256 + len(merges)
-                and all(model["vocab"][t] == 256 + i for i, t in enumerate(merges)))
-    plain = (spec.get("normalizer") is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
-             and spec["pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"]["add_prefix_space"])
-    if in_order and plain:
-        import tiktoken
-
-        engine = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: list(map(engine.encode_ordinary, texts))
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-
 
 class Vocabulary:
     """The bytes of a tokenizer's tokens by id, in one array."""

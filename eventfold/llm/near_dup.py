@@ -24,7 +24,7 @@ A pair at similarity 0.85 shares no bucket with probability
 deviations) about as rarely; all else is exact.
 
 Defined cases: null, empty and blank texts have the empty set and are linked
-with nothing; rows with a null id take part (with an internal number), their
+with nothing; rows with a null id take part (numbered by a hash of their text), their
 component is the smallest real id reachable, null if there is none, and they
 are kept only in the latter case; rows of one id are each judged by their own
 text; repeated rows are returned each; other columns are not read.
@@ -47,8 +47,6 @@ BANDS, ROWS, BITS = 24, 5, 2
 #: The pipeline's stage: a pair at its threshold shares no bucket as rarely as one at op2's.
 STAGE_SHINGLE, STAGE_PERCENT, STAGE_BANDS = 5, 80, 36
 LEFT_BLOCK, RIGHT_PART, CHUNK = 1024, 16384, 2048
-#: Internal numbers of rows without id; real ids are smaller.
-NO_ID = 1 << 62
 
 
 def shingle_sets(texts: pa.Array, n: int):
@@ -183,25 +181,27 @@ def _forest(estimate: Estimator, least: float):
             size = np.diff(bounds)
             at = bounds[:-1]
             a, b, members = [], [], []
-            two = at[size == 2]
+            # pieces of a group that began in an earlier piece, of this call or of the last one
+            further = np.zeros(len(at), bool)
+            further[1:] = key[at[1:]] == key[at[:-1]]
+            further[:1] = before is not None and key[at[0]] == before[0]
+            two = at[(size == 2) & ~further]
             good = estimate(sig[two], sig[two + 1]) >= least
             a.append(node[two[good]])
             b.append(node[two[good] + 1])
-            for i in np.flatnonzero((size != 2) | (before is not None and key[at] == before[0])).tolist():
+            for i in np.flatnonzero((size != 2) | further).tolist():
                 lo, n = int(at[i]), int(size[i])
-                if before is not None and before[0] == key[lo]:
+                if further[i]:
                     # a further piece of a long group: tie it to the group's first member
                     a.append(np.full(n, before[1]))
                     b.append(node[lo:lo + n])
                     members.append(np.arange(lo, lo + n))
                 elif n > 2:
                     members.append(np.arange(lo, lo + n))
-                else:
-                    if n == CHUNK:
-                        before = (key[lo], node[lo])
+                if not further[i]:
+                    before = (key[lo], node[lo])  # the group may go on
+                if n < 3 and not further[i]:
                     continue
-                if n == CHUNK and (before is None or before[0] != key[lo]):
-                    before = (key[lo], node[lo])
                 # Prim's algorithm, one vector of estimates per member
                 s, ids = sig[lo:lo + n], node[lo:lo + n]
                 best, source, out = np.full(n, -9.0), np.zeros(n, np.int64), np.ones(n, bool)
@@ -400,15 +400,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows (doc_id, n_shingles, component_id, kept), one per row of docs."""
     estimate = Estimator(bands * rows, bits)
     least = estimate.margin(percent / 100)
-    node = F.coalesce(F.col(id_col).cast("long"),
-                      F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)))
+    doc_id = F.col(id_col).cast("long")
+    # rows without id are numbered by a hash of their text
+    node = F.coalesce(doc_id, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit("no id")))
     keyed = docs.select(node.alias("node"), F.col(text_col).alias("text"))
-    signed = materialize(keyed.mapInArrow(
-        _signatures(shingle, bands, rows, bits),
-        "node bigint, n_shingles bigint, k1 bigint, k2 bigint, signature array<bigint>, bands array<bigint>"), "signatures")
+    signed = materialize(docs.select(F.struct(node.alias("node"), doc_id.isNotNull().alias("has_id")).alias("node"), F.col(text_col).alias("text"))
+                         .mapInArrow(_signatures(shingle, bands, rows, bits),
+                                     "node struct<node: bigint, has_id: boolean>, n_shingles bigint, k1 bigint, k2 bigint, "
+                                     "signature array<bigint>, bands array<bigint>")
+                         .select("node.node", "node.has_id", "n_shingles", "k1", "k2", "signature", "bands"), "signatures")
+    real = F.min(F.when(F.col("has_id"), F.col("node")))
     reps = (signed.filter("n_shingles > 0").groupBy("k1", "k2")
-            .agg(F.min_by(F.struct("signature", "bands"), "node").alias("s"), F.min("node").alias("rep")))
-    reps = materialize(reps.select("k1", "k2", "rep", "s.signature", "s.bands"), "representatives")
+            .agg(F.min_by(F.struct("signature", "bands"), "node").alias("s"), real.alias("real"), F.min("node").alias("any")))
+    reps = materialize(reps.select("k1", "k2", F.coalesce("real", "any").alias("rep"), "real", "s.signature", "s.bands"), "representatives")
 
     buckets = reps.select(F.col("rep").alias("node"), "signature", F.explode("bands").alias("key")).select("key", "node", "signature")
     forest = materialize(buckets.repartition("key").sortWithinPartitions("key").mapInArrow(
@@ -448,23 +452,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(_linked(percent), "a bigint, b bigint"))
     labels = components(links.unionByName(late))
 
-    comp = (reps.select("k1", "k2", "rep").alias("r").join(labels.alias("l"), F.col("r.rep") == F.col("l.node"), "left")
-            .select("k1", "k2", F.coalesce("l.comp", "r.rep").alias("comp")))
-    out = (signed.select("node", "n_shingles", "k1", "k2").alias("s")
+    groups = (reps.select("k1", "k2", "rep", "real").alias("r").join(labels.alias("l"), F.col("r.rep") == F.col("l.node"), "left")
+              .select("k1", "k2", "real", F.coalesce("l.comp", "r.rep").alias("comp")))
+    least_id = groups.groupBy("comp").agg(F.min("real").alias("component"))  # null where no row has an id
+    comp = groups.join(least_id, "comp").select("k1", "k2", "component")
+    out = (signed.select("node", "has_id", "n_shingles", "k1", "k2").alias("s")
            .join(comp.alias("c"), (F.col("s.k1") == F.col("c.k1")) & (F.col("s.k2") == F.col("c.k2")) & (F.col("s.n_shingles") > 0), "left")
-           .select(F.when(F.col("s.node") < NO_ID, F.col("s.node")).alias("doc_id"), "s.n_shingles",
-                   F.coalesce("c.comp", "s.node").alias("comp")))
-    component = F.when(F.col("comp") < NO_ID, F.col("comp"))
+           .select(F.when(F.col("s.has_id"), F.col("s.node")).alias("doc_id"), "s.n_shingles", "c.component"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: docs without the rows that are near copies of a smaller
-    id, on 5-word shingles at 0.8. Rows without an id cannot be named and stay."""
-    found = near_duplicates(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT, bands=STAGE_BANDS)
-    lost = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("__lost"), "left_anti")
+    """Pipeline stage, on 5-word shingles at 0.8: of each group one row stays, the one of the smallest id
+    (null ids last; of several rows of that id one). Rows without words belong to no group and stay.
+
+    Rows are numbered as they are written, so repeated and null ids are told apart."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, row, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT, bands=STAGE_BANDS)
+    ids = numbered.select(F.col(row).alias("n"), F.col("doc_id").cast("long").alias("id"))
+    grouped = found.filter("n_shingles > 0").select(F.col("doc_id").alias("n"), F.col("component_id").alias("c")).join(ids, "n")
+    first = grouped.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("first"), F.count(F.lit(1)).alias("size"))
+    lost = grouped.join(first.filter("size > 1"), "c").filter(F.col("n") != F.col("first.n")).select(F.col("n").alias(row))
+    return numbered.join(lost, row, "left_anti").select(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -103,6 +103,11 @@ def _first_fit(capacity: int):
     return pack
 
 
+def sequence_id(shard, cls, number):
+    """(shard, class, bin) in one long of 31, 12 and 20 bits: a shard has about ``SHARD_PIECES`` bins at most."""
+    return (F.shiftleft(shard.cast("long"), 32) + F.shiftleft(cls.cast("long"), 20) + number).cast("long")
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
          classes: int = CLASSES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece."""
@@ -117,8 +122,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
               .withColumn("k", k)
               .withColumn("full", F.floor(F.count(F.lit(1)).over(mine) / F.col("k")) * F.col("k")))
 
-    def numbered(cls, number):  # (shard, class, bin) in one long: 20, 12 and 31 bits
-        return (F.shiftleft(F.col("shard"), 43) + F.shiftleft(cls.cast("long"), 31) + number).cast("long").alias("sequence_id")
+    def numbered(cls, number):
+        return sequence_id(F.col("shard"), cls, number).alias("sequence_id")
 
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     done = (ranked.filter(F.col("rank") < F.col("full"))

@@ -1,26 +1,119 @@
 """Token ids by a public tokenizer file, with a memory of the pieces a worker
 has met.
 
-The pre-tokenizers of both files never join what stands on two sides of a run
-of white space, so a text is cut in front of such runs and each piece is
-encoded on its own; the concatenated ids equal those of the whole text (tests
-hold them against the library on whole texts). Pieces repeat, so a worker
-remembers their ids in two generations of bounded size. A text that holds the
-literal of a special token is encoded whole, as the library does by default:
-the literal gives the token's id.
+The pre-tokenizers of both files never join what stands before a run of spaces
+(or, where white space is dropped, of any white space) with the run, so a text
+is cut there into units and each is encoded on its own; the concatenated ids
+equal those of the whole text (tests hold them against the library on whole
+texts). Units repeat, so a worker remembers their ids, up to a bounded number.
+Units it has not met are encoded by the ranks engine, if the file's merges
+stand in the order of its ids (then ids are ranks and both libraries give the
+same ids; it is several times faster), else by the file's own library. A text
+that holds the literal of a special token is encoded whole, as the library does
+by default: the literal gives the token's id.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
+from collections.abc import Callable
+from itertools import chain
 
 #: White space as the tokenizer library's patterns understand it (Unicode White_Space).
 _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Where a run of spaces follows another character and is followed by one: no file's pattern joins both sides.
+_CUT = re.compile(r"(?<=\S)(?= +[^ ])")
+_BLANK_SPACE = re.compile(r"\s ")
 _WORD = re.compile(f"[^{_WS}]+")
 END_ID = 1
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 400_000
+
+#: The pre-tokenizer pattern of byte-level BPE files with ``use_regex``, and that of BPE files with word ends.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END_BYTES = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The public byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes in order for U+0100 and on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+Engine = Callable[[list[str]], list[list[int]]]
+
+
+def byte_level_encoder(path: str) -> Engine:
+    """Texts to lists of ids, by a byte-level BPE file, special tokens' strings being plain text.
+
+    If the file's merges give its tokens in the order of their ids, ids are ranks and the ranks engine
+    (several times faster) gives the same ids; else the file's own library does."""
+    from tokenizers import Tokenizer
+
+    alphabet = byte_alphabet()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, special = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    in_order = (sorted(ranks.values()) == list(range(len(ranks))) and len(ranks) == 256 + len(merges)
+                and all(model["vocab"][t] == 256 + i for i, t in enumerate(merges)))
+    plain = (spec.get("normalizer") is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
+             and spec["pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"]["add_prefix_space"])
+    if in_order and plain:
+        import tiktoken
+
+        engine = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: list(map(engine.encode_ordinary, texts))
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def word_end_encoder(path: str) -> Engine | None:
+    """Pieces without white space, in ASCII and lower-cased, to lists of ids by a BPE file whose words
+    end in a suffix; None if the file is of another kind or its merges are not in the order of its ids.
+
+    A byte that ends a word is a symbol of its own: it is written with its high bit set, which no
+    ASCII byte has, so one table of ranks over byte strings holds inner and last symbols."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if not suffix or pre[0].get("pattern", {}).get("Regex") != WORD_END_PATTERN or pre[1:] != WORD_END_BYTES:
+        return None
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    numbers = [model["vocab"][t] for t in merges]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    if any(a >= b for a, b in zip(numbers, numbers[1:])) or len(model["vocab"]) != 512 + len(merges) + len(special & model["vocab"].keys()):
+        return None
+    import tiktoken
+
+    alphabet, ranks = byte_alphabet(), {}
+    for token, i in model["vocab"].items():
+        if token in special:
+            continue
+        last = token.endswith(suffix) and token != suffix
+        symbols = bytearray(alphabet[c] for c in (token[:-len(suffix)] if last else token))
+        if all(b < 128 for b in symbols):
+            symbols[-1] |= 128 * last
+            ranks[bytes(symbols)] = i
+    core = tiktoken.Encoding("word-ends", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        out = []
+        for p in pieces:
+            ids: list[int] = []
+            for word in cut.findall(p):
+                ids += core.encode_single_piece(word[:-1].encode() + bytes((ord(word[-1]) | 128,)))
+            out.append(ids)
+        return out
+    return encode
 
 
 class Encoder:
@@ -41,9 +134,12 @@ class Encoder:
         self.normalized = [t.content.lower() for t in added if t.normalized]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.drops_blanks = drops_blanks
-        # ids by piece, without and with a space in front: the recent and the older generation
-        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.engine = None if drops_blanks else byte_level_encoder(path)
+        #: for pieces in lower-cased ASCII
+        self.lower_engine = word_end_encoder(path) if drops_blanks else None
+        #: ids by unit, and by first unit of a text (which has no space in front)
+        self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, drops_blanks: bool) -> "Encoder":
@@ -53,66 +149,65 @@ class Encoder:
             cls._by_path[key] = cls(path, drops_blanks)
         return cls._by_path[key]
 
-    def _cut(self, text: str | None) -> list[tuple[int, list[str]]]:
-        """Pieces of a text as (1 if a space stands before each, pieces) runs."""
+    def _cut(self, text: str | None) -> tuple[str, list[str]]:
+        """The first unit of a text, and the units after it without the space in front of each."""
         if not text:
-            return []
+            return "", []
         if self.drops_blanks:
+            if self.lower_engine and text.isascii():
+                text = text.lower()  # as the normalizer does; fewer units to remember
             # Python's split() also cuts at four separators that are no white space here
             odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-            return [(0, _WORD.findall(text) if odd else text.split())]
-        if text.replace("\n", " ").split(" ") != text.split():
-            return [(0, _PIECE.findall(text))]
-        # words with one space or one line feed between: the line feed is a piece, the space opens the next one
-        runs: list[tuple[int, list[str]]] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            runs.append((0, ["\n", first] if runs else [first]))
-            if rest:
-                runs.append((1, rest))
-        return runs
+            return "", _WORD.findall(text) if odd else text.split()
+        head, *units = text.split(" ")
+        if "" in units or not head or _BLANK_SPACE.search(text):
+            head, *units = _CUT.split(text)
+            units = [u[1:] for u in units]
+        return head, units
 
     def _has_literal(self, text: str) -> bool:
         return any(x in text for x in self.literals) or bool(self.normalized) and any(x in text.lower() for x in self.normalized)
 
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        if self.engine:
+            return self.engine(pieces)
+        if self.lower_engine:
+            lower = [p.isascii() and p == p.lower() for p in pieces]
+            quick = iter(self.lower_engine([p for p, ok in zip(pieces, lower) if ok]))
+            slow = iter(self._by_file([p for p, ok in zip(pieces, lower) if not ok]))
+            return [next(quick if ok else slow) for ok in lower]
+        return self._by_file(pieces)
+
+    def _by_file(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, memory: dict[str, bytes], units: set[str], before: str) -> dict[str, bytes]:
+        """The memory with all of ``units``; a full one keeps those of the units that it has."""
+        fresh = list(units - memory.keys())
+        if len(memory) + len(fresh) > MEMORY_PIECES:
+            memory = {u: memory[u] for u in units & memory.keys()}
+        kind = "H" if self.width == 2 else "I"
+        for i in range(0, len(fresh), 10_000):
+            part = fresh[i:i + 10_000]
+            encoded = self._encode([before + u for u in part] if before else part)
+            memory.update((u, struct.pack(f"<{len(e)}{kind}", *e)) for u, e in zip(part, encoded))
+        return memory
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         import numpy as np
 
         whole = {i: t for i, t in enumerate(texts) if t and self._has_literal(t)}
-        cut = [[] if i in whole else self._cut(t) for i, t in enumerate(texts)]
-        young = self.young
-        got = [[list(map(young[space].get, pieces)) for space, pieces in runs] for runs in cut]
-        missing: tuple[set[str], set[str]] = (set(), set())
-        for runs, values in zip(cut, got):
-            for (space, pieces), found in zip(runs, values):
-                if None in found:
-                    missing[space].update(p for p, v in zip(pieces, found) if v is None)
-        if missing[0] or missing[1]:
-            kind = f"<u{self.width}"
-            now: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-            for space in (0, 1):
-                old = self.old[space]
-                now[space].update((p, old[p]) for p in missing[space] if p in old)
-                fresh = list(missing[space] - now[space].keys())
-                for i in range(0, len(fresh), 10_000):
-                    part = fresh[i:i + 10_000]
-                    encoded = self.tokenizer.encode_batch_fast([" " + p for p in part] if space else part, add_special_tokens=False)
-                    now[space].update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(part, encoded))
-            for runs, values in zip(cut, got):
-                for (space, pieces), found in zip(runs, values):
-                    if None in found:
-                        found[:] = [now[space][p] if v is None else v for p, v in zip(pieces, found)]
-            if sum(map(len, young)) + sum(map(len, now)) > MEMORY_PIECES:
-                self.old, self.young = young, ({}, {})
-            for space in (0, 1):
-                self.young[space].update(now[space])
-        out = [b"".join([b"".join(found) for found in values]) for values in got]
+        cut = [("", []) if i in whole else self._cut(t) for i, t in enumerate(texts)]
+        self.known = self._learn(self.known, set(chain.from_iterable(units for _, units in cut)), "" if self.drops_blanks else " ")
+        self.heads = self._learn(self.heads, {head for head, _ in cut}, "")
+        get = self.known.__getitem__
+        out = [self.heads[head] + b"".join(map(get, units)) for head, units in cut]
         for i, t in whole.items():
             out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
         return out
 
 
-def batches(column, most_chars: int = 4_000_000):
+def batches(column, most_chars: int = 2_000_000):
     """(first row, texts) slices of an Arrow string column, of bounded size
     unless one text alone is larger."""
     texts, chars, first = [], 0, 0

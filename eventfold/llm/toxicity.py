@@ -1,13 +1,13 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 Linear classifiers are trained in numpy from confirmed toxic examples (P) and
-text whose label is withheld (U). With class prior ``pi`` the risk is
+documents of the learning folds that have no label (U). With class prior ``pi`` the risk is
 ``pi R+_P + max(0, R-_U - pi R-_P)``, R+ and R- being mean logistic losses
 towards the toxic and the clean side: U stands in for clean examples once the
 toxic share hidden in it is taken out, and the bracket is kept from turning
 negative (when it would, the step goes against it, which stops the classifier
-from fitting single positives). ``pi`` is the share of toxic labels in the
-learning rows.
+from fitting single positives). ``pi`` is the share of toxic labels among the
+labelled learning rows: labels are taken to cover the documents at random.
 
 Features are presence of words and of word beginnings of 4 to 8 bytes, letters
 only, A-Z lower-cased; nothing but the text enters a score. The features kept
@@ -15,13 +15,14 @@ are those far more frequent in P than in U (by z-score). ``models``
 classifiers, each on its own share of the sample, train in separate tasks; their
 weights are averaged.
 
-Fitting uses a bounded sample (``max_positive``, ``max_unlabelled`` rows of the
-labels table, drawn by a hash of the id); scoring reads every whole text. The
+Fitting uses a bounded sample (``max_positive``, ``max_unlabelled`` rows,
+drawn by a hash of the id); scoring reads every whole text. The
 model sent to the tasks has at most ``max_features`` weights.
 
 Defined cases: null and empty texts get the score of no feature, below 0.5;
 null ids count as text '' in the fold; repeated rows are scored each; of
-several labels of one document the largest counts; without any positive label
+several labels of one document the largest counts; where every learning document has a label, U is the
+labelled ones with the label withheld; without any positive label
 every score is 0; other columns are not read.
 """
 
@@ -42,6 +43,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: A feature is kept if so many positives hold it and its z-score is at least this.
 MIN_POSITIVE, MIN_Z = 3, 4.0
 FOLDS = 5
+#: Bytes of text that a worker turns into features at a time.
+SLICE = 1 << 19
 
 
 def features(texts: pa.Array):
@@ -59,7 +62,7 @@ def features(texts: pa.Array):
 def _featurize(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (example, positive, text) to (example, positive, distinct features)."""
     for part in parts:
-        for first, texts in slices(part.column(2), 1 << 21):
+        for first, texts in slices(part.column(2), SLICE):
             row, h = features(texts)
             order = np.lexsort((h, row))
             row, h = row[order], h[order]
@@ -105,7 +108,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_positive: in
     if prior <= 0:
         return nothing
     p = learn.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
-    u = learn.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+
+    def drawn(ids: DataFrame) -> DataFrame:
+        return ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+
+    u = materialize(drawn(docs.filter((fold(F.col("doc_id"), folds) != 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+                          .join(learn, "doc_id", "left_anti")), "unlabelled")
+    if u.isEmpty():
+        u = drawn(learn)
     chosen = F.broadcast(p.unionByName(u))  # at most max_positive + max_unlabelled ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").alias("example"), "positive", "text")
     sample = materialize(rows.mapInArrow(_featurize, "example bigint, positive boolean, features array<bigint>"), "toxic-sample")
@@ -159,7 +169,7 @@ def _scorer(known: np.ndarray, weights: np.ndarray, bias: float):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first, texts in slices(part.column(1)):
+            for first, texts in slices(part.column(1), SLICE):
                 z = np.full(len(texts), bias)
                 if len(known):
                     row, h = features(texts)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _ODD = 0x9E3779B97F4A7C15
-_STRIDE = 1 << 22
+_STRIDE = 1 << 19
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 #: Letters only: a-z, A-Z and the bytes of characters beyond ASCII.

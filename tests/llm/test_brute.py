@@ -7,7 +7,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from eventfold.llm import mixing, near_dup, ngram_lm, packing, quality, recompression, secret_scan, syncmers, tokenfile, toxicity
 from eventfold.llm.common import ship_package
@@ -32,7 +34,6 @@ def encode(name, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for x in texts]
 
 
@@ -104,6 +105,60 @@ def test_small_blocks_give_the_same_groups(spark, monkeypatch):
     assert got == sorted(brute_components(list(enumerate(texts))))
 
 
+@pytest.mark.parametrize("chunk", [4, 5])
+def test_buckets_longer_than_a_piece_lose_no_member(spark, monkeypatch, chunk):
+    """Groups of alike sets that end one, two or more members after a piece of a bucket."""
+    ship_package(spark)
+    for size in (chunk + 1, chunk + 2, 2 * chunk, 2 * chunk + 1, 2 * chunk + 2, 3 * chunk + 2):
+        node = np.arange(size + 3, dtype=np.int64)
+        key = np.array([7] * size + [8] * 3, np.int64)
+        sig = np.zeros((size + 3, 1), np.int64)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(size + 4, dtype=np.int32)), pa.array(sig.reshape(-1)))],
+            names=["key", "node", "signature"])
+        monkeypatch.setattr(near_dup, "CHUNK", chunk)
+        for batches in ([batch], [batch.slice(i, 1) for i in range(size + 3)], [batch.slice(0, chunk), batch.slice(chunk)]):
+            out = pa.Table.from_batches(list(near_dup._forest(near_dup.Estimator(32, 2), 0.5)(iter(batches)))).to_pydict()
+            members = sorted(a for k, a in zip(out["kind"], out["a"]) if k == 1)
+            assert members == node.tolist(), (size, members)
+            root = list(range(size + 3))
+            for k, a, b in zip(out["kind"], out["a"], out["b"]):
+                if k == 0:
+                    ra, rb = root[a], root[b]
+                    root = [rb if r == ra else r for r in root]
+            assert len(set(root[:size])) == 1 and len(set(root[size:])) == 1 and len(set(root)) == 2
+
+
+def test_ids_of_the_whole_range(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2**63 - 1, text), (2**62 + 5, text), (-2**63, "other words are here"), (None, text), (None, "lone text without id"), (2**62, None)]
+    ship_package(spark)
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.op2(df).collect()), key=repr)
+    least = 2**62 + 5
+    assert got == sorted([(2**63 - 1, least, False), (least, least, True), (-2**63, -2**63, True), (None, least, False), (None, None, True),
+                          (2**62, 2**62, True)], key=repr)
+
+
+def test_dedup_stage_keeps_one_row_of_null_and_repeated_ids(spark):
+    ship_package(spark)
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(None, a), (None, a), (4, a), (4, a), (9, a), (None, b), (None, b), (None, b + " more"), (None, None), (None, None), (3, ""), (3, "")]
+    df = spark.createDataFrame([(d, t, "x", 0, 1) for d, t in rows], "doc_id bigint, text string, row string, n int, c int").repartition(4)
+    out = near_dup.keep_one(df)
+    got = sorted(((r.doc_id, (r.text or "")[:2]) for r in out.collect()), key=repr)
+    assert out.columns == df.columns
+    assert got == sorted([(4, "a0"), (None, "b0"), (None, ""), (None, ""), (3, ""), (3, "")], key=repr)
+    assert near_dup.keep_one(df.filter("false")).count() == 0
+
+
+def test_sequence_ids_differ_at_any_scale(spark):
+    rows = [(s, c, b) for s in (0, 1, 2**20, 2**21, 2**21 + 1, 2**31 - 1) for c in (0, 1, 2048) for b in (0, 1, 2**20 - 1)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s bigint, c bigint, b bigint")
+           .select(packing.sequence_id(F.col("s"), F.col("c"), F.col("b"))).collect()]
+    assert len(set(got)) == len(rows) and min(got) == 0
+
+
 def test_rows_without_id_take_part(spark):
     ship_package(spark)
     t = " ".join(f"w{i}" for i in range(60))
@@ -388,7 +443,7 @@ def test_pipeline_against_brute_stages(spark):
     assert kept.columns == source.columns and sorted(r.doc_id for r in kept.collect()) == good
 
     one = stages["MinHash near-dedup"](spark, kept, SF)
-    stay = sorted(d for d, _, _, k in brute_components([(d, rows[d].text) for d in good]) if k)
+    stay = stage_components([(d, rows[d].text) for d in good])
     assert one.columns == source.columns and sorted(r.doc_id for r in one.collect()) == stay
 
     masked = stages["secret scans"](spark, one, SF)
@@ -402,13 +457,13 @@ def test_pipeline_against_brute_stages(spark):
     mixed = stages["mixing sources to target weights"](spark, masked, SF)
     took = {r.doc_id: r for r in mixing.mix(masked).collect()}
     copies = collections.Counter(r.doc_id for r in mixed.collect())
-    assert mixed.columns == source.columns and sorted(copies) == stay
-    assert all(1 <= copies[d] <= 3 and abs(copies[d] - took[d].taken / max(1, took[d].size)) <= 1 for d in stay)
+    assert mixed.columns == source.columns and set(copies) <= set(stay)
+    assert all(0 <= copies[d] <= 3 and abs(copies[d] - took[d].taken / max(1, took[d].size)) < 1 for d in stay)
 
     packed = corpus_pipeline.run(spark, SF)
     ids = dict(zip(stay, encode("byte_bpe_50k.json", [after[d].text for d in stay])))
     pieces = packed.collect()
-    assert sum(r.length for r in pieces) == sum(len(ids[d]) * copies[d] for d in stay)
+    assert sum(r.length for r in pieces) == sum(len(ids[d]) * n for d, n in copies.items())
     assert collections.Counter(r.doc_id for r in pieces if r.start == 0) == copies
 
 
