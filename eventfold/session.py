@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # keep the Python state server of stateful streaming off TCP
     "spark.python.unix.domain.socket.enabled": "true",
+    # checkpoints of frames that nobody holds any more are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -63,3 +65,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_filesystem(uri: str):
+    """A pyarrow filesystem and path for a folder every machine shares; tasks
+    write and read their files through it (file, hdfs, s3, gs, ...)."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        uri = "file://" + uri
+    elif uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, wherever they run: one zip in
+    the shared folder, added once per application."""
+    import io
+    import posixpath
+    import uuid
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    folder = posixpath.join(checkpoint_dir(spark), f"package-{uuid.uuid4().hex}")
+    fs, at = local_filesystem(folder)
+    fs.create_dir(at, recursive=True)
+    with fs.open_output_stream(f"{at}/eventfold.zip") as out:
+        out.write(blob.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/eventfold.zip")
+    _shipped.add(app)
