@@ -36,6 +36,12 @@ def _state_view(state: DataFrame, alias: str) -> DataFrame:
                                  F.col("settings.shared").alias("shared"), "fail_event_type").alias(alias))
 
 
+def decision_state(log: DataFrame) -> DataFrame:
+    """The latest state of every item, of the columns that decisions and their events read."""
+    narrow = [c for c in ("seq", "hop", "aggregate_id", "type", "version", "user_id", "session_id", "date", "fail_event_type") if c in log.columns]
+    return latest_state(log.select(*narrow, F.struct(F.col("settings.shared").alias("shared")).alias("settings")))
+
+
 def decide(commands: DataFrame, state: DataFrame, selection_accepts: Sequence[str] = SELECTION_ACCEPTS,
            persistence_accepts: Sequence[str] = PERSISTENCE_ACCEPTS) -> DataFrame:
     """Commands plus ``decision`` (ACCEPTED / REJECTED / IGNORED), ``out_type``,
@@ -70,26 +76,26 @@ def decide_as_of(commands: DataFrame, log: DataFrame, chunk: int | None = None,
                          F.col("settings.shared").alias("shared"), "fail_event_type")
     cols = commands.columns
     events = log.where(F.col("aggregate_id").isNotNull()).select(
-        F.col("aggregate_id").alias("_k"), F.col("seq").alias("_ord"), F.lit(3).alias("_role"),
+        F.struct(F.lit(True).alias("item"), F.col("aggregate_id").alias("id")).alias("_k"), F.col("seq").alias("_ord"), F.lit(3).alias("_role"),
         (F.coalesce(F.col("hop"), F.lit(0)) if "hop" in log.columns else F.lit(0)).alias("_hop"), F.lit(None).cast("long").alias("_row"),
         state_val.alias("_state"), F.lit(None).cast(commands.select(F.struct(*cols).alias("c")).schema["c"].dataType)
         .alias("_cmd"))
-    # every command once per item it reads (role 1: target, 2: source); one without any still has its row (role 0).
+    # every command once per item it reads (role 1: target, 2: source), and once (role 0) under a key that is no
+    # item's, so one without any still has its row and all its rows come from one computation of the row numbers.
     # At equal seq commands come before events, so a command never sees an event at its own place.
-    reads = F.array(F.struct(F.lit(1).alias("role"), F.col("target_id").alias("key")),
-                    F.struct(F.lit(2).alias("role"), F.col("source_id").alias("key")),
-                    F.struct(F.lit(0).alias("role"), F.lit(None).cast("string").alias("key")))
+    reads = F.array(F.struct(F.lit(1).alias("role"), F.lit(True).alias("item"), F.col("target_id").alias("id")),
+                    F.struct(F.lit(2).alias("role"), F.lit(True).alias("item"), F.col("source_id").alias("id")),
+                    F.struct(F.lit(0).alias("role"), F.lit(False).alias("item"), F.col("_row").cast("string").alias("id")))
     asks = (commands.withColumn("_row", F.monotonically_increasing_id())
             .select("_row", F.struct(*cols).alias("_cmd"), F.col("cmd_seq").alias("_ord"),
-                    F.explode(F.filter(reads, lambda r: (r["role"] == 0) | r["key"].isNotNull())).alias("_r"))
-            .select(F.col("_r.key").alias("_k"), "_ord", F.col("_r.role").alias("_role"), F.lit(0).alias("_hop"), "_row",
+                    F.explode(F.filter(reads, lambda r: r["id"].isNotNull())).alias("_r"))
+            .select(F.struct("_r.item", "_r.id").alias("_k"), "_ord", F.col("_r.role").alias("_role"), F.lit(0).alias("_hop"), "_row",
                     F.lit(None).cast(events.schema["_state"].dataType).alias("_state"), "_cmd"))
-    seen = attach_last_before(events.unionByName(asks.where("_role > 0")), "_k", "_ord",
+    seen = attach_last_before(events.unionByName(asks), "_k", "_ord",
                               {"_seen": (F.col("_role") == 3, F.col("_state"))},
                               tiebreak=("_role", "_hop"), chunk=chunk, want=F.col("_role") < 3)
     # target and source states meet per command (at most three rows each)
-    nothing = asks.where("_role = 0").select("_row", "_role", "_cmd", F.col("_state").alias("_seen"))
-    per_cmd = (seen.where(F.col("_role") < 3).select("_row", "_role", "_cmd", "_seen").unionByName(nothing)
+    per_cmd = (seen.where(F.col("_role") < 3).select("_row", "_role", "_cmd", "_seen")
                .groupBy("_row")
                .agg(F.first("_cmd").alias("_cmd"),
                     F.max_by("_seen", F.when(F.col("_role") == 1, F.lit(1))).alias("_st"),
@@ -180,7 +186,7 @@ def _decide_looked_up(x: DataFrame, selection_accepts: Sequence[str] = SELECTION
 
 def command_decisions(commands: DataFrame, log: DataFrame) -> DataFrame:
     """OP-34 over an event log: decisions against its latest state (OP-08)."""
-    d = decide(commands, latest_state(log))
+    d = decide(commands, decision_state(log))
     return d.select("cmd_seq", "decision", "out_type", "version", "error_type", "error_args")
 
 

@@ -9,7 +9,8 @@ last version, the last settings-carrying payload and the deleted flag.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,28 +27,44 @@ FAMILIES = {
 }
 
 
+def _folded(rows: DataFrame, named: Mapping[str, tuple[Sequence[str], Sequence[str]]], chunk: int | None) -> DataFrame:
+    """One as-of pass and one aggregate for all of ``named`` families; a struct per family."""
+    t, at, tie = F.col("type"), log_order(rows), hop_tiebreak(rows)
+    accepted = {f: t.isin(list(acc)) for f, (acc, _) in named.items()}
+    # a family's first lock is looked up on rows that it accepts; a row it does not accept is a lock itself
+    marked = attach_last_before(rows, "aggregate_id", "seq", {f"_lock_{f}": (~ok, F.lit(True)) for f, ok in accepted.items()},
+                                tiebreak=tie, chunk=chunk, want=reduce(lambda a, b: a | b, accepted.values()))
+
+    def folded(f: str, sets: Sequence[str]):
+        ok = accepted[f]
+        live = ok & F.col(f"_lock_{f}").isNull()
+        return [F.max_by("version", F.when(live, at)).alias(f"{f}_version"),
+                F.max_by("settings", F.when(live & t.isin(list(sets)), at)).alias(f"{f}_settings"),
+                F.coalesce(F.max(F.when(live, t == Types.DELETED)), F.lit(False)).alias(f"{f}_deleted"),
+                F.min(F.when(~ok, F.col("seq"))).alias(f"{f}_lock_seq"),
+                F.min_by(t, F.when(~ok, at)).alias(f"{f}_lock_type"),
+                F.count(F.when(live, 1)).alias(f"{f}_applied")]
+
+    wide = marked.groupBy("aggregate_id").agg(*[c for f, (_, sets) in named.items() for c in folded(f, sets)])
+    per_family = [F.struct(F.lit(f).alias("family"), F.col(f"{f}_version").alias("version"), F.col(f"{f}_settings").alias("settings"),
+                           F.col(f"{f}_deleted").alias("deleted"), F.col(f"{f}_lock_seq").isNotNull().alias("locked"),
+                           F.col(f"{f}_lock_type").alias("lock_type"), F.col(f"{f}_lock_seq").alias("lock_seq"),
+                           F.col(f"{f}_applied").alias("applied")) for f in named]
+    return wide.select("aggregate_id", F.explode(F.array(*per_family)).alias("_f")).select("aggregate_id", "_f.*")
+
+
+def _history(log: DataFrame) -> DataFrame:
+    return log.where(F.col("aggregate_id").isNotNull()).select("aggregate_id", "seq", *hop_tiebreak(log), "type", "version", "settings")
+
+
 def fold_history(log: DataFrame, family: str = "persistence", accepts: Sequence[str] | None = None,
                  sets_settings: Sequence[str] | None = None, chunk: int | None = None) -> DataFrame:
-    """One row per item: ``aggregate_id, version, settings, deleted, locked,
+    """One row per item: ``aggregate_id, family, version, settings, deleted, locked,
     lock_type, lock_seq, applied`` (events folded before the first lock)."""
     acc, sets = FAMILIES[family]
-    acc = list(accepts or acc)
-    sets = list(sets_settings or sets)
-    t = F.col("type")
-    accepted = t.isin(acc)
-    tie = hop_tiebreak(log)
-    rows = log.where(F.col("aggregate_id").isNotNull()).select("aggregate_id", "seq", *tie, "type", "version", "settings")
-    at = log_order(rows)
-    marked = attach_last_before(rows, "aggregate_id", "seq", {"_lock_before": (~accepted, F.lit(True))},
-                                tiebreak=tie, chunk=chunk, want=accepted)
-    live = accepted & F.col("_lock_before").isNull()
-    return (marked.groupBy("aggregate_id").agg(
-        F.max_by(F.col("version"), F.when(live, at)).alias("version"),
-        F.max_by(F.col("settings"), F.when(live & t.isin(sets), at)).alias("settings"),
-        F.coalesce(F.max(F.when(live, t == Types.DELETED)), F.lit(False)).alias("deleted"),
-        F.min(F.when(~accepted, F.col("seq"))).alias("lock_seq"),
-        F.min_by(t, F.when(~accepted, at)).alias("lock_type"),
-        F.count(F.when(live, 1)).alias("applied"),
-    ).withColumn("locked", F.col("lock_seq").isNotNull())
-     .select("aggregate_id", F.lit(family).alias("family"), "version", "settings", "deleted", "locked",
-             "lock_type", "lock_seq", "applied"))
+    return _folded(_history(log), {family: (accepts or acc, sets_settings or sets)}, chunk)
+
+
+def fold_families(log: DataFrame, chunk: int | None = None) -> DataFrame:
+    """:func:`fold_history` of every family, a row per item and family, in one pass over the log."""
+    return _folded(_history(log), FAMILIES, chunk)

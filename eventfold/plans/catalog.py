@@ -56,7 +56,7 @@ from eventfold.operators import decisions as dec  # noqa: E402
 from eventfold.operators import outcomes as oc  # noqa: E402
 from eventfold.operators import state as stt  # noqa: E402
 from eventfold.operators.derive import derive_once, session_mismatch_report  # noqa: E402
-from eventfold.operators.fold import fold_history  # noqa: E402
+from eventfold.operators.fold import fold_families  # noqa: E402
 from eventfold.plans import oracle_state_sql as ssql  # noqa: E402
 from eventfold.plans.reports import settings_columns, us  # noqa: E402
 from eventfold.schema import Types  # noqa: E402
@@ -121,14 +121,14 @@ def session_mismatch_q(spark, sf_dir):
 def fold_history_q(spark, sf_dir):
     """OP-33/19: each item's history folded per aggregate family."""
     st = history_log(spark, sf_dir)
-    f = fold_history(st, "persistence").unionByName(fold_history(st, "selection"))
+    f = fold_families(st)
     return f.select("aggregate_id", "family", "version", "deleted", "locked", "lock_type", "lock_seq", "applied",
                     *settings_columns(F.col("settings")))
 
 
 def _decided(spark, sf_dir):
     state, cmds = decision_log(spark, sf_dir)
-    return dec.decide(cmds, stt.latest_state(state))
+    return dec.decide(cmds, dec.decision_state(state))
 
 
 @register("command_decisions", ssql.decisions_sql())

@@ -60,8 +60,13 @@ def ntz_to_timestamp(c: Column) -> Column:
 def _with_k(events: DataFrame, *cols: str) -> DataFrame:
     """Driver columns plus ``k`` parsed from ``props``. ``json_tuple`` is a
     generator: filters on columns derived from ``k`` stay above it, so the JSON
-    text is parsed once per row instead of once per reference after pushdown."""
-    return (events.select(*cols, F.json_tuple("props", "k").alias("_k_text"))
+    text is parsed once per row instead of once per reference after pushdown.
+
+    The narrow raw columns are exchanged before that: the driver's table may be a single split, whose
+    rows one task would parse, and operators that read the log in several branches (chunk summaries and
+    rows) share this exchange and its one read of the table."""
+    raw = events.select(*cols, "props").repartition("event_id")
+    return (raw.select(*cols, F.json_tuple("props", "k").alias("_k_text"))
             .withColumn("k", F.col("_k_text").cast("int")).drop("_k_text"))
 
 
