@@ -274,3 +274,16 @@ def command_decisions_as_of_q(spark, sf_dir):
     d = dec.decide_as_of(cmds, state)
     return d.select("cmd_seq", "command", "decision", "out_type", "version", "error_type",
                     F.array_join("error_args", ",").alias("error_args"))
+
+
+from eventfold.operators.loop import command_loop, command_path  # noqa: E402
+from eventfold.sources.fixtures import command_path_log  # noqa: E402
+
+
+@register("command_path")
+def command_path_q(spark, sf_dir):
+    """OP-34/07/40/46b/48: every command decided on the log that the commands before it led to, with its outcome (a
+    fixpoint of decisions and log; held against rounds of the set-based operators in the tests)."""
+    external, commands = command_path_log(spark, sf_dir)
+    path = command_loop(commands, external, TIMEOUT_MS)
+    return command_path(path, commands, TIMEOUT_MS).withColumn("error_args", F.array_join("error_args", ","))

@@ -208,6 +208,16 @@ def decision_log(spark: SparkSession, sf_dir: str, interleaved: bool = False) ->
     return state, cmds.select(*[f.name for f in COMMANDS.fields])
 
 
+def command_path_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(external events, commands)`` on one axis: the commands of profile D at even places, and at odd ones the
+    confirmations, failures and snapshots of the lifecycle log (what services besides the command handler send)."""
+    _, commands = decision_log(spark, sf_dir, interleaved=True)
+    sent = ("SELECT_CONFIRMED", "DESELECT_CONFIRMED", "CLEAR_SELECTION_CONFIRMED", "SAVE_CONFIRMED", "DELETE_CONFIRMED",
+            "SELECT_FAILED", "DESELECT_FAILED", "CLEAR_SELECTION_FAILED", "SAVE_FAILED", "DELETE_FAILED", "SAVED")
+    external = lifecycle_log(spark, sf_dir).where(F.col("type").isin(*sent))
+    return external.withColumn("seq", F.col("seq") * 2 + 1), commands.withColumn("cmd_seq", F.col("cmd_seq") * 2)
+
+
 def history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row as a state event with types from ``PROFILE_D_TYPES``; items of
     even users see SAVED and SELECTED in place of the locking SAVE and SELECT."""
