@@ -158,3 +158,27 @@ def _scan(df: DataFrame, key: str, order: str, tables: Tables, tiebreak: Sequenc
     out = rows.select("*", *[near(F.col(f"_v_{n}")).over(w_in).alias(f"_r_{n}") for n in names])
     return out.where(F.col(ordk) == 1).select(
         *df.columns, *[F.when(wanted, F.col(f"_r_{n}")).alias(n) for n in names])
+
+
+def running_totals(df: DataFrame, key: str, order: str, deltas: Mapping[str, Column], tiebreak: Sequence[str] = (),
+                   chunk: int | None = None) -> DataFrame:
+    """Add one column per delta: its sum over the rows of the same ``key`` strictly before this row in
+    ``(order, *tiebreak)``. Rows with a null key get null.
+
+    Laid out like the as-of scan: each ``(key, chunk)`` is reduced to its sums (map-side), a window over
+    those gives the sum that a chunk starts from, which enters the rows as a sentinel in front of the chunk."""
+    if chunk is None:
+        chunk = default_chunk(df.sparkSession)
+    names, keyed = list(deltas), F.col(key).isNotNull()
+    sort_cols = [F.col(order), *[F.col(c) for c in tiebreak]]
+    ck = F.floor(F.col(order) / F.lit(chunk)).cast("long") if chunk else F.lit(0).cast("long")
+    base = df.select("*", *[F.coalesce(d.cast("long"), F.lit(0)).alias(f"_d_{n}") for n, d in deltas.items()], ck.alias("_total_chunk"))
+    sums = base.where(keyed).groupBy(key, "_total_chunk").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
+    before = Window.partitionBy(key).orderBy("_total_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(key, "_total_chunk", *[F.sum(f"_d_{n}").over(before).alias(f"_d_{n}") for n in names]).where(F.col(f"_d_{names[0]}").isNotNull())
+    sentinels = carry.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != key], key, "_total_chunk",
+                             *[f"_d_{n}" for n in names], F.lit(0).alias("_total_rank"))
+    rows = base.withColumn("_total_rank", F.lit(1)).unionByName(sentinels)
+    w = (Window.partitionBy(key, "_total_chunk").orderBy(F.col("_total_rank"), *sort_cols).rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.select("*", *[F.when(keyed, F.coalesce(F.sum(f"_d_{n}").over(w), F.lit(0))).alias(f"_t_{n}") for n in names])
+    return out.where("_total_rank = 1").select(*df.columns, *[F.col(f"_t_{n}").alias(n) for n in names])

@@ -62,3 +62,16 @@ def snapshot_events(log: DataFrame, snapshot_types: Sequence[str] = SNAPSHOT_TYP
 def filter_type(log: DataFrame, event_type: str) -> DataFrame:
     """OP-10: rows of one type (a plain predicate, pushed into the scan)."""
     return log.where(F.col("type") == F.lit(event_type))
+
+
+def tombstone_tables(log: DataFrame, deleted: Column, key: str = "aggregate_id", order: str = "seq") -> DataFrame:
+    """Both reductions of a log with delete markers, in one aggregate: one row per key with ``table``, its last
+    row that is no marker (a reduce that ignores nulls), and ``store``, its last row, null if that is a marker
+    (a store that deletes on null). A key that holds markers only is in neither and gives no row."""
+    cols = F.struct(*[F.col(c) for c in log.columns])
+    gone, at = F.coalesce(deleted, F.lit(False)), log_order(log, order)
+    return (log.where(F.col(key).isNotNull()).select(cols.alias("_row"), gone.alias("_gone"), at.alias("_at"), F.col(key).alias("_key"))
+            .groupBy("_key").agg(F.max_by("_row", F.when(~F.col("_gone"), F.col("_at"))).alias("table"),
+                                 F.max(F.when(~F.col("_gone"), F.col("_at"))).alias("_kept"), F.max("_at").alias("_last"))
+            .where(F.col("_kept").isNotNull())
+            .select(F.col("_key").alias(key), "table", F.when(F.col("_kept") == F.col("_last"), F.col("table")).alias("store")))

@@ -56,11 +56,13 @@ from eventfold.operators import decisions as dec  # noqa: E402
 from eventfold.operators import outcomes as oc  # noqa: E402
 from eventfold.operators import state as stt  # noqa: E402
 from eventfold.operators.derive import derive_once, session_mismatch_report  # noqa: E402
-from eventfold.operators.fold import fold_families  # noqa: E402
+from eventfold.operators.fold import fold_families, fold_stretch, folded, merge_folds  # noqa: E402
 from eventfold.plans import oracle_state_sql as ssql  # noqa: E402
 from eventfold.plans.reports import settings_columns, us  # noqa: E402
 from eventfold.schema import Types  # noqa: E402
-from eventfold.sources.fixtures import decision_log, history_log, outcome_log  # noqa: E402
+from eventfold.sources.fixtures import (  # noqa: E402
+    changing_items, decision_log, handler_log, history_log, outcome_log, reference_log, tombstone_log,
+)
 
 TIMEOUT_MS = ssql.TIMEOUT_MS
 
@@ -106,7 +108,7 @@ def delete_relay_q(spark, sf_dir):
 @register("event_router", ssql.event_router_sql())
 def event_router_q(spark, sf_dir):
     """OP-51: handler action per event; unrouted types discarded."""
-    return oc.event_router(lifecycle_log(spark, sf_dir))
+    return oc.event_router(handler_log(spark, sf_dir))
 
 
 @register("session_mismatch_report", ssql.session_mismatch_sql())
@@ -180,7 +182,9 @@ def command_timeout_q(spark, sf_dir):
 
 from pyspark.sql import types as T  # noqa: E402
 
-from eventfold.operators.references import Lookup, delete_reference_check, enrich_reference  # noqa: E402
+from eventfold.operators.references import (  # noqa: E402
+    Lookup, delete_reference_check, enrich_changing, enrich_reference, live_reference_check, reference_changes, valid_runs,
+)
 from eventfold.plans.lifecycle import LifecycleSpec, build_lifecycle, partial_update  # noqa: E402
 from eventfold.sources.fixtures import generic_log, read_table  # noqa: E402
 from eventfold.sources.log import split_malformed  # noqa: E402
@@ -251,9 +255,10 @@ def lifecycle_closure_q(spark, sf_dir):
 
 @register("alerts", ssql.alerts_sql())
 def alerts_q(spark, sf_dir):
-    """OP-45 + OP-50: the alert frame of the fixture log."""
-    log = lifecycle_log(spark, sf_dir)
-    a = oc.alerts(session_mismatch_report(log), log)
+    """OP-45 + OP-50: the alert frame: session mismatches, failed rollbacks, timeouts and locked items."""
+    log = handler_log(spark, sf_dir)
+    a = oc.alerts(session_mismatch_report(log), log, oc.timeout_alerts(_outcomes(spark, sf_dir)),
+                  dec.locked_alerts(_decided(spark, sf_dir), TIMEOUT_MS))
     return a.select("seq", "aggregate_id", "kind", "type", "session_id", us(F.col("date")).alias("date_us"))
 
 
@@ -287,3 +292,52 @@ def command_path_q(spark, sf_dir):
     external, commands = command_path_log(spark, sf_dir)
     path = command_loop(commands, external, TIMEOUT_MS)
     return command_path(path, commands, TIMEOUT_MS).withColumn("error_args", F.array_join("error_args", ","))
+
+
+@register("timeout_rollbacks", ssql.timeout_rollbacks_sql())
+def timeout_rollbacks_q(spark, sf_dir):
+    """OP-49: the rollbacks of timed-out commands as rows of the stored log."""
+    r = oc.timeout_rollbacks(_outcomes(spark, sf_dir))
+    return r.select("seq", "hop", "event_id", "aggregate_id", "type", "version", "user_id", "session_id", us(F.col("date")).alias("date_us"),
+                    "exception_type", "fail_event_type")
+
+
+@register("tombstone_tables", ssql.tombstone_sql())
+def tombstone_tables_q(spark, sf_dir):
+    """OP-08/39 with delete markers: the table that ignores them beside the store that deletes on them."""
+    log, gone = tombstone_log(spark, sf_dir)
+    t = stt.tombstone_tables(log, gone)
+    return t.select("aggregate_id", F.col("table.seq").alias("table_seq"), F.col("table.type").alias("table_type"),
+                    F.col("store.seq").alias("store_seq"), F.col("store.type").alias("store_type"))
+
+
+@register("fold_resumed", ssql.fold_history_sql())
+def fold_resumed_q(spark, sf_dir):
+    """OP-33: the fold of three stretches of history, merged; equal to the fold of the whole."""
+    log = history_log(spark, sf_dir)
+    edge = log.agg(F.struct(F.min("seq").alias("lo"), (F.max("seq") + 1).alias("hi"))).scalar()
+    part = F.floor((F.col("seq") - edge["lo"]) * 3 / (edge["hi"] - edge["lo"]))  # thirds of the axis; any cut does
+    parts = [fold_stretch(log.where(part == i)) for i in range(3)]
+    f = folded(merge_folds(*parts))
+    return f.select("aggregate_id", "family", "version", "deleted", "locked", "lock_type", "lock_seq", "applied",
+                    *settings_columns(F.col("settings")))
+
+
+@register("live_references", ssql.live_references_sql())
+def live_references_q(spark, sf_dir):
+    """OP-38 at its place: delete requests against references that come and go."""
+    refs, requests = reference_log(spark, sf_dir)
+    return live_reference_check(requests, "item", reference_changes(refs, "referrer", "item", "seq"))
+
+
+@register("enrich_changing", ssql.enrich_changing_sql())
+def enrich_changing_q(spark, sf_dir):
+    """OP-35: events enriched with what their related item was just before them."""
+    events, versions = changing_items(spark, sf_dir)
+    return enrich_changing(events, valid_runs(versions, "item_id", "seq", ["level", "team"]), "related_id", "item_id", "seq", ["level", "team"])
+
+
+@register("valid_runs", ssql.valid_runs_sql())
+def valid_runs_q(spark, sf_dir):
+    """The versions of the related items: rows at which a value changes."""
+    return valid_runs(changing_items(spark, sf_dir)[1], "item_id", "seq", ["level", "team"])

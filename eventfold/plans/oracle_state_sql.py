@@ -7,7 +7,7 @@ from eventfold.schema import (
     CANCELLED_TYPES, HISTORY_NOT_FOUND_ARG, PERSISTENCE_ACCEPTS, PERSISTENCE_SETS_SETTINGS, SELECTION_ACCEPTS,
     SELECTION_SETS_SETTINGS, SNAPSHOT_TYPES, SUCCESS_TYPES, Errors, Types,
 )
-from eventfold.sources.fixtures import PROFILE_D_COMMANDS, PROFILE_D_TYPES, PROFILE_O_TYPES
+from eventfold.sources.fixtures import HANDLED, PROFILE_D_COMMANDS, PROFILE_D_TYPES, PROFILE_O_TYPES
 
 TIMEOUT_MS = 12 * 3600 * 1000
 
@@ -59,28 +59,34 @@ SELECT l.seq, CASE l.type WHEN 'DELETE_CHECKED' THEN 'DELETE' ELSE 'DELETED' END
 FROM log l WHERE l.type IN ('DELETE_CHECKED', 'DELETE_CONFIRMED')"""
 
 
+def _handler_cte() -> str:
+    case = "CASE " + " ".join(f"WHEN seq % 2 = 0 AND type = {_q(a)} THEN {_q(b)}" for a, b in HANDLED.items()) + " ELSE type END"
+    return f"""{fixture_ctes()},
+handled AS (SELECT * REPLACE ({case} AS type) FROM log)"""
+
+
 def event_router_sql() -> str:
     routes = ([(t, "RESOLVE_SUCCESS") for t in SUCCESS_TYPES] + [(t, "RESOLVE_ERROR") for t in CANCELLED_TYPES]
               + [(Types.DELETE_CHECKED, "PUBLISH_DELETE"), (Types.DELETE_CONFIRMED, "PUBLISH_DELETED"),
                  (Types.ROLLBACK_FAILED, "ALERT")])
     case = "CASE " + " ".join(f"WHEN type = {_q(t)} THEN {_q(a)}" for t, a in routes) + " END"
-    return f"""WITH {fixture_ctes()}
+    return f"""WITH {_handler_cte()}
 SELECT seq, aggregate_id, session_id, type, {case} AS action, exception_type
-FROM log WHERE type IN {_in([t for t, _ in routes])}"""
+FROM handled WHERE type IN {_in([t for t, _ in routes])}"""
 
 
-def session_mismatch_sql() -> str:
+def session_mismatch_sql(ctes: str | None = None, table: str = "log") -> str:
     pairs = [(Types.SELECT_CONFIRMED, Types.SELECT), (Types.DESELECT_CONFIRMED, Types.DESELECT),
              (Types.CLEAR_SELECTION_CONFIRMED, Types.CLEAR_SELECTION), (Types.SAVE_CONFIRMED, Types.SAVE)]
     w = "(PARTITION BY aggregate_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     req = "CASE " + " ".join(
         f"WHEN type = {_q(c)} THEN last_value(CASE WHEN type = {_q(r)} THEN seq END IGNORE NULLS) OVER {w}"
         for c, r in pairs) + " END"
-    return f"""WITH {fixture_ctes()},
-x AS (SELECT l.*, {req} AS req_seq FROM log l WHERE aggregate_id IS NOT NULL)
+    return f"""WITH {ctes or fixture_ctes()},
+x AS (SELECT l.*, {req} AS req_seq FROM {table} l WHERE aggregate_id IS NOT NULL)
 SELECT x.seq, x.aggregate_id, 'SESSION_MISMATCH' AS kind, x.type, x.session_id,
        r.session_id AS request_session_id, epoch_us(x.date) AS date_us
-FROM x JOIN log r ON r.seq = x.req_seq
+FROM x JOIN {table} r ON r.seq = x.req_seq
 WHERE x.type IN {_in([c for c, _ in pairs])} AND NOT coalesce(r.session_id = x.session_id, false)"""
 
 
@@ -270,11 +276,58 @@ SELECT seq, session_id, aggregate_id, {_q(Errors.CONFIRMATION_TIMEOUT)} AS error
 FROM oc WHERE status = 'TIMEOUT'"""
 
 
-def alerts_sql() -> str:
-    inner = session_mismatch_sql().split("\nSELECT x.seq", 1)
-    return f"""{inner[0]},
-mism AS (SELECT x.seq{inner[1]})
-SELECT seq, aggregate_id, kind, type, session_id, date_us FROM mism
+def alerts_sql(timeout_ms: int = TIMEOUT_MS) -> str:
+    return f"""SELECT seq, aggregate_id, kind, type, session_id, date_us FROM ({session_mismatch_sql(_handler_cte(), "handled")})
 UNION ALL
 SELECT seq, aggregate_id, 'ROLLBACK_FAILED' AS kind, fail_event_type AS type, session_id, epoch_us(date) AS date_us
-FROM log WHERE type = 'ROLLBACK_FAILED'"""
+FROM (WITH {_handler_cte()} SELECT * FROM handled) WHERE type = 'ROLLBACK_FAILED'
+UNION ALL
+SELECT seq, aggregate_id, 'CONFIRMATION_TIMEOUT', fail_event_type, session_id, date_us FROM ({command_timeout_sql(timeout_ms)})
+UNION ALL
+SELECT cmd_seq, aggregate_id, 'ITEM_LOCKED', fail_event_type, session_id, date_us FROM ({stuck_rollback_sql(timeout_ms)})"""
+
+
+def timeout_rollbacks_sql(timeout_ms: int = TIMEOUT_MS) -> str:
+    return f"""WITH {_outcome_cte(timeout_ms)}
+SELECT o.seq, CAST(1 AS INTEGER) AS hop, CAST(o.seq AS VARCHAR) || '#timeout' AS event_id, o.aggregate_id, 'PREPARE_ROLLBACK' AS type,
+       CAST(1 + e.k % 3 AS INTEGER) AS version, CASE WHEN e.k % 9 = 0 THEN 'u1' ELSE 'u0' END AS user_id, o.session_id,
+       epoch_us(o.date) AS date_us, {_q(Errors.CONFIRMATION_TIMEOUT)} AS exception_type, o.type AS fail_event_type
+FROM oc o JOIN ev e ON e.event_id = o.seq WHERE status = 'TIMEOUT'"""
+
+
+def tombstone_sql() -> str:
+    return f"""WITH {fixture_ctes()},
+m AS (SELECT seq, aggregate_id, type, coalesce(exception_type IS NOT NULL AND seq % 2 = 1, false) AS gone FROM log WHERE aggregate_id IS NOT NULL),
+a AS (SELECT aggregate_id, max(CASE WHEN NOT gone THEN seq END) AS kept, max(seq) AS last FROM m GROUP BY aggregate_id)
+SELECT a.aggregate_id, m.seq AS table_seq, m.type AS table_type, CASE WHEN kept = last THEN m.seq END AS store_seq,
+       CASE WHEN kept = last THEN m.type END AS store_type
+FROM a JOIN m ON m.seq = a.kept"""
+
+
+_EV = "ev AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+
+
+def live_references_sql() -> str:
+    return f"""WITH {_EV},
+r AS (SELECT event_id AS seq, user_id AS referrer, CASE WHEN event_type <> 'error' THEN k END AS item FROM ev WHERE event_type <> 'signup'),
+l AS (SELECT *, lag(item) OVER (PARTITION BY referrer ORDER BY seq) AS old FROM r),
+c AS (SELECT seq, old AS item, -1 AS delta FROM l WHERE old IS DISTINCT FROM item AND old IS NOT NULL
+      UNION ALL SELECT seq, item, 1 FROM l WHERE old IS DISTINCT FROM item AND item IS NOT NULL),
+q AS (SELECT event_id AS seq, k AS item FROM ev WHERE event_type = 'signup'),
+n AS (SELECT q.seq, q.item, coalesce(sum(c.delta), 0)::BIGINT AS refs FROM q LEFT JOIN c ON c.item = q.item AND c.seq < q.seq GROUP BY q.seq, q.item)
+SELECT seq, item, refs AS "references", CASE WHEN refs > 0 THEN 'REFUSED' ELSE 'ALLOWED' END AS decision,
+       CASE WHEN refs > 0 THEN {_q(Errors.ITEM_REFERENCED)} END AS error_type FROM n"""
+
+
+def enrich_changing_sql() -> str:
+    return f"""WITH {_EV},
+f AS (SELECT event_id AS seq, event_type, user_id + k % 2 AS related_id FROM ev WHERE event_type IN ('view', 'click')),
+d AS (SELECT event_id AS seq, user_id AS item_id, k % 3 AS level, k % 7 AS team FROM ev WHERE event_type = 'purchase')
+SELECT f.seq, f.event_type, f.related_id, d.level, d.team FROM f ASOF LEFT JOIN d ON d.item_id = f.related_id AND f.seq > d.seq"""
+
+
+def valid_runs_sql() -> str:
+    return f"""WITH {_EV},
+d AS (SELECT event_id AS seq, user_id AS item_id, k % 3 AS level, k % 7 AS team FROM ev WHERE event_type = 'purchase' AND user_id IS NOT NULL),
+x AS (SELECT *, lag(seq) OVER w AS before, lag(level) OVER w AS l, lag(team) OVER w AS t FROM d WINDOW w AS (PARTITION BY item_id ORDER BY seq))
+SELECT item_id, seq, level, team FROM x WHERE before IS NULL OR l IS DISTINCT FROM level OR t IS DISTINCT FROM team"""

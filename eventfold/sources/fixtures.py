@@ -244,4 +244,43 @@ def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("type"),
         ntz_to_timestamp("ts").alias("date"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("E"), (k % 3).cast("string"))).alias("exception_type"),
+        F.col("event_id").cast("string").alias("event_id"), (F.lit(1) + k % 3).cast("int").alias("version"),
+        F.when(k % 9 == 0, "u1").otherwise("u0").alias("user_id"),
     )
+
+
+def tombstone_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """The settings log, and which of its rows are delete markers: rows of errors with an odd place."""
+    return lifecycle_log(spark, sf_dir), F.col("exception_type").isNotNull() & (F.col("seq") % 2 == 1)
+
+
+def reference_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(references, delete requests)``: a user points at item ``k`` with views, clicks and purchases and at nothing
+    after an error; a signup asks to delete item ``k``."""
+    e = _with_k(read_table(spark, sf_dir, "events"), "event_id", "user_id", "event_type")
+    refs = e.where("event_type <> 'signup'").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("referrer"),
+                                                    F.when(F.col("event_type") != "error", F.col("k")).alias("item"))
+    return refs, e.where("event_type = 'signup'").select(F.col("event_id").alias("seq"), F.col("k").alias("item"))
+
+
+def changing_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(events, versions)``: purchases set a user's level ``k % 3`` and group ``k % 7``; views and clicks point at the
+    user ``user_id + k % 2``."""
+    e = _with_k(read_table(spark, sf_dir, "events"), "event_id", "user_id", "event_type")
+    events = e.where("event_type in ('view', 'click')").select(F.col("event_id").alias("seq"), "event_type", (F.col("user_id") + F.col("k") % 2).alias("related_id"))
+    return events, e.where("event_type = 'purchase'").select(F.col("event_id").alias("seq"), F.col("user_id").alias("item_id"),
+                                                             (F.col("k") % 3).alias("level"), (F.col("k") % 7).alias("team"))
+
+
+#: fixed values: types that the handler's rows take at even places (what other services send back)
+HANDLED = {"PREPARE_ROLLBACK": "ROLLBACK_FAILED", "DELETE_CONFIRMED": "DELETED", "SELECT_FAILED": "SELECT_CANCELLED",
+           "DESELECT_FAILED": "DESELECT_CANCELLED", "CLEAR_SELECTION_FAILED": "CLEAR_SELECTION_CANCELLED",
+           "SAVE_FAILED": "SAVE_CANCELLED", "DELETE_FAILED": "DELETE_CANCELLED"}
+
+
+def handler_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings log with rows of every type that the handler acts on (``HANDLED``)."""
+    t = F.col("type")
+    for old, new in HANDLED.items():
+        t = F.when((F.col("seq") % 2 == 0) & (F.col("type") == old), F.lit(new)).otherwise(t)
+    return lifecycle_log(spark, sf_dir).withColumn("type", t)
