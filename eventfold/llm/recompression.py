@@ -164,6 +164,11 @@ def _window_keys(w: Words, window: int, start: np.ndarray):
     return windows(w.hashes, window, 0)[start], windows(w.hashes, window, 1)[start]
 
 
+def _joined(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """One 64-bit key of both hashes; a document's own windows are few, so it tells them apart by itself."""
+    return mix(k1 * np.uint64(0xA0761D6478BD642F) + k2)
+
+
 def _windows(window: int, rounds: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -176,7 +181,8 @@ def _windows(window: int, rounds: int):
                 k1, k2 = _window_keys(w, window, start) if len(start) else (np.zeros(0, np.uint64),) * 2
                 at = _distinct(row, k1, k2)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(k1[at]), _signed(k2[at]), pa.array(ids[first + row[at]])], names=["k1", "k2", "d"])
+                    [_signed(k1[at]), _signed(k2[at]), _signed(_joined(k1[at], k2[at])), pa.array(ids[first + row[at]])],
+                    names=["k1", "k2", "both", "d"])
     return run
 
 
@@ -191,8 +197,8 @@ def _keep(window: int):
                 if lists.null_count < len(lists):
                     start, row = window_rows(w.rows, window)
                     if len(start):
-                        k1, _ = _window_keys(w, window, start)
-                        hit = start[_in_lists(row, k1, lists)]
+                        k1, k2 = _window_keys(w, window, start)
+                        hit = start[_in_lists(row, _joined(k1, k2), lists)]
                         np.add.at(gone, hit, 1)
                         np.add.at(gone, hit + window, -1)
                 keep = np.cumsum(gone)[:-1] == 0
@@ -220,10 +226,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     flagged = anchors.join(shared, "anchor").groupBy("d").agg(F.collect_list("anchor").alias("anchors"))
     keyed = rows.select(d.alias("d"), "text")
     seen = materialize(keyed.join(flagged, "d").select("d", "text", "anchors")
-                       .mapInArrow(_windows(window, rounds), "k1 bigint, k2 bigint, d bigint"), "windows")
+                       .mapInArrow(_windows(window, rounds), "k1 bigint, k2 bigint, both bigint, d bigint"), "windows")
     least = seen.groupBy("k1", "k2").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter(F.col("lo") < F.col("hi"))
     again = (seen.join(least, ["k1", "k2"]).filter(F.col("lo") < F.col("d"))
-             .groupBy("d").agg(F.collect_list("k1").alias("keys")))
+             .groupBy("d").agg(F.collect_list("both").alias("keys")))
     return (keyed.join(again, "d", "left")
             .select(F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id"), "text", "keys")
             .mapInArrow(_keep(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))

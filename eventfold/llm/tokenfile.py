@@ -16,7 +16,7 @@ for the manifest, so lost or repeated tasks leave no wrong file behind.
 Memory per task is one frame and the index of its range.
 
 Defined cases: null and empty texts are the end id alone; null ids come first;
-repeated ids follow each other by text; an empty table writes no file. Other
+repeated ids follow each other by a hash of the text; an empty table writes no file. Other
 columns are not read.
 """
 
@@ -176,7 +176,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
     """Writes the files and returns the manifest (part, name, n_docs, n_tokens,
     base: ids in the files before it), itself a table in the shared folder."""
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+            .withColumn("place", F.xxhash64("text")))
+    # a hash of the text splits the rows of one id, null ids included, between files
+    rows = (rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").drop("place"))
     manifest = materialize(rows.mapInArrow(_writer(folder, tokenizer, frame_ids),
                                            "part bigint, name string, n_docs bigint, n_tokens bigint"), "manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
@@ -207,7 +209,8 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                           names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return (manifest.select("part", "name", "base").repartitionByRange("part")
+    files = max(1, manifest.count())  # a task to a file
+    return (manifest.select("part", "name", "base").repartitionByRange(files, "part")
             .mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 

@@ -172,10 +172,10 @@ class Encoder:
         if self.engine:
             return self.engine(pieces)
         if self.lower_engine:
-            lower = [p.isascii() and p == p.lower() for p in pieces]
-            quick = iter(self.lower_engine([p for p, ok in zip(pieces, lower) if ok]))
-            slow = iter(self._by_file([p for p, ok in zip(pieces, lower) if not ok]))
-            return [next(quick if ok else slow) for ok in lower]
+            plain = [p.isascii() for p in pieces]
+            quick = iter(self.lower_engine([p.lower() for p, ok in zip(pieces, plain) if ok]))
+            slow = iter(self._by_file([p for p, ok in zip(pieces, plain) if not ok]))
+            return [next(quick if ok else slow) for ok in plain]
         return self._by_file(pieces)
 
     def _by_file(self, pieces: list[str]) -> list[list[int]]:
