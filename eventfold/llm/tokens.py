@@ -44,7 +44,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-Engine = Callable[[list[str]], list[list[int]]]
+Engine = Callable[[list[str]], list]
 
 
 def byte_level_encoder(path: str) -> Engine:
@@ -74,12 +74,17 @@ def byte_level_encoder(path: str) -> Engine:
     return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+#: Letters of two UTF-8 bytes that lower() and NFC treat one by one: Latin, Greek and Cyrillic, without capital sigma and dotted I.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af\u0391-\u03a1\u03a4-\u03c9\u0400-\u0450]+")
+
+
 def word_end_encoder(path: str) -> Engine | None:
-    """Pieces without white space, in ASCII and lower-cased, to lists of ids by a BPE file whose words
-    end in a suffix; None if the file is of another kind or its merges are not in the order of its ids.
+    """Pieces without white space to lists of ids by a BPE file whose words end in a suffix, None for a piece
+    that needs the file's own library; None if the file is of another kind or its merges are not in the order of its ids.
 
-    A byte that ends a word is a symbol of its own: it is written with its high bit set, which no
-    ASCII byte has, so one table of ranks over byte strings holds inner and last symbols."""
+    A byte that ends a word is a symbol of its own. One table of ranks over byte strings holds inner and last
+    symbols, if the bytes that can end a word get other byte values: in ASCII pieces the high bit is free for
+    that, in words of two-byte letters the bytes that no such word holds are."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
@@ -91,27 +96,45 @@ def word_end_encoder(path: str) -> Engine | None:
     special = {t["content"] for t in spec.get("added_tokens", [])}
     if any(a >= b for a, b in zip(numbers, numbers[1:])) or len(model["vocab"]) != 512 + len(merges) + len(special & model["vocab"].keys()):
         return None
+    import unicodedata
+
     import tiktoken
 
-    alphabet, ranks = byte_alphabet(), {}
-    for token, i in model["vocab"].items():
-        if token in special:
-            continue
-        last = token.endswith(suffix) and token != suffix
-        symbols = bytearray(alphabet[c] for c in (token[:-len(suffix)] if last else token))
-        if all(b < 128 for b in symbols):
-            symbols[-1] |= 128 * last
-            ranks[bytes(symbols)] = i
-    core = tiktoken.Encoding("word-ends", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    alphabet = byte_alphabet()
+    tokens = [(bytes(alphabet[c] for c in (t[:-len(suffix)] if t.endswith(suffix) and t != suffix else t)), t.endswith(suffix) and t != suffix, i)
+              for t, i in model["vocab"].items() if t not in special]
+
+    def engine(inner: set[int], last: dict[int, int]):
+        """Words of the bytes ``inner``; a byte that ends one is written as ``last`` of it."""
+        ranks = {t[:-1] + bytes((last[t[-1]] if end else t[-1],)): i for t, end, i in tokens
+                 if inner.issuperset(t) and (not end or t[-1] in last)}
+        spare = iter(range(1 << 30, 1 << 31))  # the library wants a rank for every byte; these are never met
+        ranks.update((bytes((b,)), next(spare)) for b in range(256) if bytes((b,)) not in ranks)
+        return tiktoken.Encoding("word-ends", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    plain = engine(set(range(128)), {b: b | 128 for b in range(128)})
+    used = {*range(97, 123), *range(128, 192), *range(0xC3, 0xD2)}
+    ends = [*range(97, 123), *range(128, 192)]
+    last = dict(zip(ends, (b for b in range(256) if b not in used)))
+    wide = engine(used, last)
     cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        out = []
+    def encode(pieces: list[str]) -> list[list[int] | None]:
+        out: list[list[int] | None] = []
         for p in pieces:
-            ids: list[int] = []
-            for word in cut.findall(p):
-                ids += core.encode_single_piece(word[:-1].encode() + bytes((ord(word[-1]) | 128,)))
-            out.append(ids)
+            if p.isascii():
+                ids: list[int] = []
+                for word in cut.findall(p.lower()):
+                    ids += plain(word[:-1].encode() + bytes((ord(word[-1]) | 128,)))
+                out.append(ids)
+                continue
+            letters = p.rstrip(".,;:!?")
+            word, marks = letters.lower().encode(), p[len(letters):]
+            if _LETTERS.fullmatch(letters) and used.issuperset(word) and unicodedata.is_normalized("NFC", letters):
+                ids = wide(word[:-1] + bytes((last[word[-1]],)))
+                out.append(ids + plain(marks[:-1].encode() + bytes((ord(marks[-1]) | 128,))) if marks else ids)
+            else:
+                out.append(None)
         return out
     return encode
 
@@ -135,7 +158,6 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.drops_blanks = drops_blanks
         self.engine = None if drops_blanks else byte_level_encoder(path)
-        #: for pieces in lower-cased ASCII
         self.lower_engine = word_end_encoder(path) if drops_blanks else None
         #: ids by unit, and by first unit of a text (which has no space in front)
         self.known: dict[str, bytes] = {}
@@ -172,10 +194,9 @@ class Encoder:
         if self.engine:
             return self.engine(pieces)
         if self.lower_engine:
-            plain = [p.isascii() for p in pieces]
-            quick = iter(self.lower_engine([p.lower() for p, ok in zip(pieces, plain) if ok]))
-            slow = iter(self._by_file([p for p, ok in zip(pieces, plain) if not ok]))
-            return [next(quick if ok else slow) for ok in plain]
+            quick = self.lower_engine(pieces)
+            slow = iter(self._by_file([p for p, ids in zip(pieces, quick) if ids is None]))
+            return [next(slow) if ids is None else ids for ids in quick]
         return self._by_file(pieces)
 
     def _by_file(self, pieces: list[str]) -> list[list[int]]:
