@@ -186,7 +186,7 @@ from eventfold.operators.references import (  # noqa: E402
     Lookup, delete_reference_check, enrich_changing, enrich_reference, live_reference_check, reference_changes, valid_runs,
 )
 from eventfold.plans.lifecycle import LifecycleSpec, build_lifecycle, partial_update  # noqa: E402
-from eventfold.sources.fixtures import generic_log, read_table  # noqa: E402
+from eventfold.sources.fixtures import damaged_events, generic_log, read_table  # noqa: E402
 from eventfold.sources.log import split_malformed  # noqa: E402
 
 
@@ -237,11 +237,17 @@ def delete_reference_check_q(spark, sf_dir):
 @register("src_malformed_skip", osql.malformed_sql())
 def src_malformed_skip_q(spark, sf_dir):
     """OP-04: decode each event's JSON properties; undecodable rows are quarantined."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "props")
-    good, _bad = split_malformed(ev, "props", T.StructType([T.StructField("k", T.IntegerType())]))
+    good, _bad = split_malformed(damaged_events(spark, sf_dir), "props", T.StructType([T.StructField("k", T.IntegerType())]))
     return good.select("event_id", "k")
 
 
+@register("quarantine", osql.quarantine_sql())
+def quarantine_q(spark, sf_dir):
+    """OP-04: the rows that cannot be decoded."""
+    _good, bad = split_malformed(damaged_events(spark, sf_dir), "props", T.StructType([T.StructField("k", T.IntegerType())]))
+    return bad
+
+
 # --- closure (no SQL oracle: a fixpoint over derived rows) -------------------
 
 from eventfold.operators.closure import lifecycle_closure  # noqa: E402

@@ -302,6 +302,16 @@ SELECT p.p_partkey, CASE WHEN r.l_partkey IS NOT NULL THEN 'REFUSED' ELSE 'ALLOW
 FROM q p LEFT JOIN r ON r.l_partkey = p.p_partkey"""
 
 
+_DAMAGED = """damaged AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN left(props, length(props) - 1)
+                           ELSE props END AS props FROM events)"""
+
+
 def malformed_sql() -> str:
-    return """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+    return f"""WITH {_DAMAGED}
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM damaged
 WHERE props IS NOT NULL AND json_valid(props)"""
+
+
+def quarantine_sql() -> str:
+    return f"""WITH {_DAMAGED}
+SELECT event_id, props FROM damaged WHERE props IS NULL OR NOT json_valid(props)"""

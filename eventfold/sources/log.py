@@ -26,6 +26,7 @@ class StreamPolicy:
     max_files_per_trigger: int | None = None
     trigger_ms: int | None = None     # None: as fast as possible
     checkpoint: str | None = None     # shared folder; required on a cluster
+    from_seq: int | None = None       # starting position: rows from this place on; None: the whole log
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -49,7 +50,8 @@ def stream_event_log(spark: SparkSession, path: str, policy: StreamPolicy = Stre
     r = spark.readStream.format(fmt).schema(STORED_LOG)
     if policy.max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", policy.max_files_per_trigger)
-    return _stored(r.load(path))
+    log = _stored(r.load(path))
+    return log if policy.from_seq is None else log.where(F.col("seq") >= policy.from_seq)
 
 
 def stream_snapshot_log(spark: SparkSession, path: str, policy: StreamPolicy = StreamPolicy(),

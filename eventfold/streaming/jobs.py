@@ -9,9 +9,10 @@ the checkpoint must be in the shared folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from eventfold.operators.decisions import command_events, decide
@@ -19,7 +20,7 @@ from eventfold.operators.derive import Rule, derive
 from eventfold.operators.state import snapshot_events
 from eventfold.schema import SNAPSHOT_TYPES
 from eventfold.session import checkpoint_dir
-from eventfold.sources.log import StreamPolicy, stream_event_log
+from eventfold.sources.log import StreamPolicy, split_malformed, stream_event_log
 from eventfold.streaming.asof_state import stream_attach_last_before
 
 
@@ -97,6 +98,28 @@ def start_lifecycle_loop(spark: SparkSession, external_path: str, derived_path:
     return w.start()
 
 
+def start_split_sink(source: DataFrame, text_col: str, schema: T.StructType, good_path: str, quarantine_path: str,
+                     policy: StreamPolicy = StreamPolicy(), name: str = "split_sink", fmt: str = "parquet",
+                     wrote: Callable[[str, int], None] | None = None) -> StreamingQuery:
+    """OP-04 on a stream: decoded rows and undecodable ones are two outputs of one micro-batch. Each is written to
+    ``<path>/batch=<id>``, and a batch that is repeated (a failure between the writes, or before the batch is
+    committed) overwrites both, so neither loses or doubles a row. ``wrote`` is told each write."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # both outputs come from one computation
+        good, bad = split_malformed(batch, text_col, schema)
+        for kind, rows, path in (("good", good, good_path), ("quarantine", bad, quarantine_path)):
+            rows.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+            if wrote is not None:
+                wrote(kind, batch_id)
+        batch.unpersist()
+
+    ckpt = policy.checkpoint or os.path.join(checkpoint_dir(source.sparkSession), "streams", name)
+    w = source.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).queryName(name)
+    if policy.trigger_ms:
+        w = w.trigger(processingTime=f"{policy.trigger_ms} milliseconds")
+    return w.start()
+
+
 class FailureAlerts:
     """Failure watch for streaming queries: calls ``on_failure(query_id,
     message)`` when a query terminates with an error (the original alerts and

@@ -7,10 +7,10 @@ row cannot bring the key back); under ``"ignore"`` it is skipped. Each batch giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -59,3 +59,13 @@ def stream_table(log: DataFrame, deleted: Column, payload: Column, semantics: st
     rows = log.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("long").alias("at"),
                                                     F.coalesce(deleted, F.lit(False)).alias("gone"), payload.cast("string").alias("payload"))
     return rows.groupBy("key").transformWithStateInPandas(TableProcessor(semantics), CHANGE, "Update", "none")
+
+
+def read_table(spark: SparkSession, checkpoint: str, keys: Sequence[str] | None = None, batch_id: int | None = None) -> DataFrame:
+    """OP-09 on a stream: the table (key, at, payload) that a running or stopped ``stream_table`` query keeps, read from
+    its checkpoint as of its last (or ``batch_id``'s) commit; with ``keys`` only theirs. Removed keys are absent."""
+    r = spark.read.format("statestore").option("stateVarName", "last")
+    if batch_id is not None:
+        r = r.option("batchId", batch_id)
+    rows = r.load(checkpoint).select(F.col("key.key").alias("key"), "value.*").where("present")
+    return (rows if keys is None else rows.where(F.col("key").isin(list(keys)))).select("key", "at", "payload")

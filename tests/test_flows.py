@@ -34,7 +34,7 @@ def test_tables_with_delete_markers(spark):
 @pytest.mark.parametrize("semantics", ["delete", "ignore"])
 @pytest.mark.parametrize("batches", [1, 4])
 def test_stream_table_equals_batch(spark, semantics, batches):
-    from eventfold.streaming.table_state import stream_table
+    from eventfold.streaming.table_state import read_table, stream_table
 
     log, gone = tombstone_log(spark, SF)
     flat_log = log.select("seq", "aggregate_id", "type", gone.alias("gone"))
@@ -44,14 +44,23 @@ def test_stream_table_equals_batch(spark, semantics, batches):
     stream = spark.readStream.schema(flat_log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
     changes = stream_table(stream, F.col("gone"), F.col("type"), semantics)
     name = f"changes_{semantics}_{batches}"
+    ckpt = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
     q = (changes.writeStream.format("memory").queryName(name).outputMode("update")
-         .option("checkpointLocation", tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")).trigger(availableNow=True).start())
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     last = spark.table(name).groupBy("key").agg(F.max_by(F.struct("present", "at", "payload"), "at").alias("l"))
     got = rows_of(last.where("l.present"), "key", "l.at", "l.payload")
     t = tombstone_tables(flat_log, F.col("gone"))
     side = "store" if semantics == "delete" else "table"
     assert got == rows_of(t.where(F.col(side).isNotNull()), "aggregate_id", f"{side}.seq", f"{side}.type")
+    # the same table from the query's checkpoint, whole and for wanted keys, after the last and after each batch
+    assert rows_of(read_table(spark, ckpt), "key", "at", "payload") == got
+    wanted = [got[0][0], got[-1][0], "nobody"]
+    assert rows_of(read_table(spark, ckpt, wanted), "key", "at", "payload") == [r for r in got if r[0] in wanted]
+    for b in range(batches):
+        seen = spark.table(name)  # changes up to a batch: those of the files read by then are at most as new
+        part = read_table(spark, ckpt, batch_id=b)
+        assert part.join(seen, ["key", "at"], "left_anti").count() == 0 and part.count() <= flat_log.select("aggregate_id").distinct().count()
 
 
 @pytest.mark.parametrize("chunk", [0, 1, 7, 1 << 20])
@@ -108,3 +117,48 @@ def test_every_branch_has_rows(spark):
         "RESOLVE_SUCCESS", "RESOLVE_ERROR", "PUBLISH_DELETE", "PUBLISH_DELETED", "ALERT"}
     types = {r["type"] for r in handler_log(spark, sf).select("type").distinct().collect()}
     assert {"DELETED", "ROLLBACK_FAILED", "SAVE_CANCELLED", "DELETE_CANCELLED"} <= types
+
+
+def test_quarantine_is_a_second_sink_of_the_stream(spark):
+    """The query dies between the two writes, and after both but before the commit: no row is lost or doubled."""
+    from pyspark.sql import types as T
+
+    from eventfold.sources.log import StreamPolicy
+    from eventfold.streaming.jobs import start_split_sink
+
+    at = tempfile.mkdtemp(prefix="run-split-", dir="/tmp")
+    rows = [(i, '{"k": %d}' % i if i % 3 else ("{cut" if i % 2 else None)) for i in range(60)]
+    for b in range(3):
+        spark.createDataFrame(rows[20 * b:20 * b + 20], "id long, props string").coalesce(1).write.parquet(f"{at}/in/b{b}")
+    left = {("good", 1), ("quarantine", 2)}
+
+    def fail_once(kind, batch):
+        if (kind, batch) in left:
+            left.discard((kind, batch))
+            raise RuntimeError("killed")
+
+    for _ in range(3):
+        stream = (spark.readStream.schema("id long, props string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+                  .parquet(f"{at}/in"))
+        q = start_split_sink(stream, "props", T.StructType([T.StructField("k", T.IntegerType())]), f"{at}/good", f"{at}/bad",
+                             StreamPolicy(checkpoint=f"{at}/ckpt"), wrote=fail_once)
+        try:
+            q.processAllAvailable()
+        except Exception:
+            pass
+        q.stop()
+    assert not left
+    assert rows_of(spark.read.parquet(f"{at}/good"), "id", "k") == sorted(((i, i) for i, _ in rows if i % 3), key=repr)
+    assert rows_of(spark.read.parquet(f"{at}/bad"), "id", "props") == sorted(((i, t) for i, t in rows if i % 3 == 0), key=repr)
+
+
+def test_stream_from_a_starting_position(spark):
+    from eventfold.sources.log import StreamPolicy, stream_event_log
+    from helpers import event, log_df
+
+    at = tempfile.mkdtemp(prefix="run-from-", dir="/tmp")
+    log_df(spark, [event(i, "SAVE") for i in range(10)]).withColumn("hop", F.lit(0)).write.parquet(f"{at}/log")
+    q = (stream_event_log(spark, f"{at}/log", StreamPolicy(from_seq=7)).writeStream.format("memory").queryName("from_seven")
+         .trigger(availableNow=True).option("checkpointLocation", f"{at}/ckpt").start())
+    q.awaitTermination()
+    assert [r[0] for r in spark.sql("select seq from from_seven order by seq").collect()] == [7, 8, 9]
