@@ -32,7 +32,7 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle_or_is_rows_only(spark):
     rows_only = set(E.QUERIES) - set(ORACLES)
-    assert rows_only == {"lifecycle_closure"}
+    assert rows_only == {"lifecycle_closure", "command_path"}  # held against other engines in test_closure and test_loop
 
 
 def test_entry_smoke(spark):
