@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventfold.schema import SETTINGS
-
 
 def map_new_selection(selection: Column) -> Column:
     """OP-21: a new item from a selection request; unshared, unnamed."""
@@ -50,7 +48,3 @@ def version_next(command: Column, state_version: Column) -> Column:
     """OP-44: select/save/clone restart at 1 (quirk Q5); the rest are state + 1."""
     return (F.when(command.isin("select", "save", "clone"), F.lit(1))
             .otherwise(state_version + F.lit(1))).cast("int")
-
-
-def null_settings() -> Column:
-    return F.lit(None).cast(SETTINGS)
