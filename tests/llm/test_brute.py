@@ -217,6 +217,68 @@ def test_recompression_finds_repeats_of_every_shape(spark):
     assert got == brute_removed(list(enumerate(texts)))
 
 
+def brute_rows(rows, n=13):
+    """Like ``brute_removed`` on rows (id or None, text) with repeated and missing ids: no id counts as the last."""
+    key = lambda d: (d is None, d or 0)
+    by = {}
+    for d, t in rows:
+        w = (t or "").split()
+        for i in range(len(w) - n + 1):
+            k = tuple(w[i:i + n])
+            by[k] = min(by.get(k, key(d)), key(d))
+    out = []
+    for d, t in rows:
+        w = (t or "").split()
+        gone = set()
+        for i in range(len(w) - n + 1):
+            if by[tuple(w[i:i + n])] < key(d):
+                gone.update(range(i, i + n))
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def long_repeats(seed):
+    """Documents made of shared passages of 20 to 900 words, with own words between, edits inside, and whole copies."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{rng.randrange(4000)}" for _ in range(rng.choice((20, 51, 120, 900)))) for _ in range(8)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choice(passages).split()
+            if rng.random() < 0.3:
+                words[rng.randrange(len(words))] = "edit"
+            lo = rng.randrange(len(words)) if rng.random() < 0.3 else 0
+            parts += [" ".join(words[lo:]), " ".join(f"o{rng.randrange(90000)}" for _ in range(rng.randrange(0, 40)))]
+        texts.append("  ".join(parts))
+    return texts + texts[:15]
+
+
+def test_recompression_of_long_repeats_and_missing_ids(spark):
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.33 else rng.choice((5, 9, i, (1 << 63) - 1)), t) for i, t in enumerate(long_repeats(5))]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, lo string")
+    for long in (13, 26, 10 ** 6):  # every span, the default, none: the edges alone must do it too
+        got = sorted((tuple(r) for r in recompression.dedup(df, long=long).collect()), key=str)
+        assert got == brute_rows(rows)
+
+
+def test_symbols_cover_a_copied_document():
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(3000))
+    w = recompression.words(pa.array([text, "x " + text + " y", text]), False)
+    name, lo, hi, row = recompression.long_symbols(recompression.first_rounds(w), 26)
+    of = [set(name[row == i].tolist()) for i in range(3)]
+    assert of[0] == of[2] and max((hi - lo)[row == 0]) == 3000
+    inside = np.isin(name, list(of[0])) & (row == 1)  # all but the edges of a text that stands in another
+    cover = np.zeros(len(w.hashes), bool)
+    for a, b in zip(lo[inside], hi[inside]):
+        cover[a:b] = True
+    assert cover[w.rows[1]:w.rows[2]].sum() > 2800
+
+
 def test_same_id_does_not_remove_from_itself(spark):
     t = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(1, t), (1, "x " + t), (2, t)], "doc_id bigint, text string")
