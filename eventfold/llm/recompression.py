@@ -19,12 +19,12 @@ Spark then resolves names over all documents, in two rounds.
    the least document that has them. A covered window need not be offered to
    others either: the symbol's least document offers it.
 
-The anchor of a window is the smallest name among the symbols of the highest of
+The anchor of a window is the symbol of smallest name among those of the highest of
 the first ``ROUNDS`` rounds whose contexts lie in the window. A symbol's context
 is the words that decided it (its own and those of neighbours that decided where
 it begins and ends), so a window that holds a symbol's context holds that symbol
 wherever it occurs; a window that holds none (long runs of one word) is its own
-anchor. Equal windows have equal anchors.
+anchor. Equal windows have equal anchors, and equal words in their contexts, which the anchor's name takes in.
 
 Scale: names are counted by partial aggregates, and the joins that bring shared
 names and repeated windows back to documents are plain equi-joins, which
@@ -149,6 +149,15 @@ def long_symbols(levels: list[Symbols], long: int):
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _range_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
+    """A hash of the words of each [lo, hi), of ``most`` words at most."""
+    out = (hi - lo).astype(np.uint64)
+    for i in range(most):
+        at = lo + i
+        out = np.where(at < hi, out * np.uint64(0xD1B54A32D192ED03) + hashes[np.minimum(at, len(hashes) - 1)], out)
+    return out
+
+
 def window_anchors(w: Words, window: int = WINDOW, rounds: int = ROUNDS, levels: list[Symbols] | None = None):
     """(starts, rows, anchors) of all windows of the slice."""
     start, row = window_rows(w.rows, window)
@@ -164,15 +173,20 @@ def window_anchors(w: Words, window: int = WINDOW, rounds: int = ROUNDS, levels:
         b = np.searchsorted(np.maximum.accumulate(s.chi), at + window, "right")  # and end in it
         some = a < b
         a, b = a[some], b[some]
-        best = s.name[a]
+        best = a.copy()
         step = 1
         while True:
             more = a + step < b
             if not more.any():
                 break
-            best = np.where(more, np.minimum(best, s.name[np.minimum(a + step, len(s.name) - 1)]), best)
+            other = np.minimum(a + step, len(s.name) - 1)
+            best = np.where(more & (s.name[other] < s.name[best]), other, best)
             step += 1
-        anchor[todo[some]] = mix(best + np.uint64(level + 1))
+        if len(best):  # neighbouring windows mostly have the same anchor
+            new = np.ones(len(best), bool)
+            new[1:] = best[1:] != best[:-1]
+            key = mix(_range_hashes(w.hashes, s.clo[best[new]], s.chi[best[new]], window) ^ mix(s.name[best[new]] + np.uint64(level + 1)))
+            anchor[todo[some]] = key[np.cumsum(new) - 1]
         todo = todo[~some]
         if not len(todo):
             break
