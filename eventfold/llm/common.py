@@ -32,6 +32,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once what was made of it is written itself."""
+    files = table.inputFiles()
+    if files:
+        fs, at = local_filesystem(posixpath.dirname(files[0]))
+        fs.delete_dir(at)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nobody holds any more;
     it does so once the driver has collected its garbage."""

@@ -51,12 +51,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles
+from .common import discard, materialize, release_shuffles
 from .wordtable import Words, mix, slices, window_rows, windows, words
 
 WINDOW = 13
 #: Rounds whose symbols serve as anchors; their contexts fit into a window.
-ROUNDS = 4
+#: More of them make rarer anchors of more words, but a window then holds fewer to choose among.
+ROUNDS = 2
 #: Words of the shortest symbols that cover what they span.
 LONG = 2 * WINDOW
 #: Rounds at most; a document of a million words is mostly one symbol after 50.
@@ -340,15 +341,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     names = materialize(rows.mapInArrow(_names(window, rounds, long), "name bigint, covers boolean, d bigint, h bigint"), "names")
     shared = materialize(names.join(_owned(names, ["name"]), "name").filter(~F.col("covers") | smaller)
-                         .groupBy("d", "h").agg(F.collect_set("name").alias("names")), "shared")
-    release_shuffles(spark)
-
+                         .groupBy("d", "h").agg(F.collect_set("name").alias(XX
     def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.withColumnsRenamed({"d": "_d", "h": "_h"})
         return left.join(right, F.col("h").eqNullSafe(F.col("_h")) & F.col("d").eqNullSafe(F.col("_d")), how).drop("_d", "_h")
 
     edges = materialize(meet(rows, shared, "inner").select("d", "h", "text", "names")
                         .mapInArrow(_edges(window, rounds, long), "a bigint, b bigint, covers boolean, d bigint, h bigint"), "edges")
+    discard(shared)
     release_shuffles(spark)
     spans, seen = edges.filter("covers"), edges.filter("not covers")
     again = seen.join(_owned(seen, ["a", "b"]), ["a", "b"]).filter(smaller)
@@ -356,6 +356,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         spans.select("d", "h", F.struct("a", "b").alias("span"), F.lit(None).cast("long").alias("key"))
         .unionByName(again.select("d", "h", F.lit(None).cast("struct<a: bigint, b: bigint>").alias("span"), F.col("b").alias("key")))
         .groupBy("d", "h").agg(F.collect_set("span").alias("spans"), F.collect_set("key").alias("keys")), "gone")
+    discard(edges)
     release_shuffles(spark)
     none = F.size("keys") == 0
     return (meet(rows, gone, "left").select(F.col("d").alias("doc_id"), "text", "spans", F.when(~none, F.col("keys")).alias("keys"))
