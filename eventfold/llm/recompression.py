@@ -341,7 +341,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     names = materialize(rows.mapInArrow(_names(window, rounds, long), "name bigint, covers boolean, d bigint, h bigint"), "names")
     shared = materialize(names.join(_owned(names, ["name"]), "name").filter(~F.col("covers") | smaller)
-                         .groupBy("d", "h").agg(F.collect_set("name").alias(XX
+                         .groupBy("d", "h").agg(F.collect_set("name").alias("names")), "shared")
+    discard(names)
+    release_shuffles(spark)
+
     def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.withColumnsRenamed({"d": "_d", "h": "_h"})
         return left.join(right, F.col("h").eqNullSafe(F.col("_h")) & F.col("d").eqNullSafe(F.col("_d")), how).drop("_d", "_h")
