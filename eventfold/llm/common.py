@@ -22,13 +22,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return posixpath.join(checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Spark deletes the shuffle files of a statement at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back: cuts
     the lineage, survives lost executors, keeps a used-twice frame from being
-    computed twice."""
+    computed twice. With ``release`` the shuffles of the write end with it."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_shuffles
+from .common import discard, materialize
 from .wordtable import Words, mix, slices, window_rows, windows, words
 
 WINDOW = 13
@@ -332,7 +332,6 @@ def _owned(rows: DataFrame, by: list[str]) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS,
           long: int | None = None) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256), one per row of docs."""
-    spark = docs.sparkSession
     long = max(window, long or 2 * window)
     text = F.col(text_col)
     # rows are met again by id and text: rows of one id, or without any, are not gathered under one key
@@ -341,26 +340,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     names = materialize(rows.mapInArrow(_names(window, rounds, long), "name bigint, covers boolean, d bigint, h bigint"), "names")
     shared = materialize(names.join(_owned(names, ["name"]), "name").filter(~F.col("covers") | smaller)
-                         .groupBy("d", "h").agg(F.collect_set("name").alias("names")), "shared")
+                         .groupBy("d", "h").agg(F.collect_set("name").alias("names")), "shared", release=True)
     discard(names)
-    release_shuffles(spark)
 
     def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.withColumnsRenamed({"d": "_d", "h": "_h"})
         return left.join(right, F.col("h").eqNullSafe(F.col("_h")) & F.col("d").eqNullSafe(F.col("_d")), how).drop("_d", "_h")
 
     edges = materialize(meet(rows, shared, "inner").select("d", "h", "text", "names")
-                        .mapInArrow(_edges(window, rounds, long), "a bigint, b bigint, covers boolean, d bigint, h bigint"), "edges")
+                        .mapInArrow(_edges(window, rounds, long), "a bigint, b bigint, covers boolean, d bigint, h bigint"), "edges", release=True)
     discard(shared)
-    release_shuffles(spark)
     spans, seen = edges.filter("covers"), edges.filter("not covers")
     again = seen.join(_owned(seen, ["a", "b"]), ["a", "b"]).filter(smaller)
     gone = materialize(
         spans.select("d", "h", F.struct("a", "b").alias("span"), F.lit(None).cast("long").alias("key"))
         .unionByName(again.select("d", "h", F.lit(None).cast("struct<a: bigint, b: bigint>").alias("span"), F.col("b").alias("key")))
-        .groupBy("d", "h").agg(F.collect_set("span").alias("spans"), F.collect_set("key").alias("keys")), "gone")
+        .groupBy("d", "h").agg(F.collect_set("span").alias("spans"), F.collect_set("key").alias("keys")), "gone", release=True)
     discard(edges)
-    release_shuffles(spark)
     none = F.size("keys") == 0
     return (meet(rows, gone, "left").select(F.col("d").alias("doc_id"), "text", "spans", F.when(~none, F.col("keys")).alias("keys"))
             .mapInArrow(_keep(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
