@@ -339,9 +339,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     smaller = F.col("d").isNull() | (F.col("lo") < F.col("d"))
 
     names = materialize(rows.mapInArrow(_names(window, rounds, long), "name bigint, covers boolean, d bigint, h bigint"), "names")
-    shared = materialize(names.join(_owned(names, ["name"]), "name").filter(~F.col("covers") | smaller)
+    # owners are tables of their own: a name in a third of all documents is then a skewed join, which is split
+    owners = materialize(_owned(names, ["name"]), "owners", release=True)
+    shared = materialize(names.join(owners, "name").filter(~F.col("covers") | smaller)
                          .groupBy("d", "h").agg(F.collect_set("name").alias("names")), "shared", release=True)
     discard(names)
+    discard(owners)
 
     def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.withColumnsRenamed({"d": "_d", "h": "_h"})
@@ -351,12 +354,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                         .mapInArrow(_edges(window, rounds, long), "a bigint, b bigint, covers boolean, d bigint, h bigint"), "edges", release=True)
     discard(shared)
     spans, seen = edges.filter("covers"), edges.filter("not covers")
-    again = seen.join(_owned(seen, ["a", "b"]), ["a", "b"]).filter(smaller)
+    first = materialize(_owned(seen, ["a", "b"]), "owners", release=True)
+    again = seen.join(first, ["a", "b"]).filter(smaller)
     gone = materialize(
         spans.select("d", "h", F.struct("a", "b").alias("span"), F.lit(None).cast("long").alias("key"))
         .unionByName(again.select("d", "h", F.lit(None).cast("struct<a: bigint, b: bigint>").alias("span"), F.col("b").alias("key")))
         .groupBy("d", "h").agg(F.collect_set("span").alias("spans"), F.collect_set("key").alias("keys")), "gone", release=True)
     discard(edges)
+    discard(first)
     none = F.size("keys") == 0
     return (meet(rows, gone, "left").select(F.col("d").alias("doc_id"), "text", "spans", F.when(~none, F.col("keys")).alias("keys"))
             .mapInArrow(_keep(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
