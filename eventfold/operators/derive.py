@@ -175,14 +175,17 @@ RULES_BY_NAME = {r.name: r for r in RULES}
 
 
 SETTINGS_REQUESTS = {name: req for name, req in REQUEST_TABLES.values()}
+#: What the built-in rules read of a request; few columns keep the as-of scan narrow.
+REQUEST_FIELDS = ("session_id", "settings")
 
 
 def _table_specs(snapshot_types: Sequence[str], needed: Iterable[str],
-                 requests: dict[str, str] | None = None) -> dict[str, tuple[Column, Column]]:
+                 requests: dict[str, str] | None = None,
+                 request_fields: Sequence[str] = REQUEST_FIELDS) -> dict[str, tuple[Column, Column]]:
     t = _col("type")
     specs = {SNAP: (t.isin(list(snapshot_types)), F.struct("seq", "user_id", "settings"))}
     for name, req_type in (requests or SETTINGS_REQUESTS).items():
-        specs[name] = (t == req_type, F.struct("session_id", "settings"))
+        specs[name] = (t == req_type, F.struct(*request_fields))
     return {k: v for k, v in specs.items() if k in set(needed)}
 
 
@@ -237,11 +240,13 @@ def _assemble(rows: DataFrame, rules: Sequence[Rule], as_of: Column | None) -> D
 
 def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
            snapshot_types: Sequence[str] = SNAPSHOT_TYPES, as_of: Column | None = None, chunk: int | None = None,
-           requests: dict[str, str] | None = None, attach: Callable | None = None) -> DataFrame:
+           requests: dict[str, str] | None = None, attach: Callable | None = None,
+           request_fields: Sequence[str] = REQUEST_FIELDS) -> DataFrame:
     """Derived events (``hop`` + event-log columns) of the chosen rules over a
     log that already holds its earlier derived events (OP-46a when ``ops`` is
     None). ``ops`` holds rule names or :class:`Rule` objects; ``requests`` maps
-    request-table names to their request type (default: the settings ones).
+    request-table names to their request type (default: the settings ones), ``request_fields`` are the
+    columns of the request that a rule is given.
     ``as_of`` stamps clone and access dates; default: the trigger's date.
     ``attach`` replaces the batch as-of scan (the streaming form passes its
     keyed-state version); the rules are the same Column expressions.
@@ -250,14 +255,15 @@ def derive(log: DataFrame, ops: Iterable[str | Rule] | None = None,
         def attach(df, key, order, tables, tiebreak=(), want=None):
             return attach_last_before(df, key, order, tables, tiebreak=tiebreak, chunk=chunk, want=want)
     rules = ([RULES_BY_NAME[o] if isinstance(o, str) else o for o in ops] if ops is not None else list(RULES))
-    return _keyed_pass(log, rules, snapshot_types, as_of, attach, requests)
+    return _keyed_pass(log, rules, snapshot_types, as_of, attach, requests, request_fields)
 
 
 KEY = "_k"
 
 
 def _keyed_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[str],
-                as_of: Column | None, attach: Callable, requests: dict[str, str] | None = None) -> DataFrame:
+                as_of: Column | None, attach: Callable, requests: dict[str, str] | None = None,
+                request_fields: Sequence[str] = REQUEST_FIELDS) -> DataFrame:
     """One as-of pass for every rule. Rows are keyed by the item they look up:
     table rows and own-key triggers by their own ``aggregate_id``; save/clone
     triggers by ``persistence.settings_id`` (the item whose snapshot they read,
@@ -277,7 +283,7 @@ def _keyed_pass(log: DataFrame, rules: Sequence[Rule], snapshot_types: Sequence[
     keyed = log.where(t.isin(own_triggers + src_triggers + table_types)).withColumn(KEY, key).where(_col(KEY).isNotNull())
     triggers = own_triggers + src_triggers
     tiebreak = ("hop",) if "hop" in log.columns else ()
-    x = attach(keyed, KEY, "seq", _table_specs(snapshot_types, needed, requests), tiebreak=tiebreak,
+    x = attach(keyed, KEY, "seq", _table_specs(snapshot_types, needed, requests, request_fields), tiebreak=tiebreak,
                want=t.isin(triggers))
     return _assemble(x.where(t.isin(triggers)), rules, as_of)
 

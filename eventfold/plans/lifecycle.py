@@ -11,14 +11,14 @@ pass, exactly as the settings lifecycle does.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.functions.predicates import same_session
-from eventfold.operators.derive import SNAP, Rule, derive
+from eventfold.operators.derive import REQUEST_FIELDS, SNAP, Rule, derive
 from eventfold.schema import SETTINGS, Types
 
 Build = Callable[..., dict[str, Column]]
@@ -54,8 +54,15 @@ def merged_update(req: Column, snap: Column, as_of: Column) -> dict[str, Column]
     return {"type": F.when(ok, F.lit(Types.UPDATED)), "settings": F.when(ok, merged)}
 
 
+#: Request tables of the generic lifecycle: name to request type.
+REQUESTS = {"_req_create": Types.CREATE, "_req_update": Types.UPDATE}
+
+
 @dataclass
 class LifecycleSpec:
+    """``requests`` names the request tables (the two built-in ones can be given other types, and extra rules read
+    further ones by name); ``request_fields`` are the columns of a request event that the callbacks see."""
+
     snapshot_types: Sequence[str] = (Types.SAVED, Types.CREATED, Types.UPDATED)
     created: Build = field(default_factory=lambda: confirmed(Types.CREATED))
     updated: Build = field(default_factory=lambda: confirmed(Types.UPDATED))
@@ -66,8 +73,8 @@ class LifecycleSpec:
     enrich_create: Callable[[DataFrame], DataFrame] | None = None
     enrich_update: Callable[[DataFrame], DataFrame] | None = None
     delete_check: Callable[[DataFrame], DataFrame] | None = None
-
-    REQUESTS = {"_req_create": Types.CREATE, "_req_update": Types.UPDATE}
+    requests: Mapping[str, str] = field(default_factory=lambda: dict(REQUESTS))
+    request_fields: Sequence[str] = REQUEST_FIELDS
 
     def rules(self) -> list[Rule]:
         return [
@@ -90,7 +97,8 @@ def build_lifecycle(log: DataFrame, spec: LifecycleSpec | None = None, only: Seq
     if spec.enrich_update is not None:
         log = spec.enrich_update(log)
     rules = [r for r in spec.rules() if only is None or r.name in only]
-    out = derive(log, rules, spec.snapshot_types, as_of, chunk, requests=LifecycleSpec.REQUESTS)
+    out = derive(log, rules, spec.snapshot_types, as_of, chunk, requests=dict(spec.requests),
+                 request_fields=spec.request_fields)
     if spec.delete_check is not None and (only is None or "delete_check" in only):
         out = out.unionByName(spec.delete_check(log))
     return out
@@ -127,4 +135,4 @@ def partial_update(log: DataFrame, snapshot_types: Sequence[str] = (Types.SAVED,
     """OP-53: UPDATE_CONFIRMED x last partial edit x last good snapshot, in one
     as-of pass: an UPDATED event with the edited fields over the old ones."""
     rule = Rule("partial_update", Types.UPDATE_CONFIRMED, ("_req_update", SNAP), merge)
-    return derive(log, [rule], snapshot_types, None, chunk, requests=LifecycleSpec.REQUESTS)
+    return derive(log, [rule], snapshot_types, None, chunk, requests=REQUESTS)

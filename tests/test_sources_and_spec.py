@@ -49,6 +49,27 @@ def test_spec_callbacks_and_hooks(spark):
     assert out[5]["type"] == "ROLLBACK" and out[5]["last_snapshot_item"]["name"] == "good"
 
 
+def test_spec_with_its_own_requests_and_request_fields(spark):
+    from eventfold.operators.derive import Rule
+
+    rows = [event(1, "OPEN", version=7, user_id="ann", session_id="x", settings=settings(name="new")),
+            event(2, "CREATE_CONFIRMED", session_id="x"),
+            event(3, "APPROVE", version=9, user_id="bob", session_id="y", settings=settings(name="ok")),
+            event(4, "APPROVE_CONFIRMED", session_id="y")]
+
+    def by_requester(out_type):
+        def build(req, at):
+            return {"type": F.when(req.isNotNull(), F.lit(out_type)), "arguments": F.create_map(
+                F.lit("by"), req["user_id"], F.lit("version"), req["version"].cast("string"))}
+        return build
+
+    spec = LifecycleSpec(created=by_requester("CREATED"), requests={"_req_create": "OPEN", "_req_update": "UPDATE", "_req_approve": "APPROVE"},
+                         request_fields=("session_id", "settings", "user_id", "version"),
+                         extra_rules=[Rule("approve_confirm", "APPROVE_CONFIRMED", "_req_approve", by_requester("APPROVED"))])
+    out = {r["seq"]: (r["type"], r["arguments"]) for r in build_lifecycle(log_df(spark, rows), spec, chunk=0).collect()}
+    assert out == {2: ("CREATED", {"by": "ann", "version": "7"}), 4: ("APPROVED", {"by": "bob", "version": "9"})}
+
+
 def test_partial_update_merges_fields(spark):
     rows = [event(1, "SAVED", settings=settings(name="old", selection=("1",))),
             event(2, "UPDATE", session_id="x", settings=settings(name=None, selection=("2",))),
