@@ -330,9 +330,9 @@ def _owned(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS,
-          long: int | None = None) -> DataFrame:
+          long: int = LONG) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256), one per row of docs."""
-    long = max(window, long or 2 * window)
+    long = max(window, long)
     text = F.col(text_col)
     # rows are met again by id and text: rows of one id, or without any, are not gathered under one key
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text, F.length(text)).alias("h"), text.alias("text"))
