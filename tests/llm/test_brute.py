@@ -443,6 +443,27 @@ def test_syncmers_by_definition():
     assert gaps.max() <= syncmers.K - syncmers.S
 
 
+def brute_likeness(t, u, kept=syncmers.KEPT):
+    """By definition: the least hashes with their first positions, the anchors below the threshold
+    of both texts, the longest chain of shared ones that stand in order in both."""
+    def sample(x):
+        first = {}
+        for h, p in zip(*(v.tolist() for v in syncmers.anchors(x))):
+            first.setdefault(h >> 32, p)
+        return sorted(first)[:kept], first, len(first) > kept
+
+    (a, pa_, more_a), (b, pb, more_b) = sample(t), sample(u)
+    limit = min([x[-1] for x, more in ((a, more_a), (b, more_b)) if more], default=1 << 32)
+    a, b = {h for h in a if h <= limit}, {h for h in b if h <= limit}
+    if not a | b:
+        return 1.0
+    shared = sorted(a & b, key=pa_.get)
+    best = []
+    for i, h in enumerate(shared):
+        best.append(1 + max([best[j] for j in range(i) if pb[shared[j]] < pb[h]], default=0))
+    return max(best, default=0) / len(a | b)
+
+
 def test_fingerprints_of_neighbours(spark, docs):
     got = {r.doc_id: r for r in QUERIES["op6_closed_syncmers"](spark, SF).collect()}
     order = docs[::-1]
@@ -450,13 +471,42 @@ def test_fingerprints_of_neighbours(spark, docs):
         e = syncmers.edited(t, following)
         r = got[d]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        f = [syncmers.fingerprint(x) for x in (t, e, following)]
-        assert (r.fingerprint, r.edited_fingerprint) == (syncmers._hex(f[0]), syncmers._hex(f[1]))
-        assert (r.near_edited, r.near_next) == (syncmers.likeness(f[0], f[1]), syncmers.likeness(f[0], f[2]))
+        f = [syncmers.fingerprint(x).pack().hex() for x in (t, e)]
+        assert (r.fingerprint, r.edited_fingerprint) == (f[0], f[1])
+        assert (r.near_edited, r.near_next) == (brute_likeness(t, e), brute_likeness(t, following))
     assert syncmers.likeness(syncmers.fingerprint(""), syncmers.fingerprint("")) == 1.0
     assert syncmers.likeness(syncmers.fingerprint(""), syncmers.fingerprint("x")) == 0.0
 
 
+def test_fingerprints_match_by_position():
+    rng = random.Random(6)
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    a, b, c = prose(300), prose(300), prose(300)
+    near = lambda t, u: syncmers.likeness(syncmers.fingerprint(t), syncmers.fingerprint(u))
+    assert near(a, a) == 1.0 and near(a, b) == 0.0
+    for t, u in ((a, a + " " + b), (a + b, b + a), (a + b + c, a + c), (a * 3, a), (a[:40], a)):
+        assert near(t, u) == brute_likeness(t, u)
+    kept, swapped = near(a + b + c, a + c), near(a + b, b + a)
+    assert 0.45 < kept < 0.9 and 0.3 < swapped < 0.75  # passages that change places count once
+    chain = syncmers.aligned(syncmers.fingerprint(a + b), syncmers.fingerprint(c + a + b))
+    assert chain and all(v - u == len(c) for u, v in chain) and chain == sorted(chain)
+    # the sample's threshold falls as texts grow: long unrelated texts stay apart
+    points = "".join(map(chr, range(0x4E00, 0x9000)))
+    long = ["".join(rng.choices(points, k=1 << 20)) for _ in range(2)]
+    assert near(*long) < 0.02 and near(long[0], long[0][:1 << 19] + long[1]) > 0.1
+
+
+def test_fingerprints_without_ids_fall_into_several_ranges(spark):
+    """A third of the rows has no id; all are compared along (id, text hash, text)."""
+    rows = [(i if i % 3 else None, f"text {i % 50} " * (i % 7)) for i in range(600)]
+    got = syncmers.compare_neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(d or 0 for d, _ in rows)
+    prints = lambda key: sorted(map(key, got))
+    assert prints(lambda r: (r.doc_id or 0, r.fingerprint)) == sorted((d or 0, syncmers.fingerprint(t).pack().hex()) for d, t in rows)
+
+
 # --- toxicity --------------------------------------------------------------------
 
 def test_held_out_toxic_documents_are_found(spark):
