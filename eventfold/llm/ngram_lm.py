@@ -31,7 +31,6 @@ training set gives the uniform unigram; other columns are not read.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,11 +47,30 @@ ORDER, MIN_COUNT, DISCOUNT, FOLDS, HELD_OUT = 3, 2, 0.75, 7, 2
 QUERY_MIN_COUNT = 1
 #: N-grams a task sums before it hands them on.
 HELD_GRAMS = 1 << 21
+#: Tokens per range of parents, which one task turns into a file; the session's shuffle partitions are the least number of ranges.
+RANGE_TOKENS = 1 << 21
 #: The end token; a word hashes to this value as rarely as two words collide.
 END = np.uint64(0x5851F42D4C957F2D)
 ONE = np.uint64(1)
 
 
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _places() -> np.ndarray:
+    """Per byte value and k: the place of its k-th one (from 0)."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.argsort(1 - bits.astype(np.int8), axis=1, kind="stable").astype(np.uint8).ravel()
+
+
+_PLACE = _places()
+
+
+def _trailing(x: np.ndarray) -> np.ndarray:
+    """Number of trailing zeros per word, 64 for 0."""
+    return np.bitwise_count((x & (~x + ONE)) - ONE).astype(np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned 64-bit values: low bits packed,
     high bits in unary, with running counts of ones and zeros per word."""
@@ -90,15 +108,16 @@ class EliasFano:
         word = np.searchsorted(counts, k, "right") - 1
         x = self.highs[word]
         x = x if ones else ~x
-        left, at = k - counts[word], word * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            low = x & np.uint64((1 << width) - 1)
-            count = np.bitwise_count(low).astype(np.int64)
-            up = left >= count
-            left = left - np.where(up, count, 0)
-            at = at + np.where(up, width, 0)
-            x = np.where(up, x >> np.uint64(width), low)
-        return at
+        left = (k - counts[word]).astype(np.uint64)
+        # byte i of ``upto`` counts the ones in bytes 0..i
+        upto = x - ((x >> ONE) & np.uint64(0x5555555555555555))
+        upto = (upto & np.uint64(0x3333333333333333)) + ((upto >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        upto = ((upto + (upto >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES
+        # a byte that the place lies behind keeps its top bit
+        shift = np.bitwise_count(((left * _ONES) | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)
+        left -= ((upto << np.uint64(8)) >> shift) & np.uint64(0xFF)
+        place = _PLACE[(((x >> shift) & np.uint64(0xFF)) << np.uint64(3)) | left]
+        return word * 64 + shift.astype(np.int64) + place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -110,8 +129,19 @@ class EliasFano:
         return (value | spill) & np.uint64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = (self._select(i, True) - i).astype(np.uint64)
-        return (high << np.uint64(self.low_bits)) | self._low(i)
+        return self._value(i, self._select(i, True))
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries i and i + 1: the next one mostly stands in the same word."""
+        at = self._select(i, True)
+        rest = self.highs[at >> 6] & ~((np.uint64(2) << (at & 63).astype(np.uint64)) - ONE)
+        after = (at & ~63) + _trailing(rest)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(i[far] + 1, True)
+        return self._value(i, at), self._value(i + 1, after)
 
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Index of each x among the entries [lo, hi), or -1."""
@@ -119,9 +149,12 @@ class EliasFano:
         out = np.full(len(x), -1, np.int64)
         some = np.flatnonzero((high < self.zeros[-1]) & (lo < hi))
         high, x, a, b = high[some], x[some], lo[some], hi[some]
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0) - high
-        last = self._select(high, False) - high
-        a, b = np.maximum(a, first), np.minimum(b, last)
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        shift = (start & 63).astype(np.uint64)
+        run = _trailing(~(self.highs[start >> 6] >> shift))  # entries with these high bits
+        far = np.flatnonzero(run >= 64 - (start & 63))  # as far as the word goes, or farther
+        run[far] = self._select(high[far], False) - start[far]
+        a, b = np.maximum(a, start - high), np.minimum(b, start - high + run)
         want = x & np.uint64((1 << self.low_bits) - 1)
         end = b.copy()
         while True:  # lower bound of the low bits among entries with equal high bits
@@ -156,18 +189,19 @@ def _write(folder: str, name: str, header: dict, arrays: dict[str, np.ndarray])
 
 
 def _open(folder: str, name: str) -> dict:
-    """The header and arrays of a level file, mapped into memory. A folder that
-    machines do not mount is copied to the worker's own disk first."""
+    """The header and arrays of a level file, mapped into memory. A file in a
+    folder that machines do not mount is copied first, to a file without a name that ends with its mapping."""
     fs, path = local_filesystem(folder)
     path = f"{path}/{name}"
-    if fs.type_name != "local":
+    if fs.type_name == "local":
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+    else:
         import tempfile
-        held = os.path.join(tempfile.mkdtemp(prefix="trie-"), name)
-        with fs.open_input_stream(path, compression=None) as source, open(held, "wb") as out:
+        with fs.open_input_stream(path, compression=None) as source, tempfile.TemporaryFile() as held:
             while block := source.read(1 << 24):
-                out.write(block)
-        path = held
-    data = np.memmap(path, np.uint8, "r")
+                held.write(block)
+            held.flush()
+            data = np.memmap(held, np.uint8, "r").view(np.ndarray)
     size = int.from_bytes(data[:8].tobytes(), "little")
     header = json.loads(data[8:8 + size].tobytes())
     start = 8 + size
@@ -242,65 +276,63 @@ class Trie:
 
     def follow(self, level: int, parent: np.ndarray, word: np.ndarray):
         """(nodes, log10 probabilities, log10 back-off weights of the parents) at
-        ``level`` for pairs sorted by parent; node -1 where not kept."""
+        ``level`` for pairs sorted by parent; node -1 where not kept, or where the word is -1."""
         node = np.full(len(parent), -1, np.int64)
         prob, weight = np.zeros(len(parent)), np.zeros(len(parent))
         for f, first, base, s in self._route(level, parent):
-            p, p_of = np.unique(parent[s], return_inverse=True)
-            at = p - first
-            lo, hi = f["ptr"].get(at).astype(np.int64), f["ptr"].get(at + 1).astype(np.int64)
-            before = np.where(lo > 0, f["succ"].get(np.maximum(lo - 1, 0)), np.uint64(0))
+            new = np.ones(s.stop - s.start, bool)
+            new[1:] = parent[s][1:] != parent[s][:-1]
+            p_of = np.cumsum(new) - 1
+            at = parent[s][new] - first
+            lo, hi = (x.astype(np.int64) for x in f["ptr"].get_two(at))
             weight[s] = np.where(hi > lo, f["weight_lo"] + f["weight_step"] * f["weight"][at], 0.0)[p_of]
+            before = np.zeros(len(lo), np.uint64)
+            some = np.flatnonzero((lo > 0) & (hi > lo))
+            before[some] = f["succ"].get(lo[some] - 1)
             # a run starts one above the last value of the run before
-            x = before[p_of] + word[s].astype(np.uint64) + ONE
-            got = f["succ"].find(x, lo[p_of], hi[p_of])
+            known = np.flatnonzero(word[s] >= 0)
+            of = p_of[known]
+            got = f["succ"].find(before[of] + word[s][known].astype(np.uint64) + ONE, lo[of], hi[of])
             some = np.flatnonzero(got >= 0)
-            node[s][some] = base + got[some]
-            prob[s][some] = f["prob_lo"] + f["prob_step"] * f["prob"][got[some]]
+            known, got = known[some], got[some]
+            node[s][known] = base + got
+            prob[s][known] = f["prob_lo"] + f["prob_step"] * f["prob"][got]
         return node, prob, weight
 
     def walk(self, texts: pa.Array, up_to: int):
         """Of the slice's tokens: rows' bounds, ids, counts, the node of the
         ``up_to`` tokens before each (-1: not kept), and log10 P by the levels
-        up to ``up_to``."""
+        up to ``up_to``.
+
+        Words and n-grams are numbered within the slice in the order of their
+        ids and nodes, so that a pair is one number and is looked up once."""
         w = words(texts, True)
         bounds = w.rows + np.arange(len(w.rows))
-        tokens = np.insert(w.hashes, w.rows[1:], END)
-        distinct, of = np.unique(tokens, return_inverse=True)
+        distinct, of = np.unique(np.insert(w.hashes, w.rows[1:], END), return_inverse=True)
+        del w
         ids, counts = self.vocabulary(distinct)
-        ids, counts = ids[of], counts[of]
-        first = bounds[:-1]
-        end_id = ids[bounds[1:] - 1] if len(first) else ids[:0]  # every row ends with the end token
-        before = np.empty_like(ids)
-        before[1:], before[first] = ids[:-1], end_id
-        nodes, log_p = ids, np.log10(counts + 1) - self.rest
+        first, size = bounds[:-1], max(len(distinct), 1)
+        log_p = (np.log10(counts + 1) - self.rest)[of]
+
+        def shifted(numbers: np.ndarray, start) -> np.ndarray:
+            before = np.empty_like(numbers)
+            before[1:], before[first] = numbers[:-1], start
+            return before
+
+        # every row ends with the end token, the context of its first word
+        nodes, before = ids, shifted(of, of[bounds[1:] - 1]) if len(first) else of
         for level in range(1, up_to):
-            parent = before if level == 1 else np.concatenate([[-1], nodes[:-1]])
-            if level > 1:
-                parent[first] = -1  # longer contexts do not reach over a text's start
-            some = np.flatnonzero((parent >= 0) & (ids >= 0))
-            order = some[np.lexsort((ids[some], parent[some]))]
-            p, i = parent[order], ids[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
-            which = np.cumsum(new) - 1
-            node, prob, _ = self.follow(level, p[new], i[new])
-            known = np.flatnonzero(parent >= 0)
-            distinct_p, p_of = np.unique(parent[known], return_inverse=True)
-            weight = self.follow(level, distinct_p, np.zeros(len(distinct_p), np.int64))[2]
-            log_p = log_p.copy()
-            log_p[known] += weight[p_of]
-            found = np.full(len(ids), -1, np.int64)
-            found[order] = node[which]
-            hit = node[which] >= 0
-            log_p[order[hit]] = prob[which][hit]
-            nodes = found
-        if up_to == 1:
-            context = before
-        else:
-            context = np.concatenate([[-1], nodes[:-1]])
-            context[first] = -1
-        return bounds, ids, counts, context, log_p
+            some = np.flatnonzero((before >= 0) & (nodes[before] >= 0)) if len(nodes) else np.zeros(0, np.int64)
+            pair, which = np.unique(before[some] * size + of[some], return_inverse=True)
+            nodes, prob, weight = self.follow(level, nodes[pair // size], ids[pair % size])
+            log_p[some] = np.where((nodes >= 0)[which], prob[which], log_p[some] + weight[which])
+            numbers = np.full(len(of), -1, np.int64)
+            numbers[some] = which
+            before = shifted(numbers, -1)  # longer contexts do not reach over a text's start
+        context = np.full(len(of), -1, np.int64)
+        some = np.flatnonzero(before >= 0)
+        context[some] = nodes[before[some]]
+        return bounds, ids[of], counts[of], context, log_p
 
 
 def _unigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +379,9 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 def _summed(p: np.ndarray, i: np.ndarray, n: np.ndarray, lower: np.ndarray):
     """Rows (parent, word, n, lower) sorted, with the counts of equal pairs summed."""
-    order = np.lexsort((i, p))
+    span = int(i.max()) + 1 if len(i) else 1
+    # one number for a pair where it fits
+    order = np.argsort(p * span + i) if len(p) and int(p.max()) < (1 << 62) // span else np.lexsort((i, p))
     p, i = p[order], i[order]
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
@@ -446,7 +480,7 @@ def build(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disc
     trie = Trie(folder, [[(r["name"], unsigned(r["first"]), unsigned(r["last"]), r["base"]) for r in rows]],
                 sum(r["total"] for r in rows), sum(r["n"] for r in rows))
     nodes = sum(r["n"] for r in rows)
-    ranges = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-trie.total // RANGE_TOKENS))
     for level in range(1, order):
         if not nodes:
             trie.levels.append([])

@@ -294,6 +294,9 @@ def test_elias_fano_holds_any_rising_sequence():
         ef = ngram_lm.EliasFano.encode(v)
         i = np.arange(n)
         assert (ef.get(i) == v).all()
+        if n > 1:
+            one, two = ef.get_two(i[:-1])
+            assert (one == v[:-1]).all() and (two == v[1:]).all()
         lo, hi = np.zeros(n, np.int64), np.full(n, n)
         assert (v[ef.find(v, lo, hi)] == v).all() if n else True
         absent = np.setdiff1d(rng.integers(0, top, 200, dtype=np.uint64), v)
