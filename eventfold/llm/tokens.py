@@ -6,9 +6,9 @@ The pre-tokenizers of both files never join what stands before a run of spaces
 is cut there into units and each is encoded on its own; the concatenated ids
 equal those of the whole text (tests hold them against the library on whole
 texts). Units repeat, so a worker remembers their ids, up to a bounded number.
-Units it has not met are encoded by the ranks engine, if the file's merges
-stand in the order of its ids (then ids are ranks and both libraries give the
-same ids; it is several times faster), else by the file's own library. A text
+Where white space is kept and the file's merges stand in the order of its ids,
+ids are ranks: the ranks engine gives the same ids, several times faster, and
+takes texts whole. Other units are encoded by the file's own library. A text
 that holds the literal of a special token is encoded whole, as the library does
 by default: the literal gives the token's id.
 """
@@ -47,13 +47,11 @@ def byte_alphabet() -> dict[str, int]:
 Engine = Callable[[list[str]], list]
 
 
-def byte_level_encoder(path: str) -> Engine:
-    """Texts to lists of ids, by a byte-level BPE file, special tokens' strings being plain text.
+def ranks_engine(path: str):
+    """The ranks engine for a byte-level BPE file, special tokens' strings being plain text, or None.
 
     If the file's merges give its tokens in the order of their ids, ids are ranks and the ranks engine
-    (several times faster) gives the same ids; else the file's own library does."""
-    from tokenizers import Tokenizer
-
+    (several times faster than the file's own library) gives the same ids."""
     alphabet = byte_alphabet()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -64,10 +62,20 @@ def byte_level_encoder(path: str) -> Engine:
                 and all(model["vocab"][t] == 256 + i for i, t in enumerate(merges)))
     plain = (spec.get("normalizer") is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
              and spec["pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"]["add_prefix_space"])
-    if in_order and plain:
-        import tiktoken
+    if not (in_order and plain):
+        return None
+    import tiktoken
 
-        engine = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_level_encoder(path: str) -> Engine:
+    """Texts to lists of ids, by a byte-level BPE file, special tokens' strings being plain text: by the ranks
+    engine, if it gives the file's ids, else by the file's own library."""
+    from tokenizers import Tokenizer
+
+    engine = ranks_engine(path)
+    if engine:
         return lambda texts: list(map(engine.encode_ordinary, texts))
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
@@ -155,9 +163,11 @@ class Encoder:
         #: Literals of the file's added tokens: those searched in the text as it is, and those in the normalized one, lower-cased.
         self.literals = [t.content for t in added if not t.normalized]
         self.normalized = [t.content.lower() for t in added if t.normalized]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.drops_blanks = drops_blanks
-        self.engine = None if drops_blanks else byte_level_encoder(path)
+        #: The ranks engine, if the file allows it: it takes whole texts as fast as units and hands their ids over as bytes.
+        self.ranks = None if drops_blanks else ranks_engine(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.engine = None if drops_blanks or self.ranks else byte_level_encoder(path)
         self.lower_engine = word_end_encoder(path) if drops_blanks else None
         #: ids by unit, and by first unit of a text (which has no space in front)
         self.known: dict[str, bytes] = {}
@@ -215,18 +225,25 @@ class Encoder:
         return memory
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
         whole = {i: t for i, t in enumerate(texts) if t and self._has_literal(t)}
+        if self.ranks:
+            kind = f"<u{self.width}"
+            return [b"" if not t else self._by_library(t) if i in whole else self.ranks.encode_to_numpy(t, disallowed_special=()).astype(kind).tobytes()
+                    for i, t in enumerate(texts)]
         cut = [("", []) if i in whole else self._cut(t) for i, t in enumerate(texts)]
         self.known = self._learn(self.known, set(chain.from_iterable(units for _, units in cut)), "" if self.drops_blanks else " ")
         self.heads = self._learn(self.heads, {head for head, _ in cut}, "")
         get = self.known.__getitem__
         out = [self.heads[head] + b"".join(map(get, units)) for head, units in cut]
         for i, t in whole.items():
-            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+            out[i] = self._by_library(t)
         return out
 
+    def _by_library(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
 
 def batches(column, most_chars: int = 2_000_000):
     """(first row, texts) slices of an Arrow string column, of bounded size

@@ -727,3 +727,15 @@ def test_registered_model_keeps_every_trigram(spark, docs):
         x = [None, *w]
         score = sum(math.log10(p(x[i], tuple(x[max(0, i - 2):i]))) for i in range(1, len(x)))
         assert abs(got[d].score - score) <= 0.03 * 3 * len(w)
+
+
+def test_byte_level_texts_are_encoded_whole():
+    """A text of units that nobody met before costs no memory of units, and has the library's ids."""
+    import public_tokenizers
+    from eventfold.llm.tokens import Encoder
+    rng = random.Random(29)
+    texts = [None, "", " ", *(" ".join(f"{rng.randrange(10**9)}x{rng.choice('abc')}" for _ in range(50)) for _ in range(40))]
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+    got = encoder.ids(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e[:-1].tolist() for e in encode_by_default("byte_bpe_50k.json", texts)]
+    assert not encoder.known
