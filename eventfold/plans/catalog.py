@@ -273,8 +273,8 @@ def closed_log_state_q(spark, sf_dir):
     """OP-08 over a log that holds derived rows: the latest event per item in (seq, hop) order."""
     log = lifecycle_log(spark, sf_dir)
     both = log.withColumn("hop", F.lit(0)).unionByName(derive_once(log))
-    last = stt.latest_state(both)
-    return flatten_events(last.drop("hop")).join(last.select("aggregate_id", "hop"), "aggregate_id")
+    last = flatten_events(stt.latest_state(both))
+    return last.select("aggregate_id", *[c for c in last.columns if c not in ("aggregate_id", "hop")], "hop")
 
 
 @register("command_decisions_as_of", ssql.decisions_as_of_sql())

@@ -57,6 +57,10 @@ def ntz_to_timestamp(c: Column) -> Column:
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"))
 
 
+#: Rows of the driver's events that one task widens to log rows: its sorts hold some hundred MB.
+TASK_ROWS = 200_000
+
+
 def _with_k(events: DataFrame, *cols: str) -> DataFrame:
     """Driver columns plus ``k`` parsed from ``props``. ``json_tuple`` is a
     generator: filters on columns derived from ``k`` stay above it, so the JSON
@@ -64,8 +68,10 @@ def _with_k(events: DataFrame, *cols: str) -> DataFrame:
 
     The narrow raw columns are exchanged before that: the driver's table may be a single split, whose
     rows one task would parse, and operators that read the log in several branches (chunk summaries and
-    rows) share this exchange and its one read of the table."""
-    raw = events.select(*cols, "props").repartition("event_id")
+    rows) share this exchange and its one read of the table. Its tasks grow in number with the table: narrow rows
+    compress well, so joining partitions by their bytes would give a task millions of rows, which it then widens."""
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // TASK_ROWS))
+    raw = events.select(*cols, "props").repartition(tasks, "event_id")
     return (raw.select(*cols, F.json_tuple("props", "k").alias("_k_text"))
             .withColumn("k", F.col("_k_text").cast("int")).drop("_k_text"))
 
