@@ -90,3 +90,15 @@ def test_hot_key_fold_and_outcome(spark, stored):
     a = sorted(map(tuple, command_outcome(ev, cmd, 3600 * 1000, chunk=0).collect()))
     b = sorted(map(tuple, command_outcome(ev, cmd, 3600 * 1000, chunk=16).collect()))
     assert a == b and len(a) > 10
+
+
+def test_tasks_that_widen_rows_grow_with_the_table(spark, monkeypatch):
+    """The narrow rows of the driver's events are dealt to more tasks as the table grows; the state is computed once."""
+    from eventfold.plans.catalog import QUERIES
+    from eventfold.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 50)
+    events = fixtures.read_table(spark, "/root/testdata/sf0.001", "events")
+    assert fixtures._with_k(events, "event_id").rdd.getNumPartitions() == 20
+    plan = QUERIES["closed_log_state"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
