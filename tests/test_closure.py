@@ -190,3 +190,48 @@ def test_closure_matches_sequential_model(spark):
         return r
     want, got = flat(map(known, brute(rows))), flat(map(known, as_rows(lifecycle_closure(log, chunk=64))))
     assert len(want) > len(rows) and got == want
+
+
+def test_rounds_handle_narrow_rows(spark, monkeypatch):
+    """A replay hands over only the columns that derived rows fill, and items that are not long are looked up in one window, without chunks."""
+    from eventfold.operators import closure
+    from eventfold.sources.fixtures import lifecycle_log
+
+    seen, stored, scan = [], closure.stored, closure.attach_last_before
+    monkeypatch.setattr(closure, "stored", lambda df, label: seen.append((label, set(df.columns))) or stored(df, label))
+    monkeypatch.setattr(closure, "attach_last_before", lambda *a, **kw: seen.append(("chunk", kw["chunk"])) or scan(*a, **kw))
+    log, rounds = lifecycle_log(spark, "/root/testdata/sf0.001"), []
+    out = closure.lifecycle_closure(log, rounds=rounds)
+    made = [columns for label, columns in seen if label == "replayed"]
+    assert len(made) == rounds[0] >= 2 and not any(c & {"selection_req", "persistence", "last_snapshot_item"} for c in made)
+    assert {c for label, c in seen if label == "chunk"} == {0}
+    assert out.where("type = 'ROLLBACK' and last_snapshot_item is not null").count() > 0
+    assert out.where("type = 'ROLLBACK' and settings is not null").isEmpty()
+
+
+def test_long_items_are_looked_up_in_chunks(spark):
+    """An item that is long by its own rows, and one that is long by what reads it: beside the others, the same rows."""
+    rows = cycles(40, key="hot") + [event(1000, "SAVED", key="read", settings=settings(id="read")), event(1500, "SAVED", key="read", settings=settings(id="read", name="later"))]
+    for i in range(60):
+        at = 1001 + 10 * i
+        rows += [event(at, "PARTIAL_SAVE", key=f"k{i}", session_id="x", persistence=persistence(id=f"k{i}", settings_id=("read", "hot", "k0", None)[i % 4])),
+                 event(at + 1, "SAVE_CONFIRMED", key=f"k{i}", session_id="x")]
+    want = flat(as_rows(lifecycle_closure(log_df(spark, rows), chunk=0)))
+    spark.conf.set("eventfold.asof.chunk", "16")
+    try:
+        assert flat(as_rows(lifecycle_closure(log_df(spark, rows), chunk_rows=10))) == want
+    finally:
+        spark.conf.unset("eventfold.asof.chunk")
+
+
+def test_bulk_jobs_leave_the_session_as_it_was(spark):
+    from eventfold.session import BULK_CONF
+
+    key, own = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "777")
+    try:
+        before = {k: spark.conf.get(k) for k in BULK_CONF}
+        lifecycle_closure(log_df(spark, cycles(3)), chunk=0).collect()
+        assert {k: spark.conf.get(k) for k in BULK_CONF} == before and before[key] == "777"
+    finally:
+        spark.conf.set(key, own)
