@@ -1,6 +1,7 @@
 """The chunked as-of scan equals a brute-force nearest-row search."""
 
 import random
+from bisect import bisect_right
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,15 @@ def test_multi_level_summaries(spark, monkeypatch, forward):
     finally:
         spark.conf.unset(asof.LEVELS_CONF)
     assert res == _brute(rows, forward)
+
+
+@pytest.mark.parametrize("chunk", [0, 5000])
+def test_forward_scan_goes_once_through_a_key(spark, chunk):
+    """No frame reaches from each row to its key's end: such a frame is read anew for every row."""
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("seq"), F.lit("hot").alias("key"), (F.col("id") % 997 == 5).alias("is_table"))
+    got = attach_first_after(df, "key", "seq", {"t": (F.col("is_table"), F.struct("seq"))}, chunk=chunk)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+    found = [r.s for r in got.orderBy("seq").select(F.col("t.seq").alias("s")).collect()]
+    places = list(range(5, n, 997))
+    assert found == [places[bisect_right(places, s)] if s < places[-1] else None for s in range(n)]
