@@ -510,6 +510,40 @@ def test_fingerprints_without_ids_fall_into_several_ranges(spark):
     assert prints(lambda r: (r.doc_id or 0, r.fingerprint)) == sorted((d or 0, syncmers.fingerprint(t).pack().hex()) for d, t in rows)
 
 
+def test_a_fingerprint_holds_every_anchor():
+    rng = random.Random(8)
+    for n in (0, 5, 16, 400, 30_000):
+        t = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+        first = {}
+        for h, p in zip(*(v.tolist() for v in syncmers.anchors(t))):
+            first.setdefault(h >> 32, p)
+        f = syncmers.fingerprint(t)
+        assert dict(zip(f.hashes.tolist(), f.positions.tolist())) == first and not f.full
+        packed = f.pack()
+        assert np.frombuffer(packed[:4 * len(first)], "<u4").tolist() == sorted(first, key=first.get) and len(packed) == 8 * len(first) + 1
+    # a changed word in a long text shows, wherever it stands
+    u = t[:12_345] + "zzzzzzzzzzzzzzzz" + t[12_361:]
+    a, b = (set((syncmers.anchors(x)[0] >> np.uint64(32)).tolist()) for x in (t, u))
+    assert syncmers.likeness(syncmers.fingerprint(t), syncmers.fingerprint(u)) == len(a & b) / len(a | b) < 1
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "alone")], [(None, "a"), (None, "b")], [(7, f"text {i}") for i in range(60)],
+    [(9 if i % 2 else -i, f"t{i % 9}") for i in range(80)] + [(None, f"n{i}") for i in range(40)] + [(-(1 << 63), "least"), ((1 << 63) - 1, None)]])
+def test_neighbours_across_ranges(spark, rows):
+    """Every row is met once by the next one, ids missing or repeated and ranges many: an id falls into several."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr("xxhash64(coalesce(text, ''))").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    want = sorted((r.doc_id or 0, len(r.text), hashlib.sha256(syncmers.edited(r.text, n.text).encode()).hexdigest()) for r, n in zip(order, order[1:] + order[:1]))
+    got = syncmers.compare_neighbours(df)
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in got.collect()) == want
+    at = syncmers._ranges(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    number = at(np.array([r.doc_id is not None for r in order]), np.array([r.doc_id or 0 for r in order]), np.array([r.h for r in order])).tolist()
+    assert number == sorted(number) and 0 <= number[0] and number[-1] < len(at)
+    assert len(set(number)) > 1 or len(rows) < 60
+
+
 # --- toxicity --------------------------------------------------------------------
 
 def test_held_out_toxic_documents_are_found(spark):
